@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, warc
+from . import mixing, packing, quality_rules, warc
 from .runtime import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources flattened to weights of the square root of their rows, the mix as large as the corpus."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page, read back from the normalised archives."""
     got = warc.warc_round_trip(table(spark, sf_dir, "pages"))
@@ -20,6 +29,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, forest).drop("text")
 
 
-QUERIES = {"op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_packing": op1_packing, "op3_mixing": op3_mixing, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules}
 #: DuckDB SQL where it can express the whole result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
