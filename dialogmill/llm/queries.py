@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, warc
+from . import mixing, packing, pii, quality_rules, warc
 from .runtime import table
 
 
@@ -17,6 +17,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_personal_data(documents, pii.train_field(documents))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page, read back from the normalised archives."""
     got = warc.warc_round_trip(table(spark, sf_dir, "pages"))
@@ -29,6 +34,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, forest).drop("text")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_mixing": op3_mixing, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_packing": op1_packing, "op3_mixing": op3_mixing, "op6_pii": op6_pii, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules}
 #: DuckDB SQL where it can express the whole result.
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
