@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, pii, quality_rules, warc
+from . import ann, html_text, mixing, packing, pii, quality_cnn, quality_rules, toxicity, warc
 from .runtime import table
 
 
@@ -12,16 +12,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_cnn.score_quality(documents, quality_cnn.train_network(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources flattened to weights of the square root of their rows, the mix as large as the corpus."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(documents, toxicity.train_model(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find_personal_data(documents, pii.train_field(documents))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page, read back from the normalised archives."""
     got = warc.warc_round_trip(table(spark, sf_dir, "pages"))
@@ -34,6 +53,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, forest).drop("text")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_mixing": op3_mixing, "op6_pii": op6_pii, "op9_warc": op9_warc, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_quality_cnn": op2_quality_cnn,
+    "op3_mixing": op3_mixing,
+    "op4_html_text": op4_html_text,
+    "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
+    "op8_ann": op8_ann,
+    "op9_warc": op9_warc,
+    "op10_quality_rules": op10_quality_rules,
+}
 #: DuckDB SQL where it can express the whole result.
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
