@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, html_text, mixing, packing, pii, quality_cnn, quality_rules, toxicity, warc
+from . import ann, html_text, jaccard, mixing, packing, pii, quality_cnn, quality_rules, toxicity, warc
 from .runtime import table
 
 
@@ -36,6 +36,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents, pii.train_field(documents))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all others."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_jaccard": op7_jaccard,
     "op8_ann": op8_ann,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
