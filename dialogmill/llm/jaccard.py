@@ -232,5 +232,6 @@ def keep_one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> Dat
         odd = F.broadcast(odd)
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("odd_id"))
     once = documents.join(odd, own, "left_anti")
-    repeated = documents.join(odd.filter("kept"), own, "left_semi").orderBy("text").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    repeated = documents.join(odd.filter("kept"), own, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row"))
+    return once.unionByName(repeated.select("doc_id", "row.*"))
