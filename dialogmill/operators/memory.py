@@ -149,4 +149,4 @@ def session_stats(conv: DataFrame, window: int = 8, after: int = 12) -> DataFram
 def idle_sessions(events: DataFrame, now: Column, idle_seconds: int = 3600, by: str = "user_id") -> DataFrame:
     """Sessions whose last event is strictly older than ``idle_seconds``."""
     last = events.groupBy(by).agg(F.max("ts").alias("last_accessed"))
-    return last.filter(F.unix_micros(now) - F.unix_micros(F.col("last_accessed")) > idle_seconds * 1_000_000)
+    return last.filter(F.col("last_accessed") < now - F.make_dt_interval(secs=F.lit(float(idle_seconds))))

@@ -240,8 +240,11 @@ def detect_language(text: Column) -> Column:
     indented = F.size(F.filter(lines, lambda x: x.rlike(r"^( {2,}|\t)"))) / F.size(lines)
     density = F.when(F.length(text) > 0, F.regexp_count(text, F.lit(r"[{}\[\]();=+\-*/&|!<>]")) / F.length(text)).otherwise(F.lit(0.0))
     out = F.when((indented > 0.4) | (density > 0.1), "code")
+    # a style rule's pattern tries every start up to the next brace, so it only sees what a brace ends
+    braced = F.left(text, F.length(text) - F.length(F.substring_index(text, "}", -1)))
     for name, pattern in reversed(rules.LANGUAGES):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        hit = (F.contains(text, F.lit("{")) & braced.rlike(pattern)) if name == "css" else text.rlike(pattern)
+        out = F.when(hit, name).otherwise(out)
     return F.when((F.size(lines) == 1) & (F.length(text) < 20), F.lit(None).cast("string")).otherwise(out)
 
 

@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, digits: tuple[str, ...] = (), name: str | None = None):
-    """Register a function of (spark, sf_dir). ``digits``: double columns that both engines round to 6 places, for sums in another order
+    """Register a function of (spark, sf_dir). ``digits``: double columns that both engines round to 10 places, for sums in another order
     differ in the last bits."""
 
     def add(fn: Query) -> Query:
@@ -24,12 +24,12 @@ def query(sql: str | None = None, digits: tuple[str, ...] = (), name: str | None
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            return df.withColumns({c: F.round(F.col(c), 6) for c in digits}) if digits else df
+            return df.withColumns({c: F.round(F.col(c), 10) for c in digits}) if digits else df
 
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
         if sql:
-            swaps = ", ".join(f"round({c}, 6) as {c}" for c in digits)
+            swaps = ", ".join(f"round({c}, 10) as {c}" for c in digits)
             ORACLES[key] = f"select * replace ({swaps}) from ({sql}) z" if digits else sql
         return fn
 
