@@ -95,7 +95,7 @@ def chunk_sentences(df: DataFrame, chunk_size: int = 400, overlap: int = 80, min
     at = F.aggregate(
         "ss",
         F.struct(F.lit(1).alias("p"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct((F.locate(x, F.col("norm"), s["p"]) + F.length(x)).alias("p"), F.array_append(s["out"], F.locate(x, F.col("norm"), s["p"]) - 1).alias("out")),
+        lambda s, x: F.struct((F.position(x, F.col("norm"), s["p"]) + F.length(x)).alias("p"), F.array_append(s["out"], F.position(x, F.col("norm"), s["p"]) - 1).alias("out")),
         lambda s: s["out"],
     )
     base = base.withColumn("at", at)

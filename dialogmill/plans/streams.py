@@ -1 +1,176 @@
-"""Queries."""
+"""Streaming queries: the tables are laid out as a folder of files, streamed to the end with availableNow, and the sink is read back, so the
+batch oracle applies."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..operators import responses as R
+from ..streaming import streams as Z
+from . import duck
+from .base import QUEUE, SCORED, TALK, TALK_PAIRS, VOTES, query, read, scored, talk, talk_pairs, votes
+from .memory import A, BATCHES, W
+
+
+def _scratch(spark) -> str:
+    """A new folder where the cluster shares files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="dialogmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/dialogmill-streams/{uuid.uuid4().hex}"
+
+
+def _streamed(spark, df, files: int = 4):
+    """The rows as a stream of ``files`` files, and a folder for its sink and checkpoint."""
+    at = _scratch(spark)
+    df.repartition(files).write.parquet(f"{at}/in")
+    return Z.stream_of(spark, f"{at}/in", df.schema, maxFilesPerTrigger="2"), at
+
+
+def _latest(spark, at, key):
+    rows = spark.read.parquet(f"{at}/out")
+    others = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*key, "r.*")
+
+
+@query(f"with {VOTES} select conv_id, turn, sum(vote)::bigint as net from votes group by all")
+def stream_net_scores(spark, sf_dir):
+    stream, at = _streamed(spark, votes(spark, sf_dir).select("conv_id", "turn", "vote"))
+    Z.collect_batches(Z.net_scores(stream), f"{at}/out", f"{at}/cp", "update")
+    return _latest(spark, at, ["conv_id", "turn"])
+
+
+@query(f"with {TALK_PAIRS}, {SCORED} select conv_id, turn, composite_score, grade, is_bad_response from scored")
+def stream_scores(spark, sf_dir):
+    stream, at = _streamed(spark, talk_pairs(spark, sf_dir))
+    Z.run_to_end(Z.scores(stream), f"{at}/out", f"{at}/cp")
+    return spark.read.parquet(f"{at}/out").select("conv_id", "turn", "composite_score", "grade", "is_bad_response")
+
+
+@query()
+def audit_stream(spark, sf_dir):
+    stream, at = _streamed(spark, talk_pairs(spark, sf_dir))
+    Z.run_to_end(Z.audit(stream), f"{at}/out", f"{at}/cp")
+    return spark.read.parquet(f"{at}/out").groupBy("category").agg(F.count("*").alias("n"), F.count_if("was_refined").alias("n_refined"), F.sum(F.size("issues")).alias("n_issues"))
+
+
+@query(
+    """with e as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 1 hour or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from e)
+select user_id, min(ts) as started_at, max(ts) + interval 1 hour as ends_at, count(*) as n_events from s group by user_id, session"""
+)
+def session_activity(spark, sf_dir):
+    stream, at = _streamed(spark, read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")))
+    Z.collect_batches(Z.session_activity(stream, late="3650 days"), f"{at}/out", f"{at}/cp", "complete")
+    rows = spark.read.parquet(f"{at}/out")
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.filter(F.col("batch") == last).drop("batch").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ends_at")})
+
+
+def _windows(spark, sf_dir, slide):
+    v = votes(spark, sf_dir).select("vote", F.col("ts").cast("timestamp").alias("ts"))
+    stream, at = _streamed(spark, v)
+    Z.collect_batches(Z.windowed_votes(stream, "1 hour", slide, "3650 days"), f"{at}/out", f"{at}/cp", "update")
+    return _latest(spark, at, ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"with {VOTES} select date_trunc('hour', ts) as window_start, count(*) filter (vote = 1) as up, count(*) filter (vote = -1) as down from votes group by 1")
+def windowed_votes(spark, sf_dir):
+    return _windows(spark, sf_dir, None)
+
+
+@query(f"with {VOTES} select time_bucket(interval '15 minutes', ts) - k * interval '15 minutes' as window_start, count(*) filter (vote = 1) as up, count(*) filter (vote = -1) as down from votes, range(0, 4) r(k) group by 1")
+def sliding_votes(spark, sf_dir):
+    return _windows(spark, sf_dir, "15 minutes")
+
+
+@query(f"with {QUEUE} select conv_id, turn, source, resolved, grade from queue")
+def stream_failed_queue(spark, sf_dir):
+    v = votes(spark, sf_dir)
+    stream, at = _streamed(spark, v)
+    own = scored(spark, sf_dir)
+    stream.writeStream.foreachBatch(Z.failed_queue_sink(own, f"{at}/state")).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/state/queue")
+    return rows.filter(F.col("snapshot") == rows.agg(F.max("snapshot")).first()[0]).select("conv_id", "turn", "source", "resolved", "grade")
+
+
+@query(
+    f"""with {TALK}, {BATCHES}, w as (select conv_id, list(turn order by rn) as window_turns, max(n) as total_turns from evict where in_window group by conv_id),
+s as (select conv_id, string_agg(summary, chr(10) order by batch) as rolling_summary from batches group by conv_id)
+select w.conv_id, total_turns::bigint as total_turns, window_turns, coalesce(rolling_summary, '') as rolling_summary from w left join s on w.conv_id = s.conv_id"""
+)
+def stream_memory(spark, sf_dir):
+    """One conversation's messages arrive in one file here, for a stream of files has no order between them."""
+    at = _scratch(spark)
+    rows = Z.with_lines_and_facts(talk(spark, sf_dir))
+    rows.repartition(4, "conv_id").write.parquet(f"{at}/in")
+    stream = Z.session_memory(Z.stream_of(spark, f"{at}/in", rows.schema, maxFilesPerTrigger="2"), W, A)
+    Z.collect_batches(stream, f"{at}/out", f"{at}/cp", "update")
+    return _latest(spark, at, ["conv_id"]).drop("facts")
+
+
+@query()
+def stream_ingest(spark, sf_dir):
+    """The corpus arrives a few sources at a time; the result is the chunks of every source."""
+    at = _scratch(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs.repartition(4, "source").write.parquet(f"{at}/in")
+    stream = Z.stream_of(spark, f"{at}/in", docs.schema, maxFilesPerTrigger="1")
+    stream.writeStream.foreachBatch(Z.ingest_sink(f"{at}/kb")).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/kb/chunks").groupBy("source").agg(F.count("*").alias("n_chunks"))
+
+
+# ---- server-sent lines made from the conversations: each answer word by word ----
+_EVERY = r"[^ ]+ ?| "
+
+
+def _chunks(spark, sf_dir):
+    rows = talk_pairs(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("turn")).alias("conv_id"), F.posexplode(F.regexp_extract_all("response", F.lit(_EVERY), F.lit(0))).alias("seq", "content"))
+    start = F.timestamp_seconds(F.lit(1700000000) + F.col("conv_id"))
+    return rows.withColumn("started_at", start).withColumn("ts", F.timestamp_millis(F.lit(1700000000000) + F.col("conv_id") * 1000 + 500 + F.col("seq") * 40))
+
+
+CHUNKS = f"wl as (select conv_id * 100 + turn as conv_id, regexp_extract_all(response, '{_EVERY}') as w from pairs), chunks as (select conv_id, unnest(w) as content, generate_subscripts(w, 1) - 1 as seq from wl)"
+
+
+@query(f"with {TALK_PAIRS}, {CHUNKS} select conv_id, string_agg(content, '' order by seq) as response, count(*)::int as n_chunks, 0.5::double as ttft_seconds, 0.5 + max(seq) * 0.04::double as total_seconds from chunks group by conv_id", ("total_seconds",))
+def assemble_responses(spark, sf_dir):
+    stream, at = _streamed(spark, _chunks(spark, sf_dir))
+    Z.collect_batches(Z.assemble_responses(stream, "3650 days"), f"{at}/out", f"{at}/cp", "update")
+    return _latest(spark, at, ["conv_id"])
+
+
+@query(
+    f"""with {TALK_PAIRS}, {CHUNKS}, n as (select conv_id, count(*) as n from chunks group by conv_id), stop as (select conv_id, n * 3 // 4 as e from n),
+kept as (select c.conv_id, string_agg(c.content, '' order by c.seq) as t from chunks c join stop s on c.conv_id = s.conv_id and c.seq < s.e group by c.conv_id)
+select s.conv_id, case when s.conv_id % 3 = 0 and s.e > 0 then 'refined ' || s.conv_id else coalesce({duck.strip("t")}, '') end as response from stop s left join kept k on s.conv_id = k.conv_id where s.e > 0"""
+)
+def parse_sse(spark, sf_dir):
+    """[DONE] stands at three quarters of the words; every third conversation has a refined version before it; some lines are broken."""
+    c = _chunks(spark, sf_dir)
+    ends = c.groupBy("conv_id").agg(F.floor(F.count("*") * 3 / 4).cast("int").alias("e"))
+    data = c.select("conv_id", (F.col("seq") * 10).alias("seq"), F.concat(F.lit("data: "), F.to_json(F.struct("content"))).alias("line"))
+    done = ends.select("conv_id", (F.col("e") * 10 - 1).alias("seq"), F.lit("data: [DONE]").alias("line"))
+    bad = ends.select("conv_id", F.lit(-5).alias("seq"), F.lit('data: {"content": ').alias("line"))
+    other = ends.select("conv_id", F.lit(-6).alias("seq"), F.lit(": ping").alias("line"))
+    full = ends.filter("conv_id % 3 = 0 and e > 0").select("conv_id", F.lit(-4).alias("seq"), F.concat(F.lit('data: {"refined": true, "full": "refined '), "conv_id", F.lit('"}')).alias("line"))
+    got = R.parse_sse(data.union(done).union(bad).union(other).union(full))
+    return got.join(ends.filter("e > 0").select("conv_id"), "conv_id")
+
+
+_STOP = " or ".join(f"contains(lower(right(t, 50)), {duck.q(t)})".replace("\n", "' || chr(10) || '") for t in rules.STOP_TOKENS)
+
+
+@query(
+    f"""with {TALK_PAIRS}, {CHUNKS}, m as (select conv_id, seq, case when seq = 6 and conv_id % 2 = 0 then '<|user|>' else content end as content from chunks),
+r as (select *, string_agg(content, '') over (partition by conv_id order by seq rows unbounded preceding) as t from m), h as (select conv_id, min(seq) as hit from r where {_STOP} group by conv_id)
+select m.conv_id, coalesce(string_agg(content, '' order by seq) filter (h.hit is null or seq < h.hit), '') as text from m left join h on m.conv_id = h.conv_id group by m.conv_id"""
+)
+def truncate_at_stop(spark, sf_dir):
+    c = _chunks(spark, sf_dir).withColumn("content", F.when((F.col("seq") == 6) & (F.col("conv_id") % 2 == 0), "<|user|>").otherwise(F.col("content")))
+    return R.truncate_at_stop(c)
