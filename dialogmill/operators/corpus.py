@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as X
 
@@ -17,7 +17,7 @@ def with_text(df: DataFrame, fn, col: str = "text", to: str | None = None) -> Da
     return df.withColumn(to or col, fn(F.col(col)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _json_text(raw: pd.Series, keys: pd.Series) -> pd.Series:
     def walk(node, names, out):
         if isinstance(node, dict):
