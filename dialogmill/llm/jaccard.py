@@ -6,9 +6,12 @@ last and are otherwise independent. Candidates share a prefix token under the fi
 by positions in the prefix), must share one under the second as well, and only then are verified on their whole sets.
 
 Documents with equal sets are one class throughout. Of a token's classes first only pairs with the smallest are made (a star, so a group
-of m near copies gives m pairs, not m squared); after these links are verified and their components found, the second pass makes the
-pairs of a token's classes that are still in different components. So every pair that could link is either linked through others or
-verified: the components are those of the whole link graph.
+of m near copies gives m pairs, not m squared); after these links are verified and their components found, the second pass takes what of
+a token's classes of like size is still in different components. Where that is few, their pairs are made and verified. Where it is many (a
+crowd: near copies that differ too much from each other to be linked by the star), no pairs are made: the crowd's sets are sent in
+blocks, each pair of blocks is compared inside a task, and only links that join components leave it. What the largest component holds is
+compared with the rest alone. So every pair that could link is either linked through others or verified: the components are those of the
+whole link graph.
 
 Tokens are 64-bit hashes of shingles, classes 64-bit hashes of sets.
 
@@ -19,24 +22,28 @@ rows are one class; a null doc_id is never a component's name unless its class h
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
 from .runtime import blocks, durable, partitions, string_buffers
 from .textscan import Words, mix, shingle_sets
 
-#: Tokens whose frequency the orders know, at most: the most frequent. It bounds the broadcast (2 MB), not the result.
-RANKED = 1 << 17
-#: A token is counted for the ranking in batches of so many tokens in which it occurs so often: about one document in 2,000.
-COUNT_BATCH, COUNT_FROM = 5_000_000, 6
+#: Tokens whose frequency the orders know, at most: the most frequent. It bounds the broadcast (4 MB), not the result.
+RANKED = 1 << 18
+#: A token is counted for the ranking in batches of so many tokens in which it occurs so often.
+COUNT_BATCH, COUNT_FROM = 2_500_000, 3
 #: Candidate documents up to which their ids are broadcast to the texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 400_000
 #: Pairs that are verified together.
 PAIRS_A_BUCKET = 400
+#: Pairs of classes in different components from which the classes of a token and size band are a crowd, and classes a block of it.
+CROWD, CROWD_BLOCK = 600, 1200
 _U = np.uint64
 
 
@@ -104,7 +111,7 @@ def prefix_table(documents: DataFrame, k: int, percent: int, known: np.ndarray,
                 cls, lead, parts, sizes = [], [], ([], []), []
                 for s, e in zip(sets, ends):
                     n = len(s)
-                    key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None
+                    key = _name(s) if n else None
                     fresh = n > 0 and key not in met
                     cls.append(key)
                     lead.append(fresh)
@@ -132,11 +139,144 @@ def _close(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(bucket, cls, tokens): each class's set, made from its text again, once for every bucket that ``places`` (cls, bucket) names."""
+    wanted = durable(places.join(classes, "cls").groupBy("rep", "cls").agg(F.collect_set("bucket").alias("buckets")), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep").select("cls", "text", "buckets")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column("text"))
+            for a, b in blocks(offsets):
+                sets = _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+                places = batch.column("buckets").slice(a, b - a).to_pylist()
+                keys = batch.column("cls").slice(a, b - a).to_pylist()
+                # a text may have been found under an id that several rows share: the set's hash tells whose it is
+                rows = [(x, key, raw) for s, key, xs in zip(sets, keys, places) if _name(s) == key for raw in [_short(s)] for x in xs]
+                if not rows:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "cls", "tokens"])
+
+    return texts.mapInArrow(send, "bucket int, cls long, tokens binary")
+
+
+def _name(tokens: np.ndarray) -> int:
+    """A set's class."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each token: enough to compare two sets (a chance agreement is likely once in a billion pairs)."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _known(sets: pa.Table) -> dict[int, np.ndarray]:
+    """cls → tokens as sent."""
+    known = {}
+    for key, raw in zip(sets.column("cls").to_pylist(), sets.column("tokens")):
+        wide = np.zeros((len(raw.as_buffer()) // 6, 8), np.uint8)
+        wide[:, 2:] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
+        known[key] = wide.view(_U).ravel()
+    return known
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], common_from: int = 32) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets. Tokens that many of them hold are columns of a product of 0/1 matrices;
+    of the others, the few (left, right) places they share are counted one by one."""
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), np.float32)
+    token = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(n + m), [len(s) for s in (*left, *right)])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(token)))
+    common = np.flatnonzero(size >= common_from)
+    for a in range(0, len(common), 1024):
+        some = common[a : a + 1024]
+        x = np.zeros((n + m, len(some)), np.float32)
+        rows = np.concatenate([owner[start[t] : start[t] + size[t]] for t in some])
+        x[rows, np.repeat(np.arange(len(some)), size[some])] = 1
+        out += x[:n] @ x[n:].T
+    for d in range(2, common_from):
+        some = start[size == d]
+        for a in range(0, len(some), 20_000):
+            rows = owner[some[a : a + 20_000, None] + np.arange(d)]
+            for i in range(d):
+                for j in range(i + 1, d):  # owners of a token rise, so a left one comes before a right one
+                    ok = (rows[:, i] < n) & (rows[:, j] >= n)
+                    np.add.at(out, (rows[ok, i], rows[ok, j] - n), 1)
+    return out
+
+
+def _crowd_links(members: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
+    """Links that join components, among the left or between the left and right classes of one pair of blocks."""
+    known = _known(sets)
+    rows = list(zip(members.column("cls").to_pylist(), members.column("comp").to_pylist(), members.column("side").to_pylist()))
+    left, right = [r for r in rows if r[2] != "r"], [r for r in rows if r[2] != "l"]
+    root = {r[1]: r[1] for r in rows}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    if left and right:
+        a, b = [known[r[0]] for r in left], [known[r[0]] for r in right]
+        both = _overlaps(a, b)
+        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - both
+        for i, j in zip(*np.nonzero(100 * both >= percent * union)):
+            x, y = find(left[i][1]), find(right[j][1])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((left[i][0], right[j][0]))
+    return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+
+def _crowds(documents: DataFrame, classes: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of crowds. ``crowd``: (unit, cls, comp). Units that share classes are one crowd; its largest component is compared block by
+    block with the other classes, and those with each other."""
+    hub = crowd.groupBy("unit").agg(F.min("cls").alias("hub"))
+    groups = components(crowd.join(hub, "unit").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
+    named = groups.select(F.col("node").alias("cls"), F.col("comp").alias("crowd"))
+    own = durable(crowd.select("cls", "comp").distinct().join(named, "cls"), "crowd-classes")
+    sizes = own.groupBy("crowd", "comp").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("crowd").agg(F.max_by("comp", "n").alias("major"), F.max("n").alias("nm"), F.sum("n").alias("n"))
+    blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / CROWD_BLOCK)).cast("int")
+    rows = own.join(major.select("crowd", "major", blocks_of(F.col("nm")).alias("bm"), blocks_of(F.col("n") - F.col("nm")).alias("br")), "crowd")
+    rows = rows.withColumn("rest", F.col("comp") != F.col("major"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(F.col("rest"), F.col("br")).otherwise(F.col("bm"))).cast("int"))
+    many = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a class of the rest stands left in its block's row and right in its block's column; one of the largest component right only
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    block = F.col("block")
+    rest = F.concat(
+        F.transform(F.filter(many("br"), lambda j: j > block), lambda j: place("rest", block, j, "l")),
+        F.transform(F.filter(many("br"), lambda i: i < block), lambda i: place("rest", i, block, "r")),
+        F.array(place("rest", block, block, "b")),
+        F.transform(many("bm"), lambda j: place("major", block, j, "l")),
+    )
+    spots = F.when(F.col("rest"), rest).otherwise(F.transform(many("br"), lambda i: place("major", i, block, "r")))
+    spread = rows.select("cls", "comp", "crowd", F.explode(spots).alias("s")).select("cls", "comp", "crowd", "s.*")
+    spread = durable(spread.withColumn("bucket", F.pmod(F.xxhash64("crowd", "kind", "i", "j"), F.lit(2**31 - 1)).cast("int")).withColumn("place", F.concat_ws(":", "crowd", "kind", "i", "j")), "crowd-places")
+    # buckets that by chance have one number are told apart by their places
+    sets = _send_sets(documents, classes, spread.select("cls", "bucket"), k)
+    several = lambda members, sets: pa.concat_tables([_crowd_links(members.filter(pa.compute.equal(members.column("place"), p)), sets, percent) for p in members.column("place").unique()] or [pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})])
+    return spread.select("bucket", "place", "cls", "comp", "side").groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(several, "u long, v long")
+
+
 def _verify(documents: DataFrame, table: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. ``pairs`` first pass the second order's filter; the sets of the rest are made from their texts again and
     meet in buckets: pairs of the same ``a`` together, in several buckets if there are many."""
     spark = documents.sparkSession
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    asked = durable(asked, "asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
     second = table.filter("lead").select("cls", "p2").join(asked, "cls").dropDuplicates(["cls"])
     left, right = second.select(F.col("cls").alias("a"), F.col("p2").alias("pa")), second.select(F.col("cls").alias("b"), F.col("p2").alias("pb"))
     passed = pairs.select("a", "b").join(left, "a").join(right, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b")
@@ -146,27 +286,10 @@ def _verify(documents: DataFrame, table: DataFrame, classes: DataFrame, pairs: D
     dealt = passed.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(many)).cast("int").alias("bucket"))
     dealt = durable(dealt, "pairs-dealt")
     places = dealt.select(F.col("a").alias("cls"), "bucket").union(dealt.select(F.col("b").alias("cls"), "bucket")).distinct()
-    wanted = durable(places.join(classes, "cls").groupBy("rep", "cls").agg(F.collect_set("bucket").alias("buckets")), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep").select("cls", "text", "buckets")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = string_buffers(batch.column("text"))
-            for a, b in blocks(offsets):
-                sets = _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                places = batch.column("buckets").slice(a, b - a).to_pylist()
-                keys = batch.column("cls").slice(a, b - a).to_pylist()
-                rows = [(x, key, s.tobytes()) for s, key, xs in zip(sets, keys, places) for x in xs]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "cls", "tokens"])
+    sets = _send_sets(documents, classes, places, k)
 
     def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        # a class's text may have been found under several rows of one id: the class is known by its hash
-        known = {}
-        for key, raw in zip(sets.column("cls").to_pylist(), sets.column("tokens").to_pylist()):
-            if int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) == key:
-                known[key] = np.frombuffer(raw, _U)
+        known = _known(sets)
         out = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
             x, y = known[a], known[b]
@@ -178,7 +301,6 @@ def _verify(documents: DataFrame, table: DataFrame, classes: DataFrame, pairs: D
                 out.append((a, b))
         return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
-    sets = texts.mapInArrow(send, "bucket int, cls long, tokens binary")
     return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(compare, "u long, v long")
 
 
@@ -190,9 +312,9 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85) -> D
     # the rows of hot classes meet as partial sums
     classes = durable(table.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
     postings = table.filter("lead").select("cls", "n", F.posexplode("p1").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most").select("token", "least")
+    shared = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("m")).filter("least < most").select("token", "least", "m")
     # a class that leads in several tasks has its rows once
-    rows = durable(postings.join(shared, "token").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("least").alias("least")), "shared-tokens")
+    rows = durable(postings.join(shared, "token").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("least").alias("least"), F.min("m").alias("m")), "shared-tokens")
 
     size = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"))
     star = rows.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
@@ -200,21 +322,29 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85) -> D
     first = durable(_verify(documents, table, classes, star, k, percent), "links-star")
     comps = durable(components(first), "components-star")
 
-    placed = rows.join(comps, rows.cls == comps.node, "left").select("token", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
-    placed = durable(placed, "placed")
-    lists = placed.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mine, theirs = (lists.select("token", F.col("comp").alias(f"c{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}")) for x in "ab")
-    near = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
-    cross = mine.join(theirs, "token").filter("ca < cb").filter(near).select("token", "ca", "cb")
-    a = placed.select("token", F.col("comp").alias("ca"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("qa"))
-    b = placed.select("token", F.col("comp").alias("cb"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("qb"))
-    # the sets can still overlap enough if this is the first token that their prefixes share, and one earlier would tell as much
-    reach = (F.least(F.col("na") - F.col("qa"), F.col("nb") - F.col("qb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    pairs = cross.join(a, ["token", "ca"]).join(b, ["token", "cb"]).filter(_close("na", "nb", percent) & reach)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = rows.join(comps, rows.cls == comps.node, "left").select("token", "cls", "n", "pos", "m", F.coalesce("comp", "cls").alias("comp"))
+    # sets of sizes that can link are in the same or in neighbouring bands; unit u holds the bands u and u + 1
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    full = placed.filter(F.col("m") * (F.col("m") - 1) > 2 * CROWD).withColumn("band", band).withColumn("u", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    lists = full.groupBy("token", "u", "comp").agg(F.count("*").alias("k")).groupBy("token", "u")
+    lists = lists.agg(((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("apart")).filter("apart > 0")
+    full = durable(full.join(lists, ["token", "u"]), "placed")
+    crowd = full.filter(F.col("apart") > CROWD).select(F.xxhash64("token", "u").alias("unit"), "cls", "comp")
+    third = _crowds(documents, classes, durable(crowd, "crowds"), k, percent)
+
+    def pairs_of(few: DataFrame, on: list[str], once) -> DataFrame:
+        a, b = (few.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in few.columns if c not in on)) for x in "ab")
+        # the sets can still overlap enough if this is the first token that their prefixes share, and one earlier would tell as much
+        reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+        apart = (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & once
+        return a.join(b, on).filter(apart & _close("n_a", "n_b", percent) & reach).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
+    small = placed.filter(F.col("m") * (F.col("m") - 1) <= 2 * CROWD).select("token", "cls", "n", "pos", "comp")
+    banded = full.filter(F.col("apart") <= CROWD).select("token", "u", "cls", "n", "pos", "comp", "band")
+    pairs = pairs_of(small, ["token"], F.lit(True)).union(pairs_of(banded, ["token", "u"], F.col("u") == F.least("band_a", "band_b"))).distinct()
     pairs = durable(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     second = _verify(documents, table, classes, pairs, k, percent)
-    comps = durable(components(first.union(second)), "components")
+    comps = durable(components(first.union(second).union(third)), "components")
 
     named = classes.join(comps, classes.cls == comps.node, "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
