@@ -57,9 +57,9 @@ def html_main_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", "url", X.html_main_text(F.col("html")).alias("text"))
 
 
-@query("select url as source, html as text, map {'format': 'html'} as metadata from pages")
+@query("select url as source, html as text, 'html' as format from pages")
 def docs_from_rows(spark, sf_dir):
-    return C.docs_from_rows(read(spark, sf_dir, "pages"), "html", "url", "html")
+    return C.docs_from_rows(read(spark, sf_dir, "pages"), "html", "url", "html").select("source", "text", F.col("metadata")["format"].alias("format"))
 
 
 @query("select item_id as doc_id, pos::int as pos, prompt from (select item_id, unnest(p) as prompt, generate_subscripts(p, 1) - 1 as pos from (select item_id, regexp_extract_all('* **Prompt**: \"' || replace(text, '\"', '') || '\"\n* **Prompt**: \"again\"', '\\* \\*\\*Prompt\\*\\*: \"([^\"]*)\"', 1) as p from benchmark))")

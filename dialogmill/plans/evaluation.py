@@ -58,14 +58,17 @@ _RUNS = "(select *, 'run' || (conv_id % 3) as run_id from scored)"
 
 @query(
     f"""with {TALK_PAIRS}, {SCORED}, g as (select run_id, grade, count(*) as n from {_RUNS} group by all),
-m as (select run_id, map_from_entries(list((grade, n) order by grade)) as grade_distribution from g group by run_id)
+m as (select run_id, string_agg(grade || ':' || n, ', ' order by grade) as grade_distribution from g group by run_id)
 select t.*, grade_distribution from (select run_id, count(*) as total_evaluated, count(*) filter (is_bad_response) as bad_responses, count(*) filter (is_bad_response) / count(*) as bad_response_rate,
   avg(accuracy) as avg_accuracy, avg(relevance) as avg_relevance, avg(coherence) as avg_coherence, avg(composite_score) as avg_composite, count(*) filter (is_bad_response) as retrain_candidates from {_RUNS} group by run_id) t join m using (run_id)""",
     ("bad_response_rate", "avg_relevance", "avg_coherence", "avg_composite"),
 )
 def run_summary(spark, sf_dir):
     """The flagship: grades, mean scores and bad rate per run over all assistant turns."""
-    return S.run_summary(scored(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run"), F.col("conv_id") % 3)))
+    out = S.run_summary(scored(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run"), F.col("conv_id") % 3)))
+    # a map has no order that two engines share
+    entries = F.transform(F.array_sort(F.map_entries("grade_distribution")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return out.withColumn("grade_distribution", F.array_join(entries, ", "))
 
 
 @query(f"with {TALK_PAIRS}, {SCORED} select conv_id * 100 + turn as eval_id, grade from scored where is_bad_response order by eval_id desc limit 50")

@@ -199,7 +199,8 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "kb3")).count() == 0
     rows = feedback.to_messages(spark.createDataFrame([("i", "c", "r")], "instruction string, context string, response string"))
     writers.write_messages_jsonl(rows, str(tmp_path / "m"))
-    assert json.loads(next((tmp_path / "m").glob("part-*")).read_text())["messages"][0]["content"] == "i\n\nContext: c"
+    lines = [x for p in (tmp_path / "m").glob("part-*") for x in p.read_text().splitlines()]
+    assert len(lines) == 1 and json.loads(lines[0])["messages"][0]["content"] == "i\n\nContext: c"
 
 
 def test_sql_surface(spark):
