@@ -61,20 +61,37 @@ def count_of(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of ``value``, computed once: a name inside a lambda is a variable, while an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _counts(bag: Column) -> Column:
+    return F.transform(F.array_distinct(bag), lambda t: F.struct(t.alias("t"), F.size(F.filter(bag, lambda x: x == t)).cast("double").alias("n")))
+
+
+def _norm(counts: Column) -> Column:
+    return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
+
+
 def term_counts(bag: Column) -> Column:
     """array<struct<t, n>>, in order of first occurrence."""
-    return F.transform(F.array_distinct(bag), lambda t: F.struct(t.alias("t"), F.size(F.filter(bag, lambda x: x == t)).cast("double").alias("n")))
+    return let(bag, _counts)
 
 
 def bag_norm(bag: Column) -> Column:
-    return F.sqrt(F.aggregate(term_counts(bag), F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
+    return _norm(term_counts(bag))
 
 
 def bag_cosine(a: Column, b: Column) -> Column:
     """Cosine of two token arrays as term-count vectors; 0 if either is empty."""
-    dot = F.aggregate(term_counts(a), F.lit(0.0), lambda s, x: s + x["n"] * F.size(F.filter(b, lambda y: y == x["t"])))
-    norm = bag_norm(a) * bag_norm(b)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / norm).otherwise(F.lit(0.0))
+
+    def of(p: Column) -> Column:
+        dot = F.aggregate(p["ca"], F.lit(0.0), lambda s, x: s + x["n"] * F.size(F.filter(p["b"], lambda y: y == x["t"])))
+        return F.when((F.size(p["ca"]) > 0) & (F.size(p["b"]) > 0), dot / (_norm(p["ca"]) * _norm(p["cb"]))).otherwise(F.lit(0.0))
+
+    both = lambda p: F.struct(p["b"].alias("b"), _counts(p["a"]).alias("ca"), _counts(p["b"]).alias("cb"))
+    return let(let(F.struct(a.alias("a"), b.alias("b")), both), of)
 
 
 # ---- corpus cleaning ----

@@ -34,16 +34,12 @@ def _unique_ratio(w: Column) -> Column:
 
 
 def coherence(response: Column) -> Column:
-    w, n = X.words(response), F.size(X.words(response))
-    ratio = _unique_ratio(w)
-    minus = (
-        F.when(n < 5, 0.4).otherwise(0.0)
-        + F.when(n > 500, 0.2).otherwise(0.0)
-        + F.when(ratio < 0.35, 0.25).when(ratio < 0.50, 0.10).otherwise(0.0)
-        + F.when(response.rlike(rules.ROLE_LEAK), 0.30).otherwise(0.0)
-        + F.when(~response.rlike("[.!?]"), 0.10).otherwise(0.0)
-    )
-    return F.when(X.blank(response), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - minus)), 4))
+    def minus(w: Column) -> Column:
+        n, ratio = F.size(w), _unique_ratio(w)
+        return F.when(n < 5, 0.4).otherwise(0.0) + F.when(n > 500, 0.2).otherwise(0.0) + F.when(ratio < 0.35, 0.25).when(ratio < 0.50, 0.10).otherwise(0.0)
+
+    less = X.let(X.words(response), minus) + F.when(response.rlike(rules.ROLE_LEAK), 0.30).otherwise(0.0) + F.when(~response.rlike("[.!?]"), 0.10).otherwise(0.0)
+    return F.when(X.blank(response), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - less)), 4))
 
 
 def composite(acc: Column, rel: Column, coh: Column) -> Column:
