@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text as X
 from ..operators import corpus as C
+from ..sources import readers
 from . import duck
 from .base import query, read
 
@@ -57,6 +58,11 @@ def html_main_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", "url", X.html_main_text(F.col("html")).alias("text"))
 
 
+@query(f"select url as source, {_main_sql()} as text, url from pages")
+def read_html_pages(spark, sf_dir):
+    return readers.read_html_pages(read(spark, sf_dir, "pages")).select("source", "text", F.col("metadata")["url"].alias("url"))
+
+
 @query("select url as source, html as text, 'html' as format from pages")
 def docs_from_rows(spark, sf_dir):
     return C.docs_from_rows(read(spark, sf_dir, "pages"), "html", "url", "html").select("source", "text", F.col("metadata")["format"].alias("format"))
@@ -78,6 +84,12 @@ def chunk_sentences(spark, sf_dir):
     return C.chunk_sentences(read(spark, sf_dir, "documents"))
 
 
+@query()
+def chunk_offsets(spark, sf_dir):
+    """Where each chunk's first sentence begins and its last one ends in the normalised text; tests hold the slices against the chunks."""
+    return C.chunk_sentences(read(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "char_start", "char_end")
+
+
 @query()
 def ingest(spark, sf_dir):
     return C.ingest(read(spark, sf_dir, "documents")).drop("metadata")

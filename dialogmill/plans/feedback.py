@@ -14,6 +14,11 @@ def valid_votes(spark, sf_dir):
     return FB.valid_votes(votes(spark, sf_dir).withColumn("vote", F.when(F.col("vote_id") % 7 == 0, 0).otherwise(F.col("vote")))).select("vote_id", "vote")
 
 
+@query(f"with {VOTES} select vote_id from votes where vote_id % 7 = 0")
+def rejected_votes(spark, sf_dir):
+    return FB.rejected_votes(votes(spark, sf_dir).withColumn("vote", F.when(F.col("vote_id") % 7 == 0, 0).otherwise(F.col("vote")))).select("vote_id")
+
+
 @query(f"with {VOTES} select conv_id, turn, sum(vote)::bigint as net from votes group by all")
 def net_score(spark, sf_dir):
     return FB.net_score(votes(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import feedback as FB
+from ..sources import readers
 from . import duck
 from .base import TALK_PAIRS, query, read, talk_pairs
 
@@ -37,6 +38,20 @@ def sample_n(spark, sf_dir):
     return FB.sample_n(_rows(spark, sf_dir), 100, "id").select("id", "instruction")
 
 
+@query("select doc_id, source from documents order by doc_id limit 150")
+def take_split(spark, sf_dir):
+    """The first rows of a split, as a training job takes them."""
+    return FB.sample_n(read(spark, sf_dir, "documents"), 150, "doc_id").select("doc_id", "source")
+
+
+_CLEAN = lambda c: duck.strip(duck.chain(f"coalesce({c}, '')", rules.INSTRUCTION))
+
+
+@query(f"with {TALK_PAIRS}, {_ROWS} select {_CLEAN('instruction')} as instruction, {_CLEAN('context')} as context, {_CLEAN('response')} as response from rows")
+def read_instruction_rows(spark, sf_dir):
+    return readers.read_instruction_rows(_rows(spark, sf_dir))
+
+
 @query(f"with {TALK_PAIRS} select conv_id, turn, case when turn % 3 = 0 then '' else 'Human: ' || prompt end || chr(10) || chr(10) || 'Assistant: ' as prompt, response as chosen, 'no' as rejected from pairs")
 def split_preference(spark, sf_dir):
     mark = rules.ASSISTANT_MARK

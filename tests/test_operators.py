@@ -49,6 +49,10 @@ def test_chunk_sentences(spark):
             got[r.doc_id].append(r.text)
         for i, t in enumerate(texts):
             assert got.get(i, []) == plain_chunks(plain_sentences(t), size, overlap, least)
+    rows = corpus.chunk_sentences(df).collect()
+    for r in rows:
+        normal = re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", texts[r.doc_id].replace("\r\n", "\n"))).strip()
+        assert " ".join(normal[r.char_start : r.char_end].split()) == " ".join(r.text.split())
     with pytest.raises(ValueError):
         corpus.chunk_sentences(df, 80, 80)
 
