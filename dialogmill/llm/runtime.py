@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes that one numpy block covers; a longer single text forms a block of its own.
 BLOCK_BYTES = 1 << 19
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs no recomputation. What the
+    write shuffled is not needed again, so Spark is asked to delete it at the write's end instead of at some later collection."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dialogmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
