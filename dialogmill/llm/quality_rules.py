@@ -1,7 +1,8 @@
 """Quality rules: document statistics, fixed base rules, and gradient-boosted trees over the statistics.
 
 The trees are grown in numpy on a bounded, hash-ordered sample of labelled training rows (``SAMPLE``) and flattened into node arrays,
-so that a block of documents is scored by ``depth`` array look-ups a tree. Constrained features move the score one way only.
+so that a block of documents is scored by ``depth`` array look-ups a tree. Where a label has more rows than the sample takes, its rows weigh
+as many as they stand for, so that probabilities, and with them the verdict, don't depend on the size of the input. Constrained features move the score one way only.
 
 Defined cases: null or empty text has no words, so it fails the base rule; a text is read whole whatever its length; repeated rows
 score alike; without any labelled row of both kinds the verdict is the base rule's alone; an empty table gives no rows.
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import blocks, labelled_sample, string_buffers
+from .runtime import blocks, labelled_sample, sample_weights, string_buffers
 from .textscan import WHITE, Words, windows
 
 #: Labelled training rows that the trees are grown on, at most.
@@ -118,21 +119,23 @@ class Forest:
         return 1 / (1 + np.exp(-self.raw(x)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.15, ridge: float = 2.0, bins: int = 48, least: float = 4.0, monotone: dict[int, int] | None = None) -> Forest:
+def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.15, ridge: float = 2.0, bins: int = 48, least: float = 4.0, monotone: dict[int, int] | None = None, weight: np.ndarray | None = None) -> Forest:
     """Second-order boosting of the logistic loss on binned features. A split that breaks a monotonic constraint is not made, and
-    the mid value of a constrained split bounds all leaves below it."""
+    the mid value of a constrained split bounds all leaves below it. ``weight``: of the rows, brought to a mean of 1."""
     monotone = monotone or {}
     n, m = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(m)]
     code = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(m)], 1)
     width = bins + 1
-    start = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    weight = np.ones(n) if weight is None else weight / weight.mean()
+    mean = float((y * weight).mean())
+    start = float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
     score = np.full(n, start)
     size = 2 ** (depth + 1) - 1
     feature, threshold, value = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     for t in range(trees):
         p = 1 / (1 + np.exp(-score))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         node = np.zeros(n, np.int64)
         low, high = np.full(size, -np.inf), np.full(size, np.inf)
         for level in range(depth + 1):
@@ -194,7 +197,8 @@ def train_forest(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     if got.y.nunique() < 2:
         return None
-    return grow(got[FEATURES].to_numpy(), got.y.to_numpy(float), monotone={FEATURES.index(k): v for k, v in MONOTONE.items()}, **options)
+    weight = got.y.map(sample_weights(labels, "quality", sample)).to_numpy(float)
+    return grow(got[FEATURES].to_numpy(), got.y.to_numpy(float), weight=weight, monotone={FEATURES.index(k): v for k, v in MONOTONE.items()}, **options)
 
 
 def apply_rules(documents: DataFrame, forest: Forest | None, keep_from: float = KEEP_FROM) -> DataFrame:

@@ -86,16 +86,24 @@ def order_hash(*cols: Column, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of the training rows: held-out ids, null labels and null ids never take part; an id counts once."""
+    fold = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return fold.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
+def sample_weights(labels: DataFrame, label: str, limit: int) -> dict[int, float]:
+    """How many training rows one row of ``labelled_sample`` stands for, by label: 1 where all of a label fit into the sample."""
+    counts = labelled_ids(labels, label).groupBy("y").agg(F.count("*").alias("n")).collect()
+    return {r.y: r.n / min(r.n, limit // 2) for r in counts}
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, seed: int = 11) -> DataFrame:
     """At most ``limit`` labelled training rows (doc_id, text, y) in hash order, at most half of them of the rarer label's
     complement: up to ``limit // 2`` rows of each label. Held-out ids, null labels and null ids never take part. The id list
     is bounded by ``limit``, so its broadcast is too; the texts are those of whole documents."""
     spark = documents.sparkSession
-    one = (
-        labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("y"))
-    )
+    one = labelled_ids(labels, label)
     pick = one.filter("y = 1").orderBy(order_hash(F.col("doc_id"), seed=seed), "doc_id").limit(limit // 2)
     rest = one.filter("y = 0").orderBy(order_hash(F.col("doc_id"), seed=seed), "doc_id").limit(limit // 2)
     ids = spark.createDataFrame(pick.union(rest).toPandas().astype("int64"), "doc_id long, y long")

@@ -263,6 +263,17 @@ def test_quality_rules(spark, docs, labels, odd, none):
         assert (np.diff(forest.raw(y)) * sign >= -1e-12).all()
 
 
+def test_quality_rules_whatever_the_sample(spark):
+    """A sample that is cut to as many good as bad rows keeps about what the whole fold keeps."""
+    big, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    share = lambda forest: quality_rules.apply_rules(docs, forest).agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    forests = [quality_rules.train_forest(big, labels, sample) for sample in (6000, 800)]
+    whole, cut = map(share, forests)
+    print("kept", whole, cut, "start", [f.start for f in forests])
+    assert abs(forests[0].start - forests[1].start) < 0.02 and abs(whole - cut) < 0.02
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(2)
     x = rng.random((2000, 3))
