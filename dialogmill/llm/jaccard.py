@@ -141,10 +141,11 @@ def _close(a: str, b: str, percent: int):
 
 def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """(bucket, cls, tokens): each class's set, made from its text again, once for every bucket that ``places`` (cls, bucket) names."""
-    wanted = durable(places.join(classes, "cls").groupBy("rep", "cls").agg(F.collect_set("bucket").alias("buckets")), "wanted")
+    wanted = durable(places.join(classes, "cls").groupBy("cls").agg(F.min("rep").alias("rep"), F.collect_set("bucket").alias("buckets")), "wanted")
+    nameless = wanted.filter("rep is null").limit(1).count() > 0
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep").select("cls", "text", "buckets")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted.filter("rep is not null"), "rep").select("cls", "text", "buckets")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +160,28 @@ def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: i
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "cls", "tokens"])
 
-    return texts.mapInArrow(send, "bucket int, cls long, tokens binary")
+    sent = texts.mapInArrow(send, "bucket int, cls long, tokens binary")
+    if not nameless:
+        return sent
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column("text"))
+            for a, b in blocks(offsets):
+                rows = {}
+                for s in _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k):
+                    if len(s) and (key := _name(s)) not in met:
+                        met.add(key)
+                        rows[key] = _short(s)
+                if len(met) >= 1_000_000:
+                    met.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], ["cls", "tokens"])
+
+    # classes whose rows all lack an id are found by their sets, once a task
+    found = documents.filter(F.col("doc_id").cast("long").isNull()).select(F.col("text").cast("string")).mapInArrow(name, "cls long, tokens binary")
+    found = found.join(wanted.filter("rep is null"), "cls").select(F.explode("buckets").alias("bucket"), "cls", "tokens")
+    return sent.union(found.select("bucket", "cls", "tokens"))
 
 
 def _name(tokens: np.ndarray) -> int:
@@ -307,6 +329,11 @@ def _verify(documents: DataFrame, table: DataFrame, classes: DataFrame, pairs: D
 def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (rows of the same set) for every document. Two documents link when
     100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles."""
+    return _component_rows(documents, k, percent).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+def _component_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """What ``jaccard_components`` gives, with cls and chief: whether cls names its component (null for an empty set)."""
     known, level = frequent_tokens(documents, k)
     table = durable(prefix_table(documents, k, percent, known, level), "prefixes")
     # the rows of hot classes meet as partial sums
@@ -347,21 +374,48 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85) -> D
     comps = durable(components(first.union(second).union(third)), "components")
 
     named = classes.join(comps, classes.cls == comps.node, "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
-    lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "comp").select("cls", "component_id", "copies")
-    return table.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")).join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+    # the smallest id names; a null one only where there is no other
+    lowest = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("low"))
+    named = named.join(lowest, "comp").select("cls", F.col("low.rep").alias("component_id"), (F.col("cls") == F.col("low.cls")).alias("chief"), "copies")
+    found = table.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")).join(named, "cls", "left")
+    return found.select("doc_id", "cls", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), "chief")
+
+
+def _with_class(documents: DataFrame, k: int) -> DataFrame:
+    """``documents`` and ``_cls``, the class of each row's set (null if empty)."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "_cls long"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column("text"))
+            for a, b in blocks(offsets):
+                sets = _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+                cls = pa.array([_name(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, cls], [*batch.schema.names, "_cls"])
+
+    return documents.mapInArrow(name, schema)
 
 
 def keep_one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` without all but one row of each component: the one with the component's id. A repeated id keeps one row (the
-    smallest text) if any row of it names its component. Texts are shuffled only where the ids to drop are too many to broadcast."""
-    found = durable(jaccard_components(documents, k, percent), "components-of-rows")
-    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("many"))
-    odd = durable(ids.filter("not kept or many > 1"), "odd-ids").select(F.col("doc_id").alias("odd_id"), "kept")
+    """``documents`` without all but one row of each component: a row of the class that names it, under the component's id, the smallest
+    text first. Rows with an empty set are copies of nothing and stay. Most rows are told by their id; those of a repeated or null id by
+    the class of their text. Texts are shuffled only where the ids to drop are too many to broadcast, and for these odd rows."""
+    found = durable(_component_rows(documents, k, percent).select("doc_id", "cls", "component_id", "chief"), "components-of-rows")
+    kept = F.col("cls").isNull() | (F.col("chief") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(kept).alias("kept"), F.count("*").alias("many"))
+    odd = durable(ids.filter("not kept or many > 1"), "odd-ids").select(F.col("doc_id").alias("odd_id"), "many")
+    repeated = odd.filter("many > 1").select("odd_id")
+    own = F.col("doc_id").cast("long")
+    chiefs = found.filter(F.col("chief") & kept)
+    chiefs = chiefs.filter("doc_id is null").union(chiefs.join(repeated, F.col("doc_id") == F.col("odd_id"), "left_semi"))
+    chiefs = durable(chiefs.select(F.col("cls").alias("_chief"), F.col("doc_id").alias("_rep")).distinct(), "chiefs-of-odd-rows")
     if odd.count() <= BROADCAST_IDS:
-        odd = F.broadcast(odd)
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("odd_id"))
-    once = documents.join(odd, own, "left_anti")
-    others = [c for c in documents.columns if c not in ("doc_id", "text")]
-    repeated = documents.join(odd.filter("kept"), own, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row"))
-    return once.unionByName(repeated.select("doc_id", "row.*"))
+        odd, repeated = F.broadcast(odd), F.broadcast(repeated)
+    if chiefs.count() <= BROADCAST_IDS:
+        chiefs = F.broadcast(chiefs)
+    once = documents.filter(own.isNotNull()).join(odd, own == F.col("odd_id"), "left_anti")
+    rest = documents.join(repeated, own == F.col("odd_id"), "left_semi").union(documents.filter(own.isNull()))
+    rest = _with_class(rest, k)
+    others = [c for c in documents.columns if c != "text"]
+    first = rest.join(chiefs, (F.col("_cls") == F.col("_chief")) & own.eqNullSafe(F.col("_rep"))).groupBy("_cls").agg(F.min(F.struct("text", *others)).alias("_row"))
+    return once.unionByName(first.select("_row.*")).unionByName(rest.filter("_cls is null").drop("_cls"))
