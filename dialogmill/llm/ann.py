@@ -7,11 +7,12 @@ What shares a probed bucket is reranked by the inner product in double precision
 Equal vectors are one class: a class is hashed and searched once and stands for the k + 1 smallest of its ids, which is all that any
 query can need of it. Buckets are split into blocks by salt and a query meets every block, so a hot bucket is many groups of bounded size.
 
+A query whose probed buckets hold too few vectors for a whole list is compared with all of them, block by block.
+
 Vectors of unequal lengths get one more coordinate that makes their norms equal, so that the nearest direction is the largest product.
 
 Defined cases: a vector that is null, zero, of another dimension than most, or that holds a null or non-finite component takes no part;
-a null id takes no part; of rows with equal ids and vectors one counts; fewer than k candidates are all returned if their buckets are
-probed; ties go to the smaller id; an empty table gives no rows.
+a null id takes no part; of rows with equal ids and vectors one counts; fewer than k candidates are all returned; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def _block_top(k: int):
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probe_share: int = PROBE_SHARE, seed: int = 17, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each vector for whose id ``is_query`` (a condition on ``vec_id``) holds, the k others nearest by
-    inner product among those that share a probed bucket."""
+    inner product among those that share a probed bucket, or among all where these are fewer than k."""
     rows = usable(vectors, vec_id, embedding)
     found = durable(classes(rows, k + 1), "vector-classes")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -163,9 +164,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     left = probed.join(F.broadcast(sizes), ["tab", "bucket"]).withColumn("qs", salt("qb", 1)).withColumn("xs", spread("xb")).select(*keys, "cls", "vec")
     right = index.join(F.broadcast(sizes), ["tab", "bucket"]).withColumn("xs", salt("xb", 2)).withColumn("qs", spread("qb")).select(*keys, "cls", "vec", "ids")
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_top(k + 1), "cls long, vec_id long, score double")
-    one = near.groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
-    top = one.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
-    lists = top.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+
+    def lists(near: DataFrame) -> DataFrame:
+        one = near.groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
+        top = one.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
+        return top.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+
+    ranked = durable(lists(near), "vector-lists")
+    # with the query itself, a whole list has k + 1 entries
+    if ranked.filter(F.size("near") <= k).limit(1).count():
+        whole = min(k + 1, found.select(F.explode("ids").alias("id")).distinct().count())
+        few = durable(queries.join(ranked.filter(F.size("near") < whole).select("cls"), "cls", "left_semi"), "vector-short-lists")
+        xb, qb = (F.lit(-(-df.count() // BLOCK_ROWS) or 1).cast("long").alias(c) for df, c in ((found, "xb"), (few, "qb")))
+        bytes_of = lambda df, query: _hashed(df, 1, 1, width, None if even else shape.top, seed, query).drop("tab", "bucket").select("*", xb, qb)
+        left = bytes_of(few, True).withColumn("qs", salt("qb", 1)).withColumn("xs", spread("xb")).select("xs", "qs", "cls", "vec")
+        right = bytes_of(found, False).withColumn("xs", salt("xb", 2)).withColumn("qs", spread("qb")).select("xs", "qs", "cls", "vec", "ids")
+        full = left.groupBy("xs", "qs").cogroup(right.groupBy("xs", "qs")).applyInArrow(_block_top(k + 1), "cls long, vec_id long, score double")
+        ranked = ranked.join(few.select("cls"), "cls", "left_anti").union(lists(full))
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    ranked = asked.join(lists, "cls").select("query_id", F.posexplode(others).alias("pos", "x"))
+    ranked = asked.join(ranked, "cls").select("query_id", F.posexplode(others).alias("pos", "x"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -449,6 +449,20 @@ def test_ann(spark, scaled):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ann_lists_are_whole(spark):
+    """A small group opposite to a large one, and a table of fewer vectors than a list has."""
+    rng = np.random.default_rng(4)
+    way = np.eye(16)[0]
+    small, large = ((sign * way + 0.01 * rng.standard_normal((n, 16))).tolist() for sign, n in ((1, 10), (-1, 300)))
+    for vectors in (small + large, rng.standard_normal((15, 16)).tolist()):
+        rows = list(enumerate(vectors))
+        got = {}
+        for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 3).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        x = np.array(vectors)
+        assert got == {q: [int(v) for v in np.lexsort((np.arange(len(x)), -(x @ x[q]))) if v != q][:20] for q in range(3)}
+
+
 def test_hadamard():
     h = ann.hadamard(np.eye(8))
     assert np.allclose(h @ h.T, np.eye(8)) and np.allclose(np.abs(h), 8**-0.5)
