@@ -7,11 +7,15 @@ by positions in the prefix), must share one under the second as well, and only t
 
 Documents with equal sets are one class throughout. Of a token's classes first only pairs with the smallest are made (a star, so a group
 of m near copies gives m pairs, not m squared); after these links are verified and their components found, the second pass takes what of
-a token's classes of like size is still in different components. Where that is few, their pairs are made and verified. Where it is many (a
-crowd: near copies that differ too much from each other to be linked by the star), no pairs are made: the crowd's sets are sent in
-blocks, each pair of blocks is compared inside a task, and only links that join components leave it. What the largest component holds is
-compared with the rest alone. So every pair that could link is either linked through others or verified: the components are those of the
-whole link graph.
+a token's classes of like size is still in different components. Where that is few, their pairs are made and verified. Where it is many,
+the lists that share classes are a crowd. A crowd is split by the second order first: pairs that link share a prefix token there too, so if
+its lists of second-order tokens leave less than half of the pairs, they take its place, and where one of them is few its pairs are made.
+What no order splits are near copies that differ too much from each other to be linked by the star. Of these no pairs are made: their sets
+are sent in blocks by size band, blocks of bands that can link are compared inside a task, and only links that join components leave it.
+What the largest component holds is compared with the rest alone. So every pair that could link is either linked through others or
+verified: the components are those of the whole link graph.
+
+A block and a bucket of pairs are bounded by the tokens of their sets, not by their number.
 
 Tokens are 64-bit hashes of shingles, classes 64-bit hashes of sets.
 
@@ -31,19 +35,24 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .runtime import blocks, durable, partitions, string_buffers
+from .runtime import Scratch, blocks, durable, join_hot, partitions, string_buffers
 from .textscan import Words, mix, shingle_sets
 
 #: Tokens whose frequency the orders know, at most: the most frequent. It bounds the broadcast (4 MB), not the result.
 RANKED = 1 << 18
 #: A token is counted for the ranking in batches of so many tokens in which it occurs so often.
 COUNT_BATCH, COUNT_FROM = 2_500_000, 3
-#: Candidate documents up to which their ids are broadcast to the texts; beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 400_000
-#: Pairs that are verified together.
-PAIRS_A_BUCKET = 400
-#: Pairs of classes in different components from which the classes of a token and size band are a crowd, and classes a block of it.
-CROWD, CROWD_BLOCK = 600, 1200
+#: Candidate documents up to which their ids are broadcast to the texts, and buckets that they name together (4 bytes each); beyond, texts
+#: are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_PLACES = 400_000, 2_000_000
+#: Prefix tokens of candidates (4 bytes each) up to which they are broadcast to the candidate pairs.
+BROADCAST_TOKENS = 2_000_000
+#: Rounds in which tokens are looked for that several classes share: each shuffles its part of the tokens, so disk holds no more than one part.
+PARTS = 3
+#: Tokens of the sets that are verified together, about: a bucket's, and half of what a pair of blocks holds. A block has so many classes at most.
+BUCKET_TOKENS, BLOCK_CLASSES = 1 << 20, 1024
+#: Pairs of classes in different components from which the classes of a token and size band are a crowd.
+CROWD = 600
 _U = np.uint64
 
 
@@ -142,8 +151,9 @@ def _close(a: str, b: str, percent: int):
 def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """(bucket, cls, tokens): each class's set, made from its text again, once for every bucket that ``places`` (cls, bucket) names."""
     wanted = durable(places.join(classes, "cls").groupBy("cls").agg(F.min("rep").alias("rep"), F.collect_set("bucket").alias("buckets")), "wanted")
-    nameless = wanted.filter("rep is null").limit(1).count() > 0
-    if wanted.count() <= BROADCAST_IDS:
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("buckets")).alias("places"), F.count_if(F.col("rep").isNull()).alias("nameless")).first()
+    nameless = size.nameless > 0
+    if size.n <= BROADCAST_IDS and (size.places or 0) <= BROADCAST_PLACES:
         wanted = F.broadcast(wanted)
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted.filter("rep is not null"), "rep").select("cls", "text", "buckets")
 
@@ -194,48 +204,59 @@ def _short(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def _known(sets: pa.Table) -> dict[int, np.ndarray]:
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _known(sets: pa.Table, wanted: set[int] | None = None) -> dict[int, np.ndarray]:
     """cls → tokens as sent."""
     known = {}
     for key, raw in zip(sets.column("cls").to_pylist(), sets.column("tokens")):
+        if wanted is not None and key not in wanted:
+            continue
         wide = np.zeros((len(raw.as_buffer()) // 6, 8), np.uint8)
         wide[:, 2:] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
         known[key] = wide.view(_U).ravel()
     return known
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray], common_from: int = 32) -> np.ndarray:
-    """Sizes of the intersections of all left with all right sets. Tokens that many of them hold are columns of a product of 0/1 matrices;
-    of the others, the few (left, right) places they share are counted one by one."""
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], common_from: int = 32, slice_tokens: int = 1 << 18) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets (sorted), token range by token range, so that what is sorted at a time is
+    bounded. Tokens that many sets hold are columns of a product of 0/1 matrices; of the others, the few (left, right) places they share are
+    counted one by one."""
     n, m = len(left), len(right)
     out = np.zeros((n, m), np.float32)
-    token = np.concatenate([*left, *right])
-    owner = np.repeat(np.arange(n + m), [len(s) for s in (*left, *right)])
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(token)))
-    common = np.flatnonzero(size >= common_from)
-    for a in range(0, len(common), 1024):
-        some = common[a : a + 1024]
-        x = np.zeros((n + m, len(some)), np.float32)
-        rows = np.concatenate([owner[start[t] : start[t] + size[t]] for t in some])
-        x[rows, np.repeat(np.arange(len(some)), size[some])] = 1
-        out += x[:n] @ x[n:].T
-    for d in range(2, common_from):
-        some = start[size == d]
-        for a in range(0, len(some), 20_000):
-            rows = owner[some[a : a + 20_000, None] + np.arange(d)]
-            for i in range(d):
-                for j in range(i + 1, d):  # owners of a token rise, so a left one comes before a right one
-                    ok = (rows[:, i] < n) & (rows[:, j] >= n)
-                    np.add.at(out, (rows[ok, i], rows[ok, j] - n), 1)
+    sets = [*left, *right]
+    slices = max(1, -(-sum(map(len, sets)) // slice_tokens))
+    bounds = np.array([i * 2**64 // slices for i in range(1, slices)], _U)
+    edges = np.array([[0, *np.searchsorted(s, bounds), len(s)] for s in sets])
+    for k in range(slices):
+        token = np.concatenate([s[e[k] : e[k + 1]] for s, e in zip(sets, edges)])
+        owner = np.repeat(np.arange(n + m, dtype=np.int32), edges[:, k + 1] - edges[:, k])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(token)))
+        common = np.flatnonzero(size >= common_from)
+        for a in range(0, len(common), 1024):
+            some = common[a : a + 1024]
+            x = np.zeros((n + m, len(some)), np.float32)
+            rows = np.concatenate([owner[start[t] : start[t] + size[t]] for t in some])
+            x[rows, np.repeat(np.arange(len(some)), size[some])] = 1
+            out += x[:n] @ x[n:].T
+        for d in range(2, common_from):
+            some = start[size == d]
+            for a in range(0, len(some), 20_000):
+                rows = owner[some[a : a + 20_000, None] + np.arange(d)]
+                for i in range(d):
+                    for j in range(i + 1, d):  # owners of a token rise, so a left one comes before a right one
+                        ok = (rows[:, i] < n) & (rows[:, j] >= n)
+                        np.add.at(out, (rows[ok, i], rows[ok, j] - n), 1)
     return out
 
 
 def _crowd_links(members: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
     """Links that join components, among the left or between the left and right classes of one pair of blocks."""
-    known = _known(sets)
+    known = _known(sets, set(members.column("cls").to_pylist()))
     rows = list(zip(members.column("cls").to_pylist(), members.column("comp").to_pylist(), members.column("side").to_pylist()))
     left, right = [r for r in rows if r[2] != "r"], [r for r in rows if r[2] != "l"]
     root = {r[1]: r[1] for r in rows}
@@ -259,54 +280,94 @@ def _crowd_links(members: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
 
-def _crowds(documents: DataFrame, classes: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links of crowds. ``crowd``: (unit, cls, comp). Units that share classes are one crowd; its largest component is compared block by
-    block with the other classes, and those with each other."""
-    hub = crowd.groupBy("unit").agg(F.min("cls").alias("hub"))
-    groups = components(crowd.join(hub, "unit").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
+def _size_band(n: str):
+    """Sets whose sizes can link are in the same or in neighbouring bands."""
+    return lambda percent: F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+
+
+def _apart(rows: DataFrame, on: list[str]) -> DataFrame:
+    """For each list (key ``on``) the number of its pairs of classes that are in different components, where there are any."""
+    lists = rows.groupBy(*on, "comp").agg(F.count("*").alias("k")).groupBy(*on)
+    return lists.agg(((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("apart")).filter("apart > 0")
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(cls, comp, n, crowd): ``rows`` (unit, cls, comp, n) whose units share classes are one crowd."""
+    rows = durable(rows, "crowd-units")
+    hub = rows.groupBy("unit").agg(F.min("cls").alias("hub"))
+    groups = components(join_hot(rows.select("unit", "cls"), hub, ["unit"], "cls", at_most=rows.count()).select(F.col("hub").alias("u"), F.col("cls").alias("v")))
     named = groups.select(F.col("node").alias("cls"), F.col("comp").alias("crowd"))
-    own = durable(crowd.select("cls", "comp").distinct().join(named, "cls"), "crowd-classes")
-    sizes = own.groupBy("crowd", "comp").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("crowd").agg(F.max_by("comp", "n").alias("major"), F.max("n").alias("nm"), F.sum("n").alias("n"))
-    blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / CROWD_BLOCK)).cast("int")
-    rows = own.join(major.select("crowd", "major", blocks_of(F.col("nm")).alias("bm"), blocks_of(F.col("n") - F.col("nm")).alias("br")), "crowd")
-    rows = rows.withColumn("rest", F.col("comp") != F.col("major"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(F.col("rest"), F.col("br")).otherwise(F.col("bm"))).cast("int"))
-    many = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # a class of the rest stands left in its block's row and right in its block's column; one of the largest component right only
-    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    block = F.col("block")
-    rest = F.concat(
-        F.transform(F.filter(many("br"), lambda j: j > block), lambda j: place("rest", block, j, "l")),
-        F.transform(F.filter(many("br"), lambda i: i < block), lambda i: place("rest", i, block, "r")),
-        F.array(place("rest", block, block, "b")),
-        F.transform(many("bm"), lambda j: place("major", block, j, "l")),
-    )
-    spots = F.when(F.col("rest"), rest).otherwise(F.transform(many("br"), lambda i: place("major", i, block, "r")))
-    spread = rows.select("cls", "comp", "crowd", F.explode(spots).alias("s")).select("cls", "comp", "crowd", "s.*")
-    spread = durable(spread.withColumn("bucket", F.pmod(F.xxhash64("crowd", "kind", "i", "j"), F.lit(2**31 - 1)).cast("int")).withColumn("place", F.concat_ws(":", "crowd", "kind", "i", "j")), "crowd-places")
+    return durable(rows.select("cls", "comp", "n").distinct().join(named, "cls"), "crowd-classes")
+
+
+def _split(table: DataFrame, own: DataFrame, many: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Crowds by the second order: pairs (a, b) of its small lists, rows (unit, cls, comp, n) of its large ones, and the rows of ``own``
+    whose crowds it doesn't split."""
+    second = table.filter("lead").join(own, ["cls", "n"]).dropDuplicates(["cls"]).withColumn("band", _size_band("n")(percent))
+    lists = second.select("crowd", "cls", "comp", "n", "band", F.explode("p2").alias("t2")).withColumn("u", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    lists = durable(lists, "crowd-second-order")
+    on = ["crowd", "t2", "u"]
+    left = durable(_apart(lists, on), "crowd-lists")
+    worth = left.groupBy("crowd").agg(F.sum("apart").alias("after")).join(_apart(own, ["crowd"]), "crowd", "right")
+    worth = durable(worth.select("crowd", (F.coalesce("after", F.lit(0)) * 2 < F.col("apart")).alias("splits")), "crowd-splits")
+    few, crowded = (left.filter(c).join(worth.filter("splits").select("crowd"), "crowd").select(*on) for c in (F.col("apart") <= CROWD, F.col("apart") > CROWD))
+    lists_n = left.count()
+    a = join_hot(lists, few, on, "cls", at_most=lists_n)
+    a, b = (a.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "comp", "n", "band"))) for x in "ab")
+    apart = (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("u") == F.least("band_a", "band_b"))
+    pairs = a.join(b, on).filter(apart & _close("n_a", "n_b", percent)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    units = join_hot(lists, crowded, on, "cls", at_most=lists_n).select(F.xxhash64(*on).alias("unit"), "cls", "comp", "n")
+    return pairs, units, join_hot(own, worth.filter("not splits").select("crowd"), ["crowd"], "cls", at_most=many)
+
+
+def _crowd_blocks(documents: DataFrame, classes: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of crowds (cls, comp, n, crowd), block by block: a crowd's largest component with its other classes, and those with each other."""
+    count = own.count()
+    sizes = own.groupBy("crowd", "comp").agg(F.count("*").alias("m"))
+    major = sizes.groupBy("crowd").agg(F.max_by("comp", "m").alias("major"))
+    rows = join_hot(own, major, ["crowd"], "cls", at_most=count).withColumn("kind", (F.col("comp") == F.col("major")).cast("int")).withColumn("band", _size_band("n")(percent))
+    rows = durable(rows, "crowd-rows")
+    many = rows.groupBy("crowd", "kind", "band").agg(F.greatest(F.ceil(F.sum("n") / BUCKET_TOKENS), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("many"))
+    # at each band what can link with it: at most two kinds in three bands
+    near = many.select("crowd", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("at"), F.struct("kind", "band", "many").alias("x"))
+    near = durable(near.groupBy("crowd", F.col("at").alias("band")).agg(F.collect_list("x").alias("near")), "crowd-bands")
+    own_many = F.element_at(F.filter("near", lambda x: (x["kind"] == F.col("kind")) & (x["band"] == F.col("band"))), 1)["many"]
+    rows = join_hot(rows, near, ["crowd", "band"], "cls", at_most=3 * count).withColumn("block", F.pmod(F.xxhash64("cls"), own_many).cast("int"))
+    # each class stands in its block's pairs with all blocks that can link with it; pairs within the largest component are linked already
+    others = F.filter("near", lambda x: (F.col("kind") + x["kind"]) < 2)
+    others = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["many"] - 1), lambda i: F.struct(x["kind"].alias("kind"), x["band"].alias("band"), i.cast("int").alias("block")))))
+    spread = rows.select("cls", "comp", "crowd", F.struct("kind", "band", "block").alias("x"), F.explode(others).alias("y"))
+    side = F.when(F.col("x") < F.col("y"), "l").when(F.col("x") > F.col("y"), "r").otherwise("b")
+    spread = spread.select("cls", "comp", side.alias("side"), F.xxhash64("crowd", F.least("x", "y"), F.greatest("x", "y")).alias("place"))
+    spread = durable(spread.withColumn("bucket", F.pmod("place", F.lit(2**31 - 1)).cast("int")), "crowd-places")
     # buckets that by chance have one number are told apart by their places
     sets = _send_sets(documents, classes, spread.select("cls", "bucket"), k)
-    several = lambda members, sets: pa.concat_tables([_crowd_links(members.filter(pa.compute.equal(members.column("place"), p)), sets, percent) for p in members.column("place").unique()] or [pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})])
+    several = lambda members, sets: pa.concat_tables([_crowd_links(members.filter(pa.compute.equal(members.column("place"), p)), sets, percent) for p in members.column("place").unique()] or [_LINKS.empty_table()])
     return spread.select("bucket", "place", "cls", "comp", "side").groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(several, "u long, v long")
 
 
 def _verify(documents: DataFrame, table: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. ``pairs`` first pass the second order's filter; the sets of the rest are made from their texts again and
-    meet in buckets: pairs of the same ``a`` together, in several buckets if there are many."""
+    meet in buckets: pairs of the same ``a`` together, in several buckets if their sets are large or many."""
     spark = documents.sparkSession
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     asked = durable(asked, "asked")
-    if asked.count() <= BROADCAST_IDS:
+    several = asked.count()
+    if several <= BROADCAST_IDS:
         asked = F.broadcast(asked)
-    second = table.filter("lead").select("cls", "p2").join(asked, "cls").dropDuplicates(["cls"])
-    left, right = second.select(F.col("cls").alias("a"), F.col("p2").alias("pa")), second.select(F.col("cls").alias("b"), F.col("p2").alias("pb"))
-    passed = pairs.select("a", "b").join(left, "a").join(right, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b")
-    passed = durable(passed, "pairs")
-    many = max(partitions(spark), passed.count() // PAIRS_A_BUCKET + 1)
-    crowd = passed.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_BUCKET).alias("parts"))
-    dealt = passed.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(many)).cast("int").alias("bucket"))
-    dealt = durable(dealt, "pairs-dealt")
+    second = durable(table.filter("lead").select("cls", "n", "p2").join(asked, "cls").dropDuplicates(["cls"]), "asked-prefixes")
+    left, right = second.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("p2").alias("pa")), second.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("p2").alias("pb"))
+    if several <= BROADCAST_IDS and (second.agg(F.sum(F.size("p2"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        passed = pairs.select("a", "b").join(F.broadcast(left), "a").join(F.broadcast(right), "b")
+    else:
+        passed = join_hot(pairs.select("a", "b").join(right, "b"), left, ["a"], "b")
+    passed = durable(passed.filter(F.arrays_overlap("pa", "pb")).select("a", "b", "na", "nb"), "pairs")
+    load = passed.groupBy("a").agg((F.sum("nb") + F.max("na")).alias("load"))
+    load = durable(load.select("a", "load", F.ceil(F.col("load") / BUCKET_TOKENS).alias("parts")), "pairs-load")
+    total = load.agg(F.count("*").alias("n"), F.sum("load").alias("load")).first()
+    many = max(partitions(spark), (total.load or 0) // BUCKET_TOKENS + 1)
+    dealt = join_hot(passed, load.select("a", "parts"), ["a"], "b", at_most=total.n)
+    dealt = durable(dealt.select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(many)).cast("int").alias("bucket")), "pairs-dealt")
     places = dealt.select(F.col("a").alias("cls"), "bucket").union(dealt.select(F.col("b").alias("cls"), "bucket")).distinct()
     sets = _send_sets(documents, classes, places, k)
 
@@ -334,30 +395,50 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85) -> D
 
 def _component_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
     """What ``jaccard_components`` gives, with cls and chief: whether cls names its component (null for an empty set)."""
+    with Scratch() as scratch:
+        return _found_rows(documents, k, percent, scratch)
+
+
+def _found_rows(documents: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     known, level = frequent_tokens(documents, k)
     table = durable(prefix_table(documents, k, percent, known, level), "prefixes")
     # the rows of hot classes meet as partial sums
-    classes = durable(table.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
-    postings = table.filter("lead").select("cls", "n", F.posexplode("p1").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("m")).filter("least < most").select("token", "least", "m")
-    # a class that leads in several tasks has its rows once
-    rows = durable(postings.join(shared, "token").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("least").alias("least"), F.min("m").alias("m")), "shared-tokens")
-
+    classes = scratch.keep(durable(table.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes"))
+    rows = None
+    for part in range(PARTS):
+        postings = table.filter("lead").select("cls", "n", F.posexplode("p1").alias("pos", "token")).filter(F.pmod("token", F.lit(PARTS)) == part)
+        shared = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("m")).filter("least < most").select("token", "least", "m")
+        # a class that leads in several tasks has its rows once
+        some = postings.join(shared, "token").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("least").alias("least"), F.min("m").alias("m"))
+        some = durable(some, "shared-tokens")
+        rows = some if rows is None else rows.union(some)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        with Scratch() as inner:
+            return inner.keep(durable(_verify(documents, table, classes, pairs, k, percent), name))
+
+    all_classes = classes.count()
     size = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"))
     star = rows.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
-    star = durable(star.join(size, "a").filter(_close("na", "nb", percent)).select("a", "b"), "star-pairs")
-    first = durable(_verify(documents, table, classes, star, k, percent), "links-star")
-    comps = durable(components(first), "components-star")
+    star = durable(join_hot(star, size, ["a"], "b", at_most=all_classes).filter(_close("na", "nb", percent)).select("a", "b"), "star-pairs")
+    first = verified(star, "links-star")
+    comps = components(first)
 
     placed = rows.join(comps, rows.cls == comps.node, "left").select("token", "cls", "n", "pos", "m", F.coalesce("comp", "cls").alias("comp"))
-    # sets of sizes that can link are in the same or in neighbouring bands; unit u holds the bands u and u + 1
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    full = placed.filter(F.col("m") * (F.col("m") - 1) > 2 * CROWD).withColumn("band", band).withColumn("u", F.explode(F.array(F.col("band") - 1, F.col("band"))))
-    lists = full.groupBy("token", "u", "comp").agg(F.count("*").alias("k")).groupBy("token", "u")
-    lists = lists.agg(((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("apart")).filter("apart > 0")
-    full = durable(full.join(lists, ["token", "u"]), "placed")
-    crowd = full.filter(F.col("apart") > CROWD).select(F.xxhash64("token", "u").alias("unit"), "cls", "comp")
-    third = _crowds(documents, classes, durable(crowd, "crowds"), k, percent)
+    # unit u holds the bands u and u + 1
+    full = placed.filter(F.col("m") * (F.col("m") - 1) > 2 * CROWD).withColumn("band", _size_band("n")(percent)).withColumn("u", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    lists = durable(_apart(full, ["token", "u"]), "lists")
+    full = durable(join_hot(full, lists, ["token", "u"], "cls", at_most=lists.count()), "placed")
+    crowd = full.filter(F.col("apart") > CROWD).select(F.xxhash64("token", "u").alias("unit"), "cls", "comp", "n")
+    split, third = star.limit(0), first.limit(0)
+    if crowd.limit(1).count():
+        with Scratch() as inner:
+            own = _crowded(crowd)
+            split, units, whole = _split(table, own, own.count(), percent)
+            split = inner.keep(durable(split, "pairs-split"))
+            cols = ["cls", "comp", "n", "crowd"]
+            whole = durable(whole.select(*cols).union(_crowded(units).select(*cols)) if units.limit(1).count() else whole.select(*cols), "crowd-whole")
+            third = inner.keep(durable(_crowd_blocks(documents, classes, whole, k, percent), "links-crowds"))
 
     def pairs_of(few: DataFrame, on: list[str], once) -> DataFrame:
         a, b = (few.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in few.columns if c not in on)) for x in "ab")
@@ -368,16 +449,18 @@ def _component_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
 
     small = placed.filter(F.col("m") * (F.col("m") - 1) <= 2 * CROWD).select("token", "cls", "n", "pos", "comp")
     banded = full.filter(F.col("apart") <= CROWD).select("token", "u", "cls", "n", "pos", "comp", "band")
-    pairs = pairs_of(small, ["token"], F.lit(True)).union(pairs_of(banded, ["token", "u"], F.col("u") == F.least("band_a", "band_b"))).distinct()
+    pairs = pairs_of(small, ["token"], F.lit(True)).union(pairs_of(banded, ["token", "u"], F.col("u") == F.least("band_a", "band_b"))).union(split).distinct()
     pairs = durable(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    second = _verify(documents, table, classes, pairs, k, percent)
-    comps = durable(components(first.union(second).union(third)), "components")
+    second = verified(pairs, "links-cross")
+    comps = scratch.keep(components(first.union(second).union(third)))
 
     named = classes.join(comps, classes.cls == comps.node, "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
     # the smallest id names; a null one only where there is no other
     lowest = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("low"))
-    named = named.join(lowest, "comp").select("cls", F.col("low.rep").alias("component_id"), (F.col("cls") == F.col("low.cls")).alias("chief"), "copies")
-    found = table.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")).join(named, "cls", "left")
+    named = join_hot(named, lowest, ["comp"], "cls", at_most=all_classes).select("cls", F.col("low.rep").alias("component_id"), (F.col("cls") == F.col("low.cls")).alias("chief"), "copies")
+    own = scratch.keep(durable(table.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")), "rows"))
+    found = join_hot(own.filter("cls is not null"), named, ["cls"], "doc_id", at_most=all_classes).select("doc_id", "cls", "n_shingles", "component_id", "copies", "chief")
+    found = found.unionByName(own.filter("cls is null"), allowMissingColumns=True)
     return found.select("doc_id", "cls", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), "chief")
 
 

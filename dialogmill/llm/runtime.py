@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -17,9 +18,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="dialogmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,7 +39,62 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    if Scratch._open:
+        Scratch._open[-1].tables[path] = spark
+    return out
+
+
+class Scratch:
+    """Written tables of a block of code: at its end those that ``keep`` wasn't told of are deleted (their readers must be done), and the
+    others belong to the block around it, if any."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self):
+        self.tables: dict[str, SparkSession] = {}
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        if self.tables.pop(df.written_at, None) and len(Scratch._open) > 1:
+            Scratch._open[-2].tables[df.written_at] = df.sparkSession
+        return df
+
+    def discard(self, df: DataFrame) -> None:
+        self._delete(df.written_at, self.tables.pop(df.written_at))
+
+    def _delete(self, path: str, spark: SparkSession) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.pop()
+        for path, spark in self.tables.items():
+            self._delete(path, spark)
+            # broadcasts of plans that are done stay in the executors' memory until the driver's JVM collects what refers to them
+            last = spark
+        if self.tables and not Scratch._open:
+            gc.collect()
+            last._jvm.System.gc()
+
+
+#: Rows of a few numbers up to which a table is broadcast (some MB).
+BROADCAST_ROWS = 200_000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, on: list[str], by: str, at_most: int | None = None, salts: int = 32) -> DataFrame:
+    """Inner join of ``rows`` with ``one`` (a row of a few numbers a key), where a key may hold most of ``rows``. ``at_most``: a counted bound
+    on the rows of ``one``. Where that is small ``one`` is broadcast; else ``rows`` are dealt by a salt of the column ``by``, and a row of
+    ``one`` goes to those salts alone at which its key occurs."""
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(one), on)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    spread = one.join(salted.select(*on, "_salt").distinct(), on)
+    return salted.join(spread, [*on, "_salt"]).drop("_salt")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -364,10 +364,13 @@ def near_copies():
     return rows + [(200 + i, rows[8][1].upper() if i % 2 else rows[8][1]) for i in range(20)]
 
 
-@pytest.mark.parametrize("crowd", [jaccard.CROWD, 10])
-def test_jaccard(spark, crowd, monkeypatch):
+@pytest.mark.parametrize(("crowd", "from_"), [(jaccard.CROWD, 3), (10, 3), (3, 10**9)])
+def test_jaccard(spark, crowd, from_, monkeypatch):
+    """Few crowds; crowds compared in small blocks; no token known as frequent, so that a shared passage makes crowds which the second order splits."""
     monkeypatch.setattr(jaccard, "CROWD", crowd)
-    monkeypatch.setattr(jaccard, "CROWD_BLOCK", 16)
+    monkeypatch.setattr(jaccard, "COUNT_FROM", from_)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 16)
+    monkeypatch.setattr(jaccard, "BUCKET_TOKENS", 1000)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("clash")).repartition(3)
     for k, percent in ((4, 85), (5, 80)):
