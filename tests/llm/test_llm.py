@@ -161,18 +161,28 @@ def test_html_lines():
     <script>var x="</p>";</script><ul><li>i<li>j</ul><section class="comments"><p>nice post</p></section><form>f</form></article><footer>end"""
     lines, zones = html_text.lines_of(page)
     assert html_text.main_lines(lines, zones, set()) == ["A & B", "one twothree four © 5", "five", "i", "j"]
+    text = lambda page: html_text.main_lines(*html_text.lines_of(page), set())
+    assert text('<p class="a hidden b">x<p title="a hidden gem">y<p hidden>z<p hidden="">z') == ["x", "y"]
+    for wrapper in ("class='content has-sidebar'", "id=page class=no-sidebar", "class='social-history'", "class='search-results'", "id=sidebar"):
+        assert text(f"<div {wrapper}><article>ok</article></div>") == ["ok"]
+    assert text("<div class='site-footer'>a</div><div id=ad-slot-3>b</div><div class='with-nav'>c</div><div class=social-history>d</div>") == ["c", "d"]
     assert html_text.lines_of("") == ([], "") and html_text.lines_of("a < b <3 <!-- x")[0] == ["a < b <3"]
 
 
-def test_lcs():
+def test_lcs(monkeypatch):
     rng = random.Random(5)
     for _ in range(200):
         a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(2))
         table = np.zeros((len(a) + 1, len(b) + 1), int)
         for i, j in itertools.product(range(len(a)), range(len(b))):
             table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
-        x, y = html_text.common(a, b)
-        assert [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)] and len(x) == table[-1, -1]
+        for most in (1 << 17, 3):
+            monkeypatch.setattr(html_text, "MATCHES", most)
+            x, y = html_text.common(a, b)
+            assert [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)] and len(x) == table[-1, -1]
+    monkeypatch.undo()
+    x, _ = html_text.common(["r", "s"] * 20_000, ["s", "s", "r"] * 13_000)  # 10^9 pairs of equal lines
+    assert len(x) > 20_000
 
 
 def test_differencing(spark):
@@ -183,11 +193,29 @@ def test_differencing(spark):
     for r in html_text.extract_main_text(df).collect():
         got.setdefault(r.page_id, []).append(r.text)
         assert r.n_chars == len(r.text)
-    assert all(got[k] == [f"text {k} alone"] for k in range(1, 5))
+    assert all(got[k] == [f"text {k} alone"] for k in range(6)) and got[12] == ["x", "x"]
     assert got[10] == ["Site name\nBig sale today\ntext 9 alone\nAll rights"] and got[11] == [""] and len(got[12]) == 2 and got[None] == ["ok"]
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_differencing_whatever_the_partitions(spark):
+    """Unmarked pages of one host and pages without a URL, some of them copies: no menu is left, no article lost, however they are dealt."""
+    body = lambda k: "<div>Site name</div><div>Big sale</div>" + "".join(f"<p>line {j} of the article {k} that is told here</p>" for j in range(3)) + "<div>All rights</div>"
+    rows = [(k, f"http://h.org/a/{k:03}", body(k // 2 if k in (21, 33) else k)) for k in range(64)] + [(100 + k, None if k % 2 else "/x", body(100 + k)) for k in range(20)]
+    rows += [(k, f"http://h.org/a/{k:03}", body(k)) for k in (5, 5, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for many, group in ((1, 2000), (4, 7), (64, 2000), (211, 20)):
+            spark.conf.set("spark.sql.shuffle.partitions", many)
+            results.append(sorted((r.page_id, r.text) for r in html_text.extract_main_text(df.repartition(3), group).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    article = lambda k: "\n".join(f"line {j} of the article {k} that is told here" for j in range(3))
+    want = sorted((i, article(int(h.split("article ")[1].split()[0]))) for i, _, h in rows)
+    assert all(r == want for r in results)
+
+
 # ---- 2, 5, 10 classifiers ----
 
 
