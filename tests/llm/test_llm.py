@@ -480,6 +480,21 @@ def test_ann(spark, scaled):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "paired_from"), [(1.0, ann.PAIRED_FROM), (0.15, 1000)])
+def test_ann_recall(spark, spread, paired_from):
+    """12,000 vectors, without structure and in clusters, by axes and by pairs of axes."""
+    rng = np.random.default_rng(7)
+    x = (rng.standard_normal((300, 32))[rng.integers(0, 300, 12_000)] * (spread < 1) + spread * rng.standard_normal((12_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, paired_from=paired_from).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(float)
+    nearest = lambda q: {int(v) for v in np.argsort(-(x @ x[q]))[:21]} - {q}
+    hits = [len(got[q] & nearest(q)) for q in range(0, 12_000, 100)]
+    assert all(len(v) == 20 for v in got.values()) and np.mean(hits) / 20 >= 0.9
+
+
 def test_ann_lists_are_whole(spark):
     """A small group opposite to a large one, and a table of fewer vectors than a list has."""
     rng = np.random.default_rng(4)
