@@ -1,17 +1,24 @@
-"""Personal data: base patterns, and a skip-chain conditional random field over the tokens that hold a digit or an @.
+"""Personal data: base patterns, and a skip-chain conditional random field over the words of each document.
 
-The field's nodes are those tokens; all other tokens are fixed to "none". Neighbouring nodes share chain potentials; a token and the next
-one in the document with the same digits (7 or more) or the same folded text share skip potentials, so an occurrence that no pattern finds
-takes the label its repetitions have. Training is piecewise (node and edge factors are fitted apart) on a bounded sample of documents,
-with the base patterns' finds as labels; loopy sum-product messages then run over all nodes of a block at once.
+The field's nodes are the words that hold a digit, an @ or a bracketed "at", and the ``CONTEXT`` words on both sides of each; words farther
+away are observed as "none" and bound the chain. Neighbouring nodes share chain potentials. A word and the last one before it with the same
+digits or folded text share skip potentials, and so, with weights of their own, do words that agree in their first eight characters or
+their first half, in their last seven digits, or in an address's first parts: an occurrence that no pattern finds takes the label its repetitions have. All weights are fitted together by
+pseudo-likelihood; loopy sum-product messages then run over all nodes of a block at once.
+
+There are no labels for what patterns miss, so the fit makes them: on a bounded sample of documents the base patterns' finds are the labels,
+and in copies of these documents finds are split, spelled out or cut short, and ordinary numbers are added. A value that is cut short is labelled only if the whole one stands
+in the same document. Keys and tokens that an assignment names are a fifth kind, "secret", which only the field reports.
 
 Defined cases: null or empty text has no spans; texts are read whole, and each pattern runs in time linear in the text; base spans are
-never dropped or moved; repeated rows are treated alike; without a sample to learn from only base spans are returned.
+never dropped or moved; repeated rows are treated alike; without a sample to learn from only base spans are returned; a column ``n_chars``
+of another type than numbers or strings is left as it is; further columns are carried along.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,18 +29,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from .runtime import blocks, order_hash, string_buffers
 
-KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on, at most.
-SAMPLE = 1500
-#: Belief from which a token outside the base spans is reported.
-CONFIDENT = 0.95
-ROUNDS = 8
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4  # of them are the base patterns'
+#: Documents that the field is fitted on, at most, and characters of their nodes' words; documents that have more are not sampled.
+SAMPLE, SAMPLE_CHARS = 1500, 4096
+#: Belief from which a word outside the base spans is reported.
+CONFIDENT = 0.8
+#: Words on each side of a marked one that are nodes, and rounds of messages.
+CONTEXT, ROUNDS = 2, 8
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<![^\x20\t-\r])[^\x20\t-\r0-9@]*+[0-9@][^\x20\t-\r]*+")
+_WORD = re.compile(r"[^\x20\t-\r]+")
+_MARKED = re.compile(r"[0-9@]|[(\[{]at[)\]}]", re.I)
+_SPELT_AT = re.compile(rb"[(\[{][aA][tT][)\]}]")
+_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api_?key|access_?key|auth)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{16,})", re.I)
 _MARK = np.zeros(256, bool)
 _MARK[[64, *range(48, 58)]] = True
 
@@ -81,15 +93,27 @@ def base_spans(text: str) -> list[Span]:
 
 
 _EDGES = (1, 3, 4, 5, 8, 13, 16, 20)
-_WIDTH = 26
+_WIDTH = 36
+_STRIP = ".,;:!?\"'<>{}|*#$%&"
+_NAMES = frozenset("token secret password passwd apikey api_key accesskey access_key auth key".split())
 
 
-def _features(token: str, core: str) -> list[float]:
-    """Indicators of a token's shape."""
-    d = _digits(core)
-    n, letters = len(d), sum(c.isalpha() for c in core)
+def _features(token: str, core: str, before: str, second: str) -> list[float]:
+    """Indicators of a word's shape and of the two words before it."""
     x = [0.0] * _WIDTH
     x[0] = 1
+    d = _digits(core)
+    n, letters = len(d), sum(c.isalpha() for c in core)
+    low = core.lower()
+    x[28] = before.endswith(("=", ":"))
+    x[29] = (before if before.strip("=:") else second).lower().strip("\"'=:") in _NAMES
+    x[30] = low in ("(at)", "[at]")
+    x[31] = low in ("(dot)", "[dot]", "dot")
+    if not n and "@" not in core:
+        x[32] = 1
+        x[33] = "(at)" in low or "[at]" in low
+        x[34] = "." in core.strip(".")
+        return x
     x[1 + sum(n >= e for e in _EDGES)] = 1
     x[10] = "@" in core
     x[11] = bool(re.search(r"@[A-Za-z0-9-]+\.", core))
@@ -108,52 +132,79 @@ def _features(token: str, core: str) -> list[float]:
     x[23] = 0 < len(parts) - 1 < 3 and n > 0
     x[24] = "," in core
     x[25] = len(core) > 30
+    x[26] = len(core) >= 16 and letters > 0 and core.isalnum()
+    x[27] = len(core) >= 24 and letters > 0 and bool(re.fullmatch(r"[0-9a-fA-F]+", core))
+    x[33] = "(at)" in low or "[at]" in low
+    x[35] = "[.]" in core
     return x
 
 
-@dataclass
 class Graph:
-    """Nodes and edges of a block of documents. ``kind`` of an edge: 0 chain, 1 skip."""
-
-    doc: list[int]
-    span: list[tuple[int, int]]
-    x: list[list[float]]
-    edge: list[tuple[int, int, int]]
-
-    def add(self, row: int, text: str, most: int | None = None) -> None:
-        last: dict[str, int] = {}
-        previous_end = -1
-        for k, m in enumerate(_TOKEN.finditer(text)):
-            if most is not None and k >= most:
-                break
-            token = m[0]
-            core = token.strip(".,;:!?\"'<>[]{}()|*#$%&")
+    """Nodes and edges of a block of documents. ``kind`` of an edge: 0 chain, 1 the same, 2 alike. ``bound``: whether a node's left and right
+    neighbour is a word that isn't one."""
+
+    def __init__(self):
+        self.doc: list[int] = []
+        self.span: list[tuple[int, int]] = []
+        self.x: list[list[float]] = []
+        self.bound: list[tuple[bool, bool]] = []
+        self.edge: list[tuple[int, int, int]] = []
+
+    def add(self, row: int, text: str) -> None:
+        words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        live: set[int] = set()
+        for i, (a, b) in enumerate(words):
+            if _MARKED.search(text, a, b):
+                live.update(range(max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)))
+        last: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for k in sorted(live):
+            a, b = words[k]
+            token = text[a:b]
+            core = token.strip(_STRIP)
+            at = a + max(0, token.find(core))
             i = len(self.doc)
-            a = m.start() + max(0, token.find(core))
+            before, second = (text[slice(*words[k - j])] if k >= j else "" for j in (1, 2))
             self.doc.append(row)
-            self.span.append((a, a + len(core)))
-            self.x.append(_features(token, core))
-            if previous_end >= 0 and m.start() - previous_end <= 1:
+            self.span.append((at, at + len(core)))
+            self.x.append(_features(token, core, before, second))
+            self.bound.append((k > 0 and k - 1 not in live, k + 1 < len(words) and k + 1 not in live))
+            if k - 1 in live:
                 self.edge.append((i - 1, i, 0))
-            previous_end = m.end()
-            d = _digits(core)
-            key = d if len(d) >= 7 else core.casefold()
-            if len(key) >= 3:
-                if key in last:
-                    self.edge.append((last[key], i, 1))
-                last[key] = i
+            if not _MARKED.search(core):
+                continue
+            d, low = _digits(core), core.casefold()
+            same = [d if len(d) >= 7 else low] if len(low) >= 3 else []
+            alike = [d[-7:]] if 7 <= len(d) <= 15 else []
+            if "@" in low:
+                alike.append(low.split(".")[0])
+            elif low.count(".") in (2, 3):
+                alike.append(".".join(low.split(".")[:3]))
+            elif len(low) >= 8:
+                alike += [f"<{low[:n]}" for n in {8, len(low) // 2, len(low)} if n >= 8]
+            met: set[int] = set()
+            for kind, keys in ((1, same), (2, alike)):
+                for key in keys:
+                    if (j := last[kind - 1].get(key)) is not None and j not in met:
+                        met.add(j)
+                        self.edge.append((j, i, kind))
+                    last[kind - 1][key] = i
 
 
 @dataclass
 class Field:
-    """``node``: (features, labels) weights; ``edge``: (2, labels, labels) log potentials. Label 0 is none, k + 1 is KINDS[k]."""
+    """``node``: (features, labels) weights; ``edge``: (3, labels, labels) log potentials by kind, those of skips symmetric. Label 0 is none,
+    k + 1 is KINDS[k]."""
 
     node: np.ndarray
     edge: np.ndarray
 
+    def unary(self, graph: Graph) -> np.ndarray:
+        bound = np.asarray(graph.bound, float).reshape(-1, 2)
+        return np.asarray(graph.x).reshape(-1, len(self.node)) @ self.node + bound[:, :1] * self.edge[0, 0] + bound[:, 1:] * self.edge[0, :, 0]
+
     def beliefs(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
         """Loopy sum-product: each round renews all messages from the last round's, half damped."""
-        unary = np.asarray(graph.x) @ self.node
+        unary = self.unary(graph)
         if graph.edge:
             e = np.array(graph.edge)
             src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
@@ -172,57 +223,140 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3, tokens: int = 400) -> Field | None:
-    """Piecewise fit: a softmax regression for the nodes; for the edges the log odds of label pairs against independence.
-    Of a sampled text the first ``tokens`` nodes take part in the fit."""
-    graph, y = Graph([], [], [], []), []
-    for row, text in enumerate(texts):
+def labelled_spans(text: str) -> list[Span]:
+    """What the fit takes as given: base finds, and the values of assignments to names of secrets."""
+    return base_spans(text) + [(BASE, m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
+
+
+def _spelt(kind: int, value: str, rng: random.Random) -> tuple[str, str]:
+    """A find in another spelling, and cut short."""
+    d = _digits(value)
+    if kind == 0:
+        local, domain = value.rsplit("@", 1)
+        at = rng.choice(["(at)", "[at]"])
+        return rng.choice([f"{local} {at} {domain.replace('.', rng.choice([' (dot) ', ' dot ', ' [dot] ']))}", f"{local} {at} {domain}", f"{local}{at}{domain}"]), f"{local}@{domain.split('.')[0]}"
+    if kind == 1:
+        return value.replace(".", rng.choice(["[.]", " . ", "[.]"])), value.rsplit(".", 1)[0]
+    if kind == 2:
+        fours = [d[i : i + 4] for i in range(0, len(d), 4)]
+        return rng.choice([".", "/", "_"]).join(fours), d[:8]
+    if kind == 3:
+        area, rest = d[-10:-7], d[-7:]
+        return rng.choice([f"({area}) {rest[:3]}-{rest[3:]}", f"{area}.{rest[:3]}.{rest[3:]}", f"{area}-{rest[:3]}-{rest[3:]}"]), f"{rest[:3]}-{rest[3:]}"
+    return value, value[: len(value) // 2]
+
+
+def altered(text: str, spans: list[Span], rng: random.Random) -> tuple[str, list[Span]]:
+    """``text`` with each of its finds respelt, cut short, or whole with another spelling or a part of it at the end; and the labels."""
+    out, labels, tail, at = "", [], [], 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < at:
+            continue
+        out += text[at:a]
+        value, at = text[a:b], b
+        other, short = _spelt(kind, value, rng)
+        way = rng.randrange(4)
+        put = (other, short, value, value)[way]
+        if way != 1:
+            labels.append((kind, len(out), len(out) + len(put)))
+        out += put
+        if way > 1:
+            tail.append((kind, other if way == 2 else short))
+    out += text[at:]
+    for kind, value in tail:
+        out += " so it "
+        labels.append((kind, len(out), len(out) + len(value)))
+        out += value + " was"
+    # ordinary numbers, which the sample may lack
+    year, few, many, share = rng.randint(1800, 2100), rng.randint(1, 99), rng.randint(100, 99_999), rng.randint(1, 999) / 10
+    return f"{out} so In {year} there were {few} of {many} and {share} of {many:,} ({year}) so", labels
+
+
+def fit(texts: list[str], steps: int = 300, rate: float = 0.2, decay: float = 2e-6, seed: int = 9) -> Field | None:
+    """Node, chain and skip weights together: gradient steps on the pseudo-likelihood, each node's label given those of its neighbours."""
+    graph, y, rng = Graph(), [], random.Random(seed)
+
+    def learn(text: str, spans: list[Span]) -> None:
         a = len(graph.doc)
-        graph.add(row, text, tokens)
-        spans = base_spans(text)
+        graph.add(len(graph.doc), text)
         for s, t in graph.span[a:]:
             y.append(next((k + 1 for k, b, e in spans if s < e and t > b), 0))
+
+    for text in texts:
+        spans = labelled_spans(text)
+        learn(text, spans)
+        for _ in range(5 if spans else 0):
+            learn(*altered(text, spans, rng))
     labels = len(KINDS) + 1
-    if not y or not any(y):
+    if not any(y):
         return None
-    x, y = np.asarray(graph.x), np.asarray(y)
-    goal = np.eye(labels)[y]
-    weight = np.zeros((x.shape[1], labels))
-    momentum = np.zeros_like(weight)
-    for _ in range(steps):
-        z = x @ weight
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        momentum = 0.9 * momentum + x.T @ (p - goal) / len(y) + decay * weight
-        weight -= rate * momentum
-    share = (goal.sum(0) + 1) / (len(y) + labels)
-    edge = np.zeros((2, labels, labels))
-    for kind in (0, 1):
-        # the prior is independence, for skips with equal labels e**2 times likelier: few training documents repeat an entity
-        seen = 5 * np.outer(share, share) * np.exp(2 * kind * np.eye(labels))
+    goal, bound = np.eye(labels)[np.asarray(y)], np.asarray(graph.bound, float)
+    # what the neighbours' labels add is linear in the potentials, so they are inputs: label counts before, behind, of the same, of those alike
+    around = np.zeros((4, len(y), labels))
+    around[0, :, 0], around[1, :, 0] = bound[:, 0], bound[:, 1]
+    for kind in range(3):
         e = np.array([(a, b) for a, b, k in graph.edge if k == kind], int).reshape(-1, 2)
-        np.add.at(seen, (y[e[:, 0]], y[e[:, 1]]), 1)
-        edge[kind] = np.clip(np.log(seen / seen.sum()) - np.log(np.outer(share, share)), -3, 3)
-    return Field(weight, edge)
+        np.add.at(around[0 if kind == 0 else kind + 1], e[:, 1], goal[e[:, 0]])
+        np.add.at(around[1 if kind == 0 else kind + 1], e[:, 0], goal[e[:, 1]])
+    x = np.concatenate([np.asarray(graph.x), *around], 1).astype(np.float32)
+    goal = goal.astype(np.float32)
+    param = [np.zeros((_WIDTH, labels)), np.zeros((3, labels, labels))]
+    mean, square = [np.zeros_like(p) for p in param], [np.zeros_like(p) for p in param]
+    for t in range(1, steps + 1):
+        node, edge = param
+        z = x @ np.concatenate([node, edge[0], edge[0].T, edge[1], edge[2]]).astype(np.float32)
+        p = np.exp(z - z.max(1, keepdims=True))
+        g = (x.T @ (p / p.sum(1, keepdims=True) - goal)).astype(float) / len(x)
+        before, behind, same, alike = g[_WIDTH:].reshape(4, labels, labels)
+        grad = [g[:_WIDTH] + decay * node, np.stack([before + behind.T, same + same.T, alike + alike.T]) + decay * edge]
+        for i, g in enumerate(grad):
+            mean[i] += 0.1 * (g - mean[i])
+            square[i] += 0.01 * (g * g - square[i])
+            param[i] = param[i] - rate * (mean[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.99**t)) + 1e-8)
+    return Field(*param)
+
+
+def _nodes_alone(text: str) -> str:
+    """``text`` without the words that are far from any node (a mark stands for a run of them), so that a sampled text is short."""
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    near: set[int] = set()
+    for i, (a, b) in enumerate(words):
+        if _MARKED.search(text, a, b):
+            near.update(range(max(0, i - CONTEXT - 2), min(len(words), i + CONTEXT + 3)))
+    out, last = [], -1
+    for i in sorted(near):
+        out.append(text[words[i - 1][1] : words[i][1]] if i - 1 == last and i else ("\n…\n" if i else "") + text[slice(*words[i])])
+        last = i
+    return "".join(out)
 
 
 def train_field(documents: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Fits on at most ``sample`` documents that hold a digit or an @, taken in hash order."""
+    """Fits on at most ``sample`` documents that hold a digit or an @, taken in hash order, as their nodes' words: at most ``SAMPLE_CHARS``
+    characters of each reach the driver."""
     spark = documents.sparkSession
-    some = documents.filter(F.col("text").rlike("[0-9@]")).select("doc_id", order_hash(F.col("doc_id"), F.length("text"), seed=5).alias("h")).orderBy("h", "doc_id").limit(sample)
-    ids = spark.createDataFrame([(r.doc_id,) for r in some.dropna().collect()], "doc_id long").distinct()
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(sample).collect()
+    some = documents.filter(F.col("text").rlike("[0-9@]")).select(F.col("doc_id").cast("long").alias("doc_id"), order_hash(F.col("doc_id"), F.length("text"), seed=5).alias("h")).filter("doc_id is not null")
+    ids = spark.createDataFrame([(r.doc_id,) for r in some.orderBy("h", "doc_id").limit(sample).collect()], "doc_id long").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [_nodes_alone(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(short, pa.string())], ["doc_id", "text"])
+
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").mapInArrow(cut, "doc_id long, text string")
+    texts = texts.filter(F.length("text") <= SAMPLE_CHARS).orderBy("doc_id", "text").limit(sample).collect()
     return fit([r.text for r in texts if r.text])
 
 
 def find_block(raw: np.ndarray, offsets: np.ndarray, field: Field | None, confident: float = CONFIDENT) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text of a block. Texts without a digit or an @ are not even decoded: no pattern can match."""
+    """(base spans, all spans) of each text of a block. Texts without a digit, an @ or a spelt "at" are not even decoded: nothing can match."""
     marks = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(_MARK[raw], out=marks[1:])
-    some = np.flatnonzero(np.diff(marks[offsets]))
+    some = np.diff(marks[offsets]) > 0
+    spelt = [m.start() for m in _SPELT_AT.finditer(memoryview(raw))]
+    some[np.searchsorted(offsets, spelt, side="right") - 1] = True
     found: list[tuple[list[Span], list[Span]]] = [([], [])] * (len(offsets) - 1)
-    graph = Graph([], [], [], [])
-    for d in some:
+    graph = Graph()
+    for d in np.flatnonzero(some):
         text = raw[offsets[d] : offsets[d + 1]].tobytes().decode()
         spans = base_spans(text)
         found[d] = (spans, list(spans))
@@ -232,12 +366,12 @@ def find_block(raw: np.ndarray, offsets: np.ndarray, field: Field | None, confid
         belief = field.beliefs(graph)
         label = belief.argmax(1)
         chain = {b: a for a, b, kind in graph.edge if kind == 0}
-        fresh: dict[int, Span] = {}  # by its last node: tokens of one number that stand side by side are one span
+        fresh: dict[int, Span] = {}  # by its last node: words of one kind that stand side by side are one span
         for i in np.flatnonzero((label > 0) & (belief.max(1) >= confident)):
             (a, b), kind, base = graph.span[i], int(label[i]) - 1, found[graph.doc[i]][0]
             if a == b or any(a < e and b > s for _, s, e in base):
                 continue
-            before = fresh.pop(chain[i], None) if kind in (2, 3) and chain.get(i) in fresh and fresh[chain[i]][0] == kind else None
+            before = fresh.pop(chain[i], None) if chain.get(i) in fresh and fresh[chain[i]][0] == kind else None
             fresh[int(i)] = (kind, before[1] if before else a, b)
         for i, span in fresh.items():
             found[graph.doc[i]][1].append(span)
@@ -261,7 +395,7 @@ def redact(text: str, spans: list[Span]) -> str:
 def find_personal_data(documents: DataFrame, field: Field | None, redacted: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with ``redacted`` instead all columns of ``documents``, each text
     with its spans replaced (and ``n_chars`` renewed if there)."""
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans"]
     nothing = hashlib.sha256(b"").hexdigest()
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +405,7 @@ def find_personal_data(documents: DataFrame, field: Field | None, redacted: bool
             for a, b in blocks(offsets):
                 counts, digests, spans = [], [], []
                 for base, every in find_block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], field):
-                    counts.append([sum(s[0] == k for s in base) for k in range(4)] if base else [0] * 4)
+                    counts.append([sum(s[0] == k for s in base) for k in range(BASE)] if base else [0] * BASE)
                     digests.append(hashlib.sha256(spell(base).encode()).hexdigest() if base else nothing)
                     spans.append(spell(every))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(digests), pa.array(spans)], names)
@@ -287,9 +421,11 @@ def find_personal_data(documents: DataFrame, field: Field | None, redacted: bool
                 texts = [redact(t, every) if every else t for t, (_, every) in zip(texts, found)]
                 columns = list(part.columns)
                 columns[at] = pa.array(texts, pa.string())
-                if chars >= 0:
-                    sizes = [len(t) if every else n for t, n, (_, every) in zip(texts, part.column(chars).to_pylist(), found)]
-                    columns[chars] = pa.array(sizes, part.schema.field(chars).type)
+                kind = part.schema.field(chars).type if chars >= 0 else pa.null()
+                if pa.types.is_integer(kind) or pa.types.is_string(kind):
+                    size = str if pa.types.is_string(kind) else int
+                    sizes = [size(len(t)) if every else n for t, n, (_, every) in zip(texts, part.column(chars).to_pylist(), found)]
+                    columns[chars] = pa.array(sizes, kind)
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     if redacted:
