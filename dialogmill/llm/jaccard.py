@@ -3,7 +3,8 @@
 If two sets reach the threshold, then under any one order of all tokens their prefixes share a token. Each order here ranks a token by how
 frequent it is (rare ones first) and then by a hash seeded for the order, so that the orders agree in putting what every document has
 last and are otherwise independent. Candidates share a prefix token under the first order (an equi-join on tokens, thinned by set sizes and
-by positions in the prefix), must share one under the second as well, and only then are verified on their whole sets.
+by positions in the prefix), must share one under the second as well, and only then are verified on their whole sets. The tokens of few
+classes meet by a shuffle; those of many (known from the count of frequent tokens, so bounded in number) by a broadcast of their totals.
 
 Documents with equal sets are one class throughout. Of a token's classes first only pairs with the smallest are made (a star, so a group
 of m near copies gives m pairs, not m squared); after these links are verified and their components found, the second pass takes what of
@@ -45,10 +46,8 @@ COUNT_BATCH, COUNT_FROM = 2_500_000, 3
 #: Candidate documents up to which their ids are broadcast to the texts, and buckets that they name together (4 bytes each); beyond, texts
 #: are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_PLACES = 400_000, 2_000_000
-#: Prefix tokens of candidates (4 bytes each) up to which they are broadcast to the candidate pairs.
-BROADCAST_TOKENS = 2_000_000
-#: Rounds in which tokens are looked for that several classes share: each shuffles its part of the tokens, so disk holds no more than one part.
-PARTS = 3
+#: Documents with a token from which it is hot, as a binary logarithm.
+HOT_LEVEL = 10
 #: Tokens of the sets that are verified together, about: a bucket's, and half of what a pair of blocks holds. A block has so many classes at most.
 BUCKET_TOKENS, BLOCK_CLASSES = 1 << 20, 1024
 #: Pairs of classes in different components from which the classes of a token and size band are a crowd.
@@ -101,47 +100,55 @@ def _ordered(token: np.ndarray, known: np.ndarray, level: np.ndarray, seed: int)
     return place
 
 
-def prefix_table(documents: DataFrame, k: int, percent: int, known: np.ndarray, level: np.ndarray) -> DataFrame:
-    """doc_id, cls, n, lead (the class's first row in its task), p1 and p2: the prefixes of a lead's set under both orders. p2 is cut to
-    32 bits: a chance agreement only lets a pair through to verification."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((known, level))
+def prefix_table(documents: DataFrame, k: int, percent: int, orders) -> DataFrame:
+    """doc_id, cls, n, lead (the class's first row in its task), and for a lead p1: its set's prefix under the first order. ``orders``: the
+    broadcast frequent tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, level = shared.value
+        known, level = orders.value
         met: set[int] = set()
         for batch in batches:
             raw, offsets = string_buffers(batch.column("text"))
             for a, b in blocks(offsets):
                 sets = _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                flat = np.concatenate(sets)
-                orders = [_ordered(flat, known, level, seed) for seed in (1, 2)]
+                order = _ordered(np.concatenate(sets), known, level, 1)
                 ends = np.cumsum([len(s) for s in sets])
-                cls, lead, parts, sizes = [], [], ([], []), []
+                cls, lead, parts, sizes = [], [], [], []
                 for s, e in zip(sets, ends):
                     n = len(s)
                     key = _name(s) if n else None
                     fresh = n > 0 and key not in met
                     cls.append(key)
                     lead.append(fresh)
-                    size = 0
                     if fresh:
                         if len(met) >= 1_000_000:
                             met.clear()
                         met.add(key)
-                        size = n - (percent * n + 99) // 100 + 1
-                        for part, order in zip(parts, orders):
-                            part.append(np.sort(order[e - n : e])[:size])
-                    sizes.append(size)
+                        parts.append(np.sort(order[e - n : e])[: _prefix(n, percent)])
+                    sizes.append(len(parts[-1]) if fresh else 0)
                 at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                one = np.concatenate(parts[0]).view(np.int64) if parts[0] else np.zeros(0, np.int64)
-                two = (np.concatenate(parts[1]) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if parts[1] else np.zeros(0, np.int32)
-                cols = [batch.column("doc_id").slice(a, b - a), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(lead)]
-                cols += [pa.ListArray.from_arrays(at, pa.array(one)), pa.ListArray.from_arrays(at, pa.array(two))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cls", "n", "lead", "p1", "p2"])
+                one = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+                cols = [batch.column("doc_id").slice(a, b - a), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(lead), pa.ListArray.from_arrays(at, pa.array(one))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cls", "n", "lead", "p1"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(scan, "doc_id long, cls long, n int, lead boolean, p1 array<long>, p2 array<int>")
+    return rows.mapInArrow(scan, "doc_id long, cls long, n int, lead boolean, p1 array<long>")
+
+
+def _prefix(n: int, percent: int) -> int:
+    """Of a set of n tokens, how many come before all that a linked set can lack together."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _second_prefix(tokens: np.ndarray, percent: int, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The prefix under the second order of a set as it was sent (48 bits a token)."""
+    return np.sort(_ordered(tokens, known, level, 2))[: _prefix(len(tokens), percent)]
+
+
+def _cut(known: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent tokens as ``_short`` sends them."""
+    tokens, at = np.unique(known >> _U(16) << _U(16), return_index=True)
+    return tokens, level[at]
 
 
 def _close(a: str, b: str, percent: int):
@@ -204,6 +211,7 @@ def _short(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
+_PAIR = ["cls_a as a", "cls_b as b", "n_a as na", "n_b as nb"]
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -300,10 +308,20 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return durable(rows.select("cls", "comp", "n").distinct().join(named, "cls"), "crowd-classes")
 
 
-def _split(table: DataFrame, own: DataFrame, many: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Crowds by the second order: pairs (a, b) of its small lists, rows (unit, cls, comp, n) of its large ones, and the rows of ``own``
+def _split(documents: DataFrame, classes: DataFrame, own: DataFrame, many: int, k: int, percent: int, orders) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Crowds by the second order: pairs (a, b, na, nb) of its small lists, rows (unit, cls, comp, n) of its large ones, and the rows of ``own``
     whose crowds it doesn't split."""
-    second = table.filter("lead").join(own, ["cls", "n"]).dropDuplicates(["cls"]).withColumn("band", _size_band("n")(percent))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, level = _cut(*orders.value)
+        for batch in batches:
+            found = {key: _second_prefix(s, percent, known, level).view(np.int64) for key, s in _known(batch).items()}
+            sizes = np.cumsum([0, *map(len, found.values())])
+            flat = np.concatenate([*found.values(), np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["cls", "p2"])
+
+    second = _send_sets(documents, classes, own.select("cls", F.lit(0).alias("bucket")), k).mapInArrow(prefixes, "cls long, p2 array<long>")
+    second = second.join(own, "cls").dropDuplicates(["cls"]).withColumn("band", _size_band("n")(percent))
     lists = second.select("crowd", "cls", "comp", "n", "band", F.explode("p2").alias("t2")).withColumn("u", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     lists = durable(lists, "crowd-second-order")
     on = ["crowd", "t2", "u"]
@@ -315,7 +333,7 @@ def _split(table: DataFrame, own: DataFrame, many: int, percent: int) -> tuple[D
     a = join_hot(lists, few, on, "cls", at_most=lists_n)
     a, b = (a.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "comp", "n", "band"))) for x in "ab")
     apart = (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("u") == F.least("band_a", "band_b"))
-    pairs = a.join(b, on).filter(apart & _close("n_a", "n_b", percent)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    pairs = a.join(b, on).filter(apart & _close("n_a", "n_b", percent)).selectExpr(*_PAIR)
     units = join_hot(lists, crowded, on, "cls", at_most=lists_n).select(F.xxhash64(*on).alias("unit"), "cls", "comp", "n")
     return pairs, units, join_hot(own, worth.filter("not splits").select("crowd"), ["crowd"], "cls", at_most=many)
 
@@ -346,22 +364,10 @@ def _crowd_blocks(documents: DataFrame, classes: DataFrame, own: DataFrame, k: i
     return spread.select("bucket", "place", "cls", "comp", "side").groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(several, "u long, v long")
 
 
-def _verify(documents: DataFrame, table: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. ``pairs`` first pass the second order's filter; the sets of the rest are made from their texts again and
-    meet in buckets: pairs of the same ``a`` together, in several buckets if their sets are large or many."""
+def _verify(documents: DataFrame, classes: DataFrame, passed: DataFrame, k: int, percent: int, orders) -> DataFrame:
+    """The pairs (a, b, na, nb) that link. The sets are made from their texts again and meet in buckets: pairs of the same ``a`` together, in
+    several buckets if their sets are large or many. There a pair must pass the second order's filter before its sets are compared."""
     spark = documents.sparkSession
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    asked = durable(asked, "asked")
-    several = asked.count()
-    if several <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    second = durable(table.filter("lead").select("cls", "n", "p2").join(asked, "cls").dropDuplicates(["cls"]), "asked-prefixes")
-    left, right = second.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("p2").alias("pa")), second.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("p2").alias("pb"))
-    if several <= BROADCAST_IDS and (second.agg(F.sum(F.size("p2"))).first()[0] or 0) <= BROADCAST_TOKENS:
-        passed = pairs.select("a", "b").join(F.broadcast(left), "a").join(F.broadcast(right), "b")
-    else:
-        passed = join_hot(pairs.select("a", "b").join(right, "b"), left, ["a"], "b")
-    passed = durable(passed.filter(F.arrays_overlap("pa", "pb")).select("a", "b", "na", "nb"), "pairs")
     load = passed.groupBy("a").agg((F.sum("nb") + F.max("na")).alias("load"))
     load = durable(load.select("a", "load", F.ceil(F.col("load") / BUCKET_TOKENS).alias("parts")), "pairs-load")
     total = load.agg(F.count("*").alias("n"), F.sum("load").alias("load")).first()
@@ -372,21 +378,27 @@ def _verify(documents: DataFrame, table: DataFrame, classes: DataFrame, pairs: D
     sets = _send_sets(documents, classes, places, k)
 
     def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        known = _known(sets)
+        known, level = _cut(*orders.value)
+        tokens, prefix = _known(sets), {}
         out = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            x, y = known[a], known[b]
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            both = np.sort(np.concatenate([x, y]))
-            inter = int(np.count_nonzero(both[1:] == both[:-1]))
-            if 100 * inter >= percent * (len(both) - inter):
+            x, y = tokens[a], tokens[b]
+            for key, s in ((a, x), (b, y)):
+                if key not in prefix:
+                    prefix[key] = _second_prefix(s, percent, known, level)
+            if _shared(prefix[a], prefix[b]) and 100 * (inter := _shared(x, y)) >= percent * (len(x) + len(y) - inter):
                 out.append((a, b))
         return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
     return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(compare, "u long, v long")
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many tokens two sorted sets share."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (rows of the same set) for every document. Two documents link when
     100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles."""
@@ -400,27 +412,35 @@ def _component_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _found_rows(documents: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    known, level = frequent_tokens(documents, k)
-    table = durable(prefix_table(documents, k, percent, known, level), "prefixes")
+    orders = documents.sparkSession.sparkContext.broadcast(frequent_tokens(documents, k))
+    table = durable(prefix_table(documents, k, percent, orders), "prefixes")
     # the rows of hot classes meet as partial sums
     classes = scratch.keep(durable(table.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes"))
-    rows = None
-    for part in range(PARTS):
-        postings = table.filter("lead").select("cls", "n", F.posexplode("p1").alias("pos", "token")).filter(F.pmod("token", F.lit(PARTS)) == part)
-        shared = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("m")).filter("least < most").select("token", "least", "m")
+    postings = table.filter("lead").select("cls", "n", F.posexplode("p1").alias("pos", "token"))
+    hot = F.shiftrightunsigned("token", 58) > HOT_LEVEL
+
+    def shared(postings: DataFrame) -> DataFrame:
+        """Tokens of several classes: the least of these and its size, and how many postings there are."""
+        found = postings.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("low"), F.max("cls").alias("most"), F.count("*").alias("m")).filter("low.cls < most")
+        return found.select("token", F.col("low.cls").alias("least"), F.col("low.n").alias("least_n"), "m")
+
+    def met(postings: DataFrame, tokens: DataFrame) -> DataFrame:
         # a class that leads in several tasks has its rows once
-        some = postings.join(shared, "token").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("least").alias("least"), F.min("m").alias("m"))
-        some = durable(some, "shared-tokens")
-        rows = some if rows is None else rows.union(some)
+        rest = [F.min(c).alias(c) for c in ("n", "pos", "least", "least_n", "m")]
+        return postings.join(tokens, "token").groupBy("token", "cls").agg(*rest)
+
+    # one shuffle serves both the count and the join
+    cold = postings.filter(~hot).repartition("token")
+    rows = durable(met(cold, shared(cold)), "shared-tokens")
+    hot_tokens = durable(shared(postings.filter(hot)), "hot-tokens")
+    rows = rows.union(durable(met(postings.filter(hot), F.broadcast(hot_tokens)), "hot-postings"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         with Scratch() as inner:
-            return inner.keep(durable(_verify(documents, table, classes, pairs, k, percent), name))
+            return inner.keep(durable(_verify(documents, classes, pairs, k, percent, orders), name))
 
-    all_classes = classes.count()
-    size = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"))
-    star = rows.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
-    star = durable(join_hot(star, size, ["a"], "b", at_most=all_classes).filter(_close("na", "nb", percent)).select("a", "b"), "star-pairs")
+    star = rows.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"), F.col("least_n").alias("na"), F.col("n").alias("nb"))
+    star = durable(star.filter(_close("na", "nb", percent)).distinct(), "star-pairs")
     first = verified(star, "links-star")
     comps = components(first)
 
@@ -434,7 +454,7 @@ def _found_rows(documents: DataFrame, k: int, percent: int, scratch: Scratch) ->
     if crowd.limit(1).count():
         with Scratch() as inner:
             own = _crowded(crowd)
-            split, units, whole = _split(table, own, own.count(), percent)
+            split, units, whole = _split(documents, classes, own, own.count(), k, percent, orders)
             split = inner.keep(durable(split, "pairs-split"))
             cols = ["cls", "comp", "n", "crowd"]
             whole = durable(whole.select(*cols).union(_crowded(units).select(*cols)) if units.limit(1).count() else whole.select(*cols), "crowd-whole")
@@ -445,23 +465,27 @@ def _found_rows(documents: DataFrame, k: int, percent: int, scratch: Scratch) ->
         # the sets can still overlap enough if this is the first token that their prefixes share, and one earlier would tell as much
         reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
         apart = (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & once
-        return a.join(b, on).filter(apart & _close("n_a", "n_b", percent) & reach).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+        return a.join(b, on).filter(apart & _close("n_a", "n_b", percent) & reach).selectExpr(*_PAIR)
 
     small = placed.filter(F.col("m") * (F.col("m") - 1) <= 2 * CROWD).select("token", "cls", "n", "pos", "comp")
     banded = full.filter(F.col("apart") <= CROWD).select("token", "u", "cls", "n", "pos", "comp", "band")
     pairs = pairs_of(small, ["token"], F.lit(True)).union(pairs_of(banded, ["token", "u"], F.col("u") == F.least("band_a", "band_b"))).union(split).distinct()
-    pairs = durable(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    pairs = durable(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
     second = verified(pairs, "links-cross")
-    comps = scratch.keep(components(first.union(second).union(third)))
-
-    named = classes.join(comps, classes.cls == comps.node, "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
-    # the smallest id names; a null one only where there is no other
-    lowest = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("low"))
-    named = join_hot(named, lowest, ["comp"], "cls", at_most=all_classes).select("cls", F.col("low.rep").alias("component_id"), (F.col("cls") == F.col("low.cls")).alias("chief"), "copies")
+    comps = components(first.union(second).union(third))
+    linked = comps.count()
+
+    # a class that is linked with none names itself; of linked ones the smallest id names, a null one only where there is no other
+    with_rep = comps.withColumnRenamed("node", "cls").join(classes.select("cls", "rep", "copies"), "cls")
+    lowest = with_rep.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("low"))
+    named = join_hot(with_rep, lowest, ["comp"], "cls", at_most=linked).select("cls", F.col("low.rep").alias("component_id"), (F.col("cls") == F.col("low.cls")).alias("chief"), "copies")
+    alone = classes.filter("copies > 1").join(comps, classes.cls == comps.node, "left_anti").select("cls", F.col("rep").alias("component_id"), F.lit(True).alias("chief"), "copies")
+    named = scratch.keep(durable(named.union(alone), "named"))
     own = scratch.keep(durable(table.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles")), "rows"))
-    found = join_hot(own.filter("cls is not null"), named, ["cls"], "doc_id", at_most=all_classes).select("doc_id", "cls", "n_shingles", "component_id", "copies", "chief")
-    found = found.unionByName(own.filter("cls is null"), allowMissingColumns=True)
-    return found.select("doc_id", "cls", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), "chief")
+    found = join_hot(own, named, ["cls"], "doc_id", at_most=named.count(), how="left")
+    orders.destroy()
+    chief = F.coalesce("chief", F.col("cls").isNotNull())
+    return found.select("doc_id", "cls", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), chief.alias("chief"))
 
 
 def _with_class(documents: DataFrame, k: int) -> DataFrame:

@@ -86,15 +86,15 @@ class Scratch:
 BROADCAST_ROWS = 200_000
 
 
-def join_hot(rows: DataFrame, one: DataFrame, on: list[str], by: str, at_most: int | None = None, salts: int = 32) -> DataFrame:
-    """Inner join of ``rows`` with ``one`` (a row of a few numbers a key), where a key may hold most of ``rows``. ``at_most``: a counted bound
+def join_hot(rows: DataFrame, one: DataFrame, on: list[str], by: str, at_most: int | None = None, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``one`` (a row of a few numbers a key), where a key may hold most of ``rows``. ``at_most``: a counted bound
     on the rows of ``one``. Where that is small ``one`` is broadcast; else ``rows`` are dealt by a salt of the column ``by``, and a row of
     ``one`` goes to those salts alone at which its key occurs."""
     if at_most is not None and at_most <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(one), on)
+        return rows.join(F.broadcast(one), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     spread = one.join(salted.select(*on, "_salt").distinct(), on)
-    return salted.join(spread, [*on, "_salt"]).drop("_salt")
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
 def partitions(spark: SparkSession) -> int:

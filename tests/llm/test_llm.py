@@ -446,21 +446,20 @@ def near_copies():
     return rows + [(200 + i, rows[8][1].upper() if i % 2 else rows[8][1]) for i in range(20)]
 
 
-@pytest.mark.parametrize(("crowd", "from_"), [(jaccard.CROWD, 3), (10, 3), (3, 10**9)])
-def test_jaccard(spark, crowd, from_, monkeypatch):
-    """Few crowds; crowds compared in small blocks; no token known as frequent, so that a shared passage makes crowds which the second order splits."""
-    monkeypatch.setattr(jaccard, "CROWD", crowd)
-    monkeypatch.setattr(jaccard, "COUNT_FROM", from_)
-    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 16)
-    monkeypatch.setattr(jaccard, "BUCKET_TOKENS", 1000)
+@pytest.mark.parametrize(("crowd", "from_", "hot", "k", "percent"), [(jaccard.CROWD, 3, 10, 5, 80), (10, 3, 3, 4, 85), (3, 10**9, 10, 4, 85)])
+def test_jaccard(spark, crowd, from_, hot, k, percent, monkeypatch):
+    """Few crowds; crowds compared in small blocks, hot tokens; no token known as frequent, so that a shared passage makes crowds which the
+    second order splits."""
+    for name, value in (("CROWD", crowd), ("COUNT_FROM", from_), ("HOT_LEVEL", hot), ("BLOCK_CLASSES", 16), ("BUCKET_TOKENS", 1000)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("clash")).repartition(3)
-    for k, percent in ((4, 85), (5, 80)):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, k, percent).collect()}
-        assert got == plain_components(rows, k, percent)
-    kept = jaccard.keep_one_of_each(df, 5, 80)
-    want = {c for _, c in plain_components(rows, 5, 80).values()}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == df.columns
+    want = plain_components(rows, k, percent)
+    if k == 4:
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, k, percent).collect()} == want
+    else:
+        kept = jaccard.keep_one_of_each(df, k, percent)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()}) and kept.columns == df.columns
 
 
 def test_keep_one_of_each_by_class(spark):
