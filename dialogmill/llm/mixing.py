@@ -4,15 +4,16 @@ Each source has a mean repetition rate, target rows / own rows. A document's cop
 uniform numbers that an md5 of seed and doc_id gives, so a rerun draws the same. Rates above ``PART`` are split into equal parts whose
 independent draws add up (a sum of Poisson draws is Poisson), which keeps every table of cumulative probabilities at ``TERMS`` entries.
 
-Defined cases: a null source counts as the empty source; a null doc_id draws as the text "null"; repeated rows draw alike; null texts
-and extra columns are carried along; a source with weight 0 or without a weight is left out; an empty table gives no rows.
+Defined cases: a null source counts as the empty source; a null doc_id draws as the text "null"; repeated rows draw alike; null and long
+texts and extra columns of any name are carried along untouched, but ``copy`` and ``order_key`` are the result's own; a source with weight 0 or
+without a weight is left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .runtime import partitions
+from .runtime import durable, partitions
 
 PART, TERMS = 16, 64
 #: Rows of the rates table (600 bytes a row) up to which it is broadcast; beyond, the join is salted.
@@ -31,7 +32,7 @@ def _key(col: str) -> Column:
 def target_rates(documents: DataFrame, weights: DataFrame | None = None, rows: int | None = None, power: float = 0.5, by: str = "source") -> DataFrame:
     """mix_key, own_rows, rate. ``weights`` (columns ``by``, weight) are relative; by default a source weighs own rows ** ``power``.
     ``rows`` is the expected size of the mix, by default that of the input."""
-    own = documents.groupBy(_key(by).alias("mix_key")).agg(F.count("*").alias("own_rows"))
+    own = durable(documents.groupBy(_key(by).alias("mix_key")).agg(F.count("*").alias("own_rows")), "source-rows")
     if weights is None:
         own = own.withColumn("weight", F.pow(F.col("own_rows").cast("double"), F.lit(power)))
     else:
@@ -59,25 +60,24 @@ def mix_sources(documents: DataFrame, weights: DataFrame | None = None, rows: in
     """All columns of ``documents``, and ``copy`` (from 1) and ``order_key``: the mix's global random order is that of ``order_key``.
     Rows are dealt to partitions by its hash and sorted within each."""
     own = documents.drop("copy", "order_key")
-    rates = target_rates(own, weights, rows, power, by)
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = _with_cdf(rates)
+    rates = durable(_with_cdf(target_rates(own, weights, rows, power, by)), "rates")
+    # the row travels as one struct, so that no name of its columns can clash
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    keyed = own.withColumn("mix_key", _key(by))
-    if few:
+    keyed = own.select(F.struct(*own.columns).alias("row"), _key(by).alias("mix_key"), doc.alias("doc"))
+    if rates.count() <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(rates), "mix_key")
     else:
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("mix_salt", F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int")).join(salted, ["mix_key", "mix_salt"])
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["mix_key", "salt"])
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
-        lambda n, j: n + F.size(F.filter(F.col("cdf"), lambda c: c <= _uniform(F.lit(str(seed)), doc, j.cast("string")))),
+        lambda n, j: n + F.size(F.filter(F.col("cdf"), lambda c: c <= _uniform(F.lit(str(seed)), F.col("doc"), j.cast("string")))),
     )
-    drawn = joined.withColumn("mix_copies", draw).filter("mix_copies > 0")
-    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    out = out.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), doc, F.col("copy").cast("string")).cast("binary")))
-    out = out.select(*own.columns, "copy", "order_key")
+    drawn = joined.select("row", "doc", draw.alias("copies")).filter("copies > 0")
+    out = drawn.select("row", "doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col("doc"), F.col("copy").cast("string")).cast("binary"))
+    out = out.select("row.*", "copy", order.alias("order_key"))
     return out.repartition(partitions(own.sparkSession), "order_key").sortWithinPartitions("order_key") if shuffled else out
 
 

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import blocks, held_out, labelled_sample, string_buffers
+from .runtime import blocks, held_out, labelled_sample, sample_texts, string_buffers
 
-#: Labelled training documents that the network is fitted on, at most, and bytes of each that a step reads (a random slice of longer ones).
-SAMPLE, SLICE = 2000, 9000
+#: Labelled training documents that the network is fitted on, at most, and bytes that one may have to be sampled (each is read whole).
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 16
 STEP, SPAN = 3, 4  # bytes a step; steps a filter covers
 QUARTER, CHUNK, HOP = 16, 4, 3  # steps a quarter; quarters a chunk; quarters from chunk to chunk
 DIM, FILTERS, HIDDEN = 6, 24, 12
@@ -131,10 +131,7 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 12,
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             rows = order[a : a + batch]
-            part = []
-            for i in rows:
-                at = int(rng.integers(0, max(1, len(texts[i]) - SLICE + 1)))
-                part.append(texts[i][at : at + SLICE])
+            part = [texts[i] for i in rows]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])])
             grad = net.gradient(np.frombuffer(b"".join(part), np.uint8), offsets, y[rows], weight[rows])
             t += 1
@@ -151,13 +148,12 @@ def train_network(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     """A network, or the share of label 1 if the training fold doesn't hold both labels."""
     fold = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
     share = {r.quality: r.n for r in fold.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    rows = {r.doc_id: r for r in labelled_sample(documents, labels, "quality", sample).toLocalIterator()}
-    rows = [rows[k] for k in sorted(rows)]
+    rows = sorted(sample_texts(labelled_sample(documents, labels, "quality", sample), SAMPLE_BYTES).collect())
     y = np.array([r.y for r in rows], float)
     if len(set(y)) < 2:
         return share.get(1, 0) / sum(share.values()) if share else 0.5
     weight = np.where(y == 1, share[1] / y.sum(), share[0] / (1 - y).sum())
-    return fit([(r.text or "").encode() for r in rows], y, weight / weight.mean(), **options)
+    return fit([r.text.encode() for r in rows], y, weight / weight.mean(), **options)
 
 
 def score_quality(documents: DataFrame, model: Network | float, threshold: float = 0.3) -> DataFrame:

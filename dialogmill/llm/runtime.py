@@ -156,6 +156,14 @@ def sample_weights(labels: DataFrame, label: str, limit: int) -> dict[int, float
     return {r.y: r.n / min(r.n, limit // 2) for r in counts}
 
 
+def sample_texts(sample: DataFrame, most: int) -> DataFrame:
+    """(doc_id, y, text) of ``labelled_sample``: of rows of one id the one with the least hash of its text, and only texts of at most ``most``
+    bytes, so that what a fit collects is bounded. Texts are whole."""
+    rows = sample.select("doc_id", "y", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= most)
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(order_hash(F.col("text")).alias("h"), "text", "y")).alias("row"))
+    return one.select("doc_id", "row.y", "row.text")
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, seed: int = 11) -> DataFrame:
     """At most ``limit`` labelled training rows (doc_id, text, y) in hash order, at most half of them of the rarer label's
     complement: up to ``limit // 2`` rows of each label. Held-out ids, null labels and null ids never take part. The id list
