@@ -67,7 +67,15 @@ def let(value: Column, fn) -> Column:
 
 
 def _counts(bag: Column) -> Column:
-    return F.transform(F.array_distinct(bag), lambda t: F.struct(t.alias("t"), F.size(F.filter(bag, lambda x: x == t)).cast("double").alias("n")))
+    """array<struct<t, n>> by term: the bag is sorted, and where a term first stands and the next one does gives its count."""
+
+    def runs(sorted_: Column) -> Column:
+        n = F.size(sorted_)
+        first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(sorted_, i) != F.element_at(sorted_, F.greatest(i - 1, F.lit(1)))))
+        count = lambda p: F.transform(p, lambda i, k: F.struct(F.element_at(sorted_, i).alias("t"), (F.coalesce(F.get(p, k + 1), n + 1) - i).cast("double").alias("n")))
+        return F.when(n > 0, let(first, count)).otherwise(F.array().cast("array<struct<t:string,n:double>>"))
+
+    return let(F.array_sort(bag), runs)
 
 
 def _norm(counts: Column) -> Column:
@@ -75,8 +83,8 @@ def _norm(counts: Column) -> Column:
 
 
 def term_counts(bag: Column) -> Column:
-    """array<struct<t, n>>, in order of first occurrence."""
-    return let(bag, _counts)
+    """array<struct<t, n>>, by term."""
+    return _counts(bag)
 
 
 def bag_norm(bag: Column) -> Column:
@@ -84,14 +92,18 @@ def bag_norm(bag: Column) -> Column:
 
 
 def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two token arrays as term-count vectors; 0 if either is empty."""
+    """Cosine of two token arrays as term-count vectors; 0 if either is empty. The counts of both are sorted together, so that equal terms
+    stand side by side: linear in the texts but for the sort."""
+
+    def dot(both: Column) -> Column:
+        pair = lambda i: F.when(F.element_at(both, i)["t"] == F.element_at(both, i - 1)["t"], F.element_at(both, i)["n"] * F.element_at(both, i - 1)["n"]).otherwise(F.lit(0.0))
+        return F.aggregate(F.sequence(F.lit(2), F.size(both)), F.lit(0.0), lambda s, i: s + pair(i))
 
     def of(p: Column) -> Column:
-        dot = F.aggregate(p["ca"], F.lit(0.0), lambda s, x: s + x["n"] * F.size(F.filter(p["b"], lambda y: y == x["t"])))
-        return F.when((F.size(p["ca"]) > 0) & (F.size(p["b"]) > 0), dot / (_norm(p["ca"]) * _norm(p["cb"]))).otherwise(F.lit(0.0))
+        full = (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0)
+        return F.when(full, let(F.array_sort(F.concat(p["a"], p["b"])), dot) / (_norm(p["a"]) * _norm(p["b"]))).otherwise(F.lit(0.0))
 
-    both = lambda p: F.struct(p["b"].alias("b"), _counts(p["a"]).alias("ca"), _counts(p["b"]).alias("cb"))
-    return let(let(F.struct(a.alias("a"), b.alias("b")), both), of)
+    return let(F.struct(_counts(a).alias("a"), _counts(b).alias("b")), of)
 
 
 # ---- corpus cleaning ----
@@ -134,7 +146,11 @@ def email_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rules.EMAIL))
 
 
+#: White space behind . ? or ! unless an abbreviation stands there.
+SENTENCE_END = r"(?<![\p{L}\p{N}_]\.[\p{L}\p{N}_].)(?<![A-Z][a-z]\.)(?<=\.|\?|!)[\s\p{Z}]"
+
+
 def sentences(text: Column) -> Column:
     """Split at white space behind . ? or ! unless an abbreviation stands there; trimmed, blanks dropped."""
-    parts = F.split(nz(text), r"(?<![\p{L}\p{N}_]\.[\p{L}\p{N}_].)(?<![A-Z][a-z]\.)(?<=\.|\?|!)[\s\p{Z}]")
+    parts = F.split(nz(text), SENTENCE_END)
     return F.filter(F.transform(parts, strip), lambda s: s != "")

@@ -10,6 +10,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import SparkSession, functions as F, types as T
 
 from . import rules
+from .text import SENTENCE_END
 
 
 def embedder(make: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 64):
@@ -38,9 +39,20 @@ def _sql(expr: str, steps: list[tuple[str, str]]) -> str:
 
 
 def register_sql(spark: SparkSession) -> list[str]:
-    """Temporary SQL functions of the cleaning rules; they expand to built-ins, so no Python runs."""
+    """Temporary SQL functions of the cleaning rules, which expand to built-ins, and of the chunkers, of which ``sentence_chunks`` runs an Arrow UDF."""
     made = {"clean_control": rules.CONTROL, "normalize_spacing": rules.CHUNK_NORMAL, "strip_tags": rules.HTML_TAGS, "redact_emails": [(rules.EMAIL, "[EMAIL]")]}
     for name, steps in made.items():
         spark.sql(f"create or replace temporary function {name}(t string) returns string return {_sql('t', steps)}")
     spark.sql("create or replace temporary function fixed_chunks(t string, n int) returns array<string> return transform(sequence(0, cast(floor(greatest(length(t) - 1, 0) / n) as int)), i -> substring(t, i * n + 1, n))")
-    return [*made, "fixed_chunks"]
+    spark.udf.register("chunks_of_sentences", _sentence_chunks)
+    cut = f"transform(split(normalize_spacing(coalesce(t, '')), r'{SENTENCE_END}'), s -> regexp_replace(s, r'^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+\\z', ''))"
+    trimmed = r"regexp_replace(normalize_spacing(coalesce(t, '')), r'^[\s\p{Z}]+|[\s\p{Z}]+\z', '')"
+    spark.sql(f"create or replace temporary function sentence_chunks(t string, size int, overlap int, least int) returns array<string> return chunks_of_sentences({trimmed}, filter({cut}, s -> s <> ''), size, overlap, least)")
+    return [*made, "fixed_chunks", "sentence_chunks"]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _sentence_chunks(norm: pd.Series, sentences: pd.Series, size: pd.Series, overlap: pd.Series, least: pd.Series) -> pd.Series:
+    from ..operators.corpus import chunks_of
+
+    return pd.Series([[c[0] for c in chunks_of(*row)] for row in zip(norm, map(list, sentences), size, overlap, least)])

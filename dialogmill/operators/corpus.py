@@ -45,7 +45,7 @@ def _json_text(raw: pd.Series, keys: pd.Series) -> pd.Series:
 
 def extract_json_text(df: DataFrame, keys: list[str], col: str = "text") -> DataFrame:
     """Depth first: an object's own texts under ``keys``, in their order, then what its values hold. Malformed JSON gives null. JSON of any
-    depth and shape has no column type, so this is the one Arrow UDF of the package."""
+    depth and shape has no column type, so this is an Arrow UDF."""
     return df.withColumn("json_text", _json_text(F.col(col), F.array(*map(F.lit, keys))))
 
 
@@ -54,68 +54,59 @@ def split_sentences(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.posexplode(X.sentences(X.normalize_for_chunking(X.nz(F.col("text"))))).alias("pos", "sentence"))
 
 
-def _spans(lengths: Column, size: int, overlap: int) -> Column:
-    """The greedy fold over sentence lengths: array<struct<a, b>> of sentence ranges [a, b). Only numbers are carried along."""
+def chunks_of(norm: str, sentences: list[str], size: int, overlap: int, least: int) -> list[tuple[str, int, int, int]]:
+    """(text, first sentence, char_start, char_end) of a text's chunks: a greedy pass over the lengths of its sentences, in time linear in the
+    text. A chunk is full if one more sentence would exceed ``size``; the next one begins with as many of its last sentences as fit ``overlap``."""
+    starts, at = [], 0
+    for s in sentences:
+        at = norm.find(s, at)
+        starts.append(at)
+        at += len(s)
+    out: list[tuple[str, int, int, int]] = []
 
-    def carried(a: Column, b: Column) -> Column:
-        """How many of the sentences [a, b), from the last backwards, fit the overlap, and their length."""
-        back = F.reverse(F.slice(lengths, a + 1, b - a))
-        return F.aggregate(
-            back,
-            F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("go")),
-            lambda s, n: F.when(s["go"] & (s["n"] + n <= overlap), F.struct((s["k"] + 1).alias("k"), (s["n"] + n + 1).alias("n"), F.lit(True).alias("go"))).otherwise(
-                F.struct(s["k"].alias("k"), s["n"].alias("n"), F.lit(False).alias("go"))
-            ),
-        )
+    def emit(a: int, b: int) -> None:
+        text = " ".join(sentences[a:b])
+        if len(text) >= least:
+            out.append((text, a, starts[a], starts[b - 1] + len(sentences[b - 1])))
 
-    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    first = held = 0
+    for i, s in enumerate(sentences):
+        if i > first and held + len(s) + 1 > size:
+            emit(first, i)
+            k = kept = 0
+            while k < i - first and kept + len(sentences[i - 1 - k]) <= overlap:
+                kept += len(sentences[i - 1 - k]) + 1
+                k += 1
+            first, held = i - k, kept
+        held += len(s) + 1
+    if sentences:
+        emit(first, len(sentences))
+    return out
 
-    def step(s: Column, n: Column) -> Column:
-        full = (s["b"] > s["a"]) & (s["n"] + n + 1 > size)
-        keep = carried(s["a"], s["b"])
-        emit = F.array_append(s["out"], F.struct(s["a"].alias("a"), s["b"].alias("b")))
-        return F.when(full, F.struct((s["b"] - keep["k"]).alias("a"), (s["b"] + 1).alias("b"), (keep["n"] + n + 1).alias("n"), emit.alias("out"))).otherwise(
-            F.struct(s["a"].alias("a"), (s["b"] + 1).alias("b"), (s["n"] + n + 1).alias("n"), s["out"].alias("out"))
-        )
 
-    done = lambda s: F.when(s["b"] > s["a"], F.array_append(s["out"], F.struct(s["a"].alias("a"), s["b"].alias("b")))).otherwise(s["out"])
-    return F.aggregate(lengths, start, step, done)
+_CHUNK = "array<struct<text:string,first_sentence:int,char_start:int,char_end:int>>"
 
 
 def chunk_sentences(df: DataFrame, chunk_size: int = 400, overlap: int = 80, min_size: int = 30, keep: list[str] | None = None) -> DataFrame:
     """doc_id, chunk_index, text, first_sentence, char_start, char_end: sentence-aligned chunks that overlap by whole sentences. A chunk
     shorter than ``min_size`` is dropped and takes no index. Offsets are those of the chunk's first and last sentence in the normalised
-    text. A fold by higher-order functions, so no row leaves the JVM."""
+    text. Sentences are cut by built-ins; the order-dependent pass over them is an Arrow UDF, for a fold by higher-order functions would copy
+    what it has for each chunk, in time quadratic in the text."""
     if overlap >= chunk_size:
         raise ValueError("overlap must be smaller than chunk_size")
+
+    @F.pandas_udf(_CHUNK)
+    def chunk(norm: pd.Series, sentences: pd.Series) -> pd.Series:
+        return pd.Series([chunks_of(n, list(ss), chunk_size, overlap, min_size) for n, ss in zip(norm, sentences)])
+
     kept = ["doc_id", *(keep or [])]
     base = df.select(*kept, X.normalize_for_chunking(X.nz(F.col("text"))).alias("norm")).withColumn("ss", X.sentences(F.col("norm")))
-    base = base.withColumn("spans", _spans(F.transform("ss", F.length), chunk_size, overlap))
-    # where each sentence begins: the first find behind the end of the one before
-    at = F.aggregate(
-        "ss",
-        F.struct(F.lit(1).alias("p"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct((F.position(x, F.col("norm"), s["p"]) + F.length(x)).alias("p"), F.array_append(s["out"], F.position(x, F.col("norm"), s["p"]) - 1).alias("out")),
-        lambda s: s["out"],
-    )
-    base = base.withColumn("at", at)
-    chunks = F.transform(
-        "spans",
-        lambda s: F.struct(
-            F.array_join(F.slice("ss", s["a"] + 1, s["b"] - s["a"]), " ").alias("text"),
-            s["a"].alias("first_sentence"),
-            F.get("at", s["a"]).alias("char_start"),
-            (F.get("at", s["b"] - 1) + F.length(F.get("ss", s["b"] - 1))).alias("char_end"),
-        ),
-    )
-    chunks = F.filter(chunks, lambda c: F.length(c["text"]) >= min_size)
-    return base.select(*kept, F.posexplode(chunks).alias("chunk_index", "c")).select(*kept, "chunk_index", "c.*")
+    return base.select(*kept, F.posexplode(chunk("norm", "ss")).alias("chunk_index", "c")).select(*kept, "chunk_index", "c.*")
 
 
 def chunk_fixed(df: DataFrame, size: int = 500) -> DataFrame:
     """doc_id, chunk_index, text: slices of ``size`` characters; blank ones are dropped and take no index."""
-    t = X.nz(F.col("text"))
-    slices = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / size).cast("int")), lambda i: F.substring(t, i * size + 1, F.lit(size)))
+    slices = F.regexp_extract_all(X.nz(F.col("text")), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
     return df.select("doc_id", F.posexplode(F.filter(slices, lambda s: X.strip(s) != "")).alias("chunk_index", "text"))
 
 

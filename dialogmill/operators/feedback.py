@@ -260,18 +260,19 @@ def decode_chars(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 
 def train_val_split(df: DataFrame, order: str, share: float = 0.9) -> DataFrame:
-    """Adds is_train: rows, by ``order``, up to the first ``share`` of all characters. Offsets are summed per range of the order first, so no
-    window spans the table."""
+    """Adds is_train: rows, by ``order`` (nulls first), up to the first ``share`` of all characters. Offsets are summed per range of the order
+    first, so no window spans the table; ranges hold about as many rows each, and equal keys in one range are summed together."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.sum(F.length(X.nz(F.col("text")))).alias("n")).first()
-    wide = max(1, ((bounds.hi or 0) - (bounds.lo or 0)) // parts + 1)
-    rows = df.withColumn("part", F.floor((F.col(order) - F.lit(bounds.lo)) / wide)).withColumn("len", F.length(X.nz(F.col("text"))))
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    part = F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (F.col(order) > c).cast("int")), F.lit(-1)) if cuts else F.lit(0)
+    rows = df.withColumn("part", part).withColumn("len", F.length(X.nz(F.col("text"))))
     sums = rows.groupBy("part").agg(F.sum("len").alias("s"))
+    total = sums.agg(F.sum("s")).first()[0] or 0
     before = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     rows = rows.join(F.broadcast(before), "part")
-    end = F.col("before") + F.sum("len").over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("is_train", end <= int(share * (bounds.n or 0))).drop("part", "len", "before")
+    end = F.col("before") + F.sum("len").over(Window.partitionBy("part").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("is_train", end <= int(share * total)).drop("part", "len", "before")
 
 
 def block_examples(encoded: DataFrame, key: str, block: int = 128) -> DataFrame:

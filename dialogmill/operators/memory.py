@@ -103,12 +103,11 @@ def episodic_recall(conv: DataFrame, k: int = 3, floor: float = 0.55) -> DataFra
 
 def repetitive_answers(conv: DataFrame, threshold: float = 0.92, back: int = 6) -> DataFrame:
     """conv_id, turn, max_similarity, is_repetitive of assistant turns against those among the ``back`` messages before."""
-    rows = conv.withColumn("rn", F.row_number().over(_w())).filter("role = 'assistant'").select(KEY, ORDER, "rn", X.tokens(F.col("text")).alias("bag"))
-    past = rows.select(KEY, F.col("rn").alias("prn"), F.col("bag").alias("pbag"))
-    pairs = rows.join(past, KEY).filter((F.col("prn") < F.col("rn")) & (F.col("prn") >= F.col("rn") - back))
-    best = pairs.groupBy(KEY, ORDER).agg(F.max(X.bag_cosine(F.col("bag"), F.col("pbag"))).alias("s"))
-    out = rows.join(best, [KEY, ORDER], "left")
-    return out.select(KEY, ORDER, F.coalesce("s", F.lit(0.0)).alias("max_similarity"), (F.coalesce("s", F.lit(0.0)) >= threshold).alias("is_repetitive"))
+    before = F.collect_list(F.when(F.col("role") == "assistant", F.struct(X.tokens(F.col("text")).alias("bag")))).over(_w().rowsBetween(-back, -1))
+    rows = conv.withColumn("before", before).filter("role = 'assistant'").withColumn("bag", X.tokens(F.col("text")))
+    best = F.array_max(F.transform("before", lambda p: X.bag_cosine(F.col("bag"), p["bag"])))
+    out = rows.select(KEY, ORDER, F.coalesce(best, F.lit(0.0)).alias("max_similarity"))
+    return out.withColumn("is_repetitive", F.col("max_similarity") >= threshold)
 
 
 def trim_to_budget(conv: DataFrame, budget: int = 2048, system_chars: int = 0, chars_per_token: int = 4) -> DataFrame:

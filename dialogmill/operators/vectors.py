@@ -39,8 +39,8 @@ def embed_text(df: DataFrame, col: str = "text", to: str = "bag", model: Column
     return df.withColumn(to, X.term_counts(X.tokens(F.col(col))) if model is None else model)
 
 
-def score_pairs(queries: DataFrame, kb: DataFrame, blocks: int = 32) -> DataFrame:
-    """query_id, id, score of each query with each row of ``kb``; unit vectors in ``qv`` and ``kv``. The queries (counted) are broadcast if
+def score_pairs(queries: DataFrame, kb: DataFrame, blocks: int = 32, others: bool = False) -> DataFrame:
+    """query_id, id, score of each query with each row of ``kb`` (with ``others``: but the one of its own id); unit vectors in ``qv`` and ``kv``. The queries (counted) are broadcast if
     few; else both sides meet by block keys, so that no task sees all of either."""
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         meet = kb.withColumn("k", F.lit(0)).join(F.broadcast(queries.withColumn("k", F.lit(0))), "k")
@@ -49,6 +49,8 @@ def score_pairs(queries: DataFrame, kb: DataFrame, blocks: int = 32) -> DataFram
         left = queries.withColumn("kq", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("kk", F.explode(side))
         right = kb.withColumn("kk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("kq", F.explode(side))
         meet = left.join(right, ["kq", "kk"])
+    if others:
+        meet = meet.filter(~F.col("query_id").eqNullSafe(F.col("id")))
     return meet.select("query_id", "id", dot(F.col("qv"), F.col("kv")).alias("score"))
 
 
@@ -58,12 +60,12 @@ def top_k(pairs: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_search(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float = 0.20) -> DataFrame:
+def knn_search(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float = 0.20, others: bool = False) -> DataFrame:
     """Top k first, then those below the floor go."""
-    return top_k(score_pairs(queries, kb), k).filter(F.col("score") >= floor)
+    return top_k(score_pairs(queries, kb, others=others), k).filter(F.col("score") >= floor)
 
 
-def knn_search_ivf(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float = 0.20, nlist: int = 100, nprobe: int = 10, seed: int = 1) -> DataFrame:
+def knn_search_ivf(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float = 0.20, nlist: int = 100, nprobe: int = 10, seed: int = 1, others: bool = False) -> DataFrame:
     """K-means cells; each query looks into its ``nprobe`` nearest cells. The centres (nlist rows) are a bounded table; cells are joined by
     key, and AQE splits a crowded one."""
     fit = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="f").fit(kb.select(array_to_vector("kv").alias("f")))
@@ -73,7 +75,10 @@ def knn_search_ivf(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float =
     placed = fit.transform(kb.withColumn("f", array_to_vector("kv"))).select("id", "kv", F.col("prediction").alias("cell"))
     probe = queries.withColumn("k", F.lit(0)).join(F.broadcast(centers.withColumn("k", F.lit(0))), "k").withColumn("d", -near(F.col("qv")))
     probe = top_k(probe.select("query_id", "qv", "cell", "d"), nprobe, score="d", tie="cell").select("query_id", "qv", "cell")
-    scored = probe.join(placed, "cell").select("query_id", "id", dot(F.col("qv"), F.col("kv")).alias("score"))
+    met = probe.join(placed, "cell")
+    if others:
+        met = met.filter(~F.col("query_id").eqNullSafe(F.col("id")))
+    scored = met.select("query_id", "id", dot(F.col("qv"), F.col("kv")).alias("score"))
     return top_k(scored, k).filter(F.col("score") >= floor)
 
 
@@ -114,10 +119,19 @@ def format_context(results: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(queries: DataFrame, kb: DataFrame, candidates: int = 30, top_n: int = 3, floor: float = 0.45, lambda_: float = 0.6) -> DataFrame:
-    """query_id, total_found, used_mmr, context: search, diversify, format. ``kb`` holds id, kv, source, text."""
-    found = knn_search(queries, kb.select("id", "kv"), candidates, floor)
-    rich = found.join(kb, "id").select("query_id", "id", "rank", "score", F.col("score").alias("rel"), F.col("kv").alias("v"), "source", "text")
+#: Rows of a knowledge base from which it is searched by cells.
+IVF_FROM = 10_000
+
+
+def retrieve(queries: DataFrame, kb: DataFrame, candidates: int = 30, top_n: int = 3, floor: float = 0.45, lambda_: float = 0.6, scorer: Column | None = None, ivf_from: int = IVF_FROM, others: bool = False) -> DataFrame:
+    """query_id, total_found, used_mmr, context: search (by cells in a large ``kb``), rerank by ``scorer`` if given, diversify, format. ``kb``
+    holds id, kv, source, text, which ``scorer`` may use."""
+    search = knn_search if kb.limit(ivf_from).count() < ivf_from else knn_search_ivf
+    found = search(queries, kb.select("id", "kv"), candidates, floor, others=others)
+    rich = found.join(kb, "id")
+    if scorer is not None:
+        rich = rerank(rich, scorer, top_n)
+    rich = rich.select("query_id", "id", "rank", "score", F.col("score").alias("rel"), F.col("kv").alias("v"), "source", "text")
     picked = mmr(rich, top_n, lambda_)
     context = format_context(picked.join(rich.select("query_id", "id", "score", "source", "text"), ["query_id", "id"]))
     totals = found.groupBy("query_id").agg(F.count("*").cast("int").alias("total_found"))
@@ -125,13 +139,26 @@ def retrieve(queries: DataFrame, kb: DataFrame, candidates: int = 30, top_n: int
     return out.select("query_id", F.coalesce("total_found", F.lit(0)).alias("total_found"), (F.coalesce("total_found", F.lit(0)) > top_n).alias("used_mmr"), F.coalesce("context", F.lit("")).alias("context"))
 
 
-def session_doc_search(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """query_id, context: the k chunks of the query's session nearest by L2 distance, joined."""
+def session_doc_search(queries: DataFrame, chunks: DataFrame, k: int = 3, others: bool = False) -> DataFrame:
+    """query_id, context: the k chunks of the query's session (with ``others``: but the one of its own id) nearest by L2 distance, joined."""
     far = F.sqrt(F.aggregate(F.zip_with("qv", "kv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = top_k(queries.join(chunks, "session_id").withColumn("d", -far), k, score="d")
+    met = queries.join(chunks, "session_id")
+    if others:
+        met = met.filter(~F.col("query_id").eqNullSafe(F.col("id")))
+    near = top_k(met.withColumn("d", -far), k, score="d")
     rows = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return near.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n\n---\n\n").alias("context"))
 
 
+def lexical_search(queries: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame:
+    """query_id, id, score, rank: the k passages most like a query by bag-of-words cosine among those that share a term. ``queries`` hold
+    query_id and bag (term counts), ``passages`` id and bag. Terms meet by a join and products are summed per pair, so no pair without a
+    common term is made."""
+    weigh = lambda df, key: df.select(key, F.inline("bag"), F.sqrt(F.aggregate("bag", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])).alias("norm"))
+    q, p = weigh(queries, "query_id").withColumnsRenamed({"n": "nq", "norm": "q_norm"}), weigh(passages, "id").withColumnsRenamed({"n": "np", "norm": "p_norm"})
+    scored = q.join(p, "t").groupBy("query_id", "id").agg(F.round(F.sum(F.col("nq") * F.col("np")) / (F.first("q_norm") * F.first("p_norm")), 10).alias("score"))
+    return top_k(scored, k)
+
+
 def route_retrieval(turns: DataFrame, category: str = "category", continuation: str = "is_continuation") -> DataFrame:
     return turns.withColumn("use_retrieval", F.col(category).isin(rules.RETRIEVAL_INTENTS) & ~F.col(continuation))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,6 +42,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares files (``spark.checkpoint.dir``); one of our own only where it is unset and all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="dialogmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/dialogmill-files/{uuid.uuid4().hex}"
+
+
 # ---- conversations with openings that exercise the rules ----
 OPENINGS = [
     "My name is Bob Stone. I love green tea, and I am from Paris. ",

@@ -1,10 +1,10 @@
-"""Vector search and retrieval over ``embeddings`` (queries: ids divisible by 50), and lexical vectors over texts."""
+"""Vector search and retrieval over ``embeddings`` (queries: ids divisible by 50, against all rows but their own), and lexical vectors over texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules, text as X
+from ..functions import rules
 from ..operators import vectors as V
 from . import duck
 from .base import query, read
@@ -13,7 +13,7 @@ _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double
 _UNIT = f"unit as (select vec_id as id, list_transform(embedding, lambda x: x::double / {_NORM}) as v, label from embeddings)"
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i]))"
 _QUERIES = "(select * from unit where id % 50 = 0)"
-PAIRED = f"{_UNIT}, scored as (select a.id as query_id, b.id, {_DOT} as score, b.v, b.label from {_QUERIES} a join (select * from unit where id % 50 <> 0) b on true)"
+PAIRED = f"{_UNIT}, scored as (select a.id as query_id, b.id, {_DOT} as score, b.v, b.label from {_QUERIES} a join unit b on a.id <> b.id)"
 _RANK = "row_number() over (partition by query_id order by score desc, id)"
 
 
@@ -23,7 +23,7 @@ def _unit(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     unit = _unit(spark, sf_dir)
-    return unit.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), unit.filter("id % 50 <> 0").select("id", F.col("v").alias("kv"), "label")
+    return unit.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), unit.select("id", F.col("v").alias("kv"), "label")
 
 
 @query(f"with {_UNIT} select id, list_transform(v, lambda x: round(x, 9)) as v from unit")
@@ -41,20 +41,20 @@ def cosine(spark, sf_dir):
 @query(f"with {PAIRED} select query_id, id, score from scored", ("score",))
 def score_pairs(spark, sf_dir):
     q, kb = _sides(spark, sf_dir)
-    return V.score_pairs(q, kb.select("id", "kv"))
+    return V.score_pairs(q, kb.select("id", "kv"), others=True)
 
 
 @query(f"with {PAIRED} select query_id, id, score, r::int as rank from (select *, {_RANK} as r from scored) where r <= 5 and score >= 0.2", ("score",))
 def knn_search(spark, sf_dir):
     q, kb = _sides(spark, sf_dir)
-    return V.knn_search(q, kb.select("id", "kv"))
+    return V.knn_search(q, kb.select("id", "kv"), others=True)
 
 
 @query()
 def knn_search_ivf(spark, sf_dir):
     """Half of 20 cells are probed; tests hold its recall against the full search."""
     q, kb = _sides(spark, sf_dir)
-    return V.knn_search_ivf(q, kb.select("id", "kv"), nlist=20, nprobe=10)
+    return V.knn_search_ivf(q, kb.select("id", "kv"), nlist=20, nprobe=10, others=True)
 
 
 _LABEL = "(case when label = query_id % 10 then 1.0 else 0.0 end)"
@@ -67,7 +67,7 @@ select query_id, id, {_LABEL} as score, (row_number() over (partition by query_i
 def rerank(spark, sf_dir):
     """A scorer that prefers a label stands for a cross-encoder."""
     q, kb = _sides(spark, sf_dir)
-    top = V.top_k(V.score_pairs(q, kb.select("id", "kv")), 10).join(kb.select("id", "label"), "id")
+    top = V.top_k(V.score_pairs(q, kb.select("id", "kv"), others=True), 10).join(kb.select("id", "label"), "id")
     return V.rerank(top, F.when(F.col("label") == F.col("query_id") % 10, 1.0).otherwise(0.0), 5).select("query_id", "id", "score", "rank")
 
 
@@ -81,7 +81,7 @@ p3 as (select c.query_id, c.id, c.v, c.r from (select c.query_id, c.id, c.v, c.r
 @query(f"with {PAIRED}, {_MMR} select query_id, id, 1 as rank from p1 union all select query_id, id, 2 from p2 union all select query_id, id, 3 from p3")
 def mmr(spark, sf_dir):
     q, kb = _sides(spark, sf_dir)
-    top = V.top_k(V.score_pairs(q, kb.select("id", "kv")), 20).join(kb.select("id", F.col("kv").alias("v")), "id")
+    top = V.top_k(V.score_pairs(q, kb.select("id", "kv"), others=True), 20).join(kb.select("id", F.col("kv").alias("v")), "id")
     return V.mmr(top.select("query_id", "id", "rank", F.col("score").alias("rel"), "v"), 3, 0.6)
 
 
@@ -92,7 +92,7 @@ _CTX = f"""(select query_id, {duck.q(rules.CONTEXT_HEAD)} || chr(10) || string_a
 @query(f"with {PAIRED}, t as (select query_id, id, score, label, {_RANK} as r from scored qualify r <= 3) select * from {_CTX}".replace(duck.q(rules.CONTEXT_HEAD), duck.q(rules.CONTEXT_HEAD.strip()) + " || chr(10)"))
 def format_context(spark, sf_dir):
     q, kb = _sides(spark, sf_dir)
-    top = V.top_k(V.score_pairs(q, kb.select("id", "kv")), 3).join(kb.select("id", "label"), "id")
+    top = V.top_k(V.score_pairs(q, kb.select("id", "kv"), others=True), 3).join(kb.select("id", "label"), "id")
     return V.format_context(top.select("query_id", "rank", "score", F.concat(F.lit("label"), "label").alias("source"), F.concat(F.lit(" vector "), "id").alias("text")))
 
 
@@ -100,19 +100,21 @@ def format_context(spark, sf_dir):
 def retrieve(spark, sf_dir):
     q, kb = _sides(spark, sf_dir)
     kb = kb.select("id", "kv", F.concat(F.lit("label"), "label").alias("source"), F.concat(F.lit("vector "), "id").alias("text"))
-    return V.retrieve(q, kb, 30, 3, 0.2)
+    # a scorer that prefers a label stands for a cross-encoder; scores stay apart for the order by relevance
+    scorer = F.when(F.col("source") == F.concat(F.lit("label"), F.col("query_id") % 10), F.col("score") + 1).otherwise(F.col("score"))
+    return V.retrieve(q, kb, 30, 3, 0.2, scorer=scorer, others=True)
 
 
 @query(
-    f"""with {_UNIT}, d as (select a.id as query_id, b.id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) ** 2))) as dist from {_QUERIES} a join unit b on a.label = b.label and b.id % 50 <> 0),
+    f"""with {_UNIT}, d as (select a.id as query_id, b.id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) ** 2))) as dist from {_QUERIES} a join unit b on a.label = b.label and a.id <> b.id),
 t as (select query_id, id, row_number() over (partition by query_id order by dist, id) as r from d qualify r <= 3)
 select query_id, string_agg('vector ' || id, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by r) as context from t group by query_id"""
 )
 def session_doc_search(spark, sf_dir):
     unit = _unit(spark, sf_dir).withColumn("session_id", F.col("label"))
     q = unit.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "session_id", F.col("v").alias("qv"))
-    chunks = unit.filter("id % 50 <> 0").select("id", "session_id", F.col("v").alias("kv"), F.concat(F.lit("vector "), "id").alias("text"))
-    return V.session_doc_search(q, chunks)
+    chunks = unit.select("id", "session_id", F.col("v").alias("kv"), F.concat(F.lit("vector "), "id").alias("text"))
+    return V.session_doc_search(q, chunks, others=True)
 
 
 @query(f"with b as (select item_id, {duck.tokens('text')} as bag from benchmark) select item_id, t, count(*)::double as n from (select item_id, unnest(bag) as t from b) group by all")
@@ -120,10 +122,9 @@ def embed_text(spark, sf_dir):
     return V.embed_text(read(spark, sf_dir, "benchmark")).select("item_id", F.inline("bag"))
 
 
-@query(f"with c as (select turn, conv_id, {duck.tokens('text')} as bag from conversations where role = 'user'), b as (select item_id, {duck.tokens('text')} as bag from benchmark) select conv_id, turn, item_id, score from (select c.conv_id, c.turn, b.item_id, {duck.cosine('c.bag', 'b.bag')} as score, row_number() over (partition by c.conv_id, c.turn order by score desc, b.item_id) as r from c join b on c.conv_id % 4 = b.item_id % 4) where r <= 3", ("score",))
+@query(f"with c as (select turn, conv_id, {duck.tokens('text')} as bag from conversations where role = 'user'), b as (select item_id, {duck.tokens('text')} as bag from benchmark) select conv_id, turn, item_id, score from (select c.conv_id, c.turn, b.item_id, {duck.cosine('c.bag', 'b.bag')} as score, row_number() over (partition by c.conv_id, c.turn order by round(score, 10) desc, b.item_id) as r from c join b on list_has_any(c.bag, b.bag)) where r <= 3", ("score",))
 def lexical_search(spark, sf_dir):
-    """User turns against the passages of their shard by bag-of-words cosine."""
-    c = read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", X.tokens(F.col("text")).alias("a"), (F.col("conv_id") % 4).alias("shard"))
-    b = read(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("b"), (F.col("item_id") % 4).alias("shard"))
-    scored = c.join(b, "shard").withColumn("score", X.bag_cosine(F.col("a"), F.col("b"))).withColumn("q", F.struct("conv_id", "turn"))
-    return V.top_k(scored, 3, by="q", tie="item_id").select("conv_id", "turn", "item_id", "score")
+    """User turns against all passages by bag-of-words cosine; scores are rounded before they are ranked, for the engines add in other orders."""
+    c = V.embed_text(read(spark, sf_dir, "conversations").filter("role = 'user'")).select(F.struct("conv_id", "turn").alias("query_id"), "bag")
+    b = V.embed_text(read(spark, sf_dir, "benchmark")).select(F.col("item_id").alias("id"), "bag")
+    return V.lexical_search(c, b).select("query_id.*", F.col("id").alias("item_id"), "score")

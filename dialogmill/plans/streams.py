@@ -3,31 +3,19 @@ batch oracle applies."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import responses as R
 from ..streaming import streams as Z
 from . import duck
-from .base import QUEUE, SCORED, TALK, TALK_PAIRS, VOTES, query, read, scored, talk, talk_pairs, votes
+from .base import QUEUE, SCORED, TALK, TALK_PAIRS, VOTES, folder, query, read, scored, talk, talk_pairs, votes
 from .memory import A, BATCHES, W
 
 
-def _scratch(spark) -> str:
-    """A new folder where the cluster shares files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="dialogmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/dialogmill-streams/{uuid.uuid4().hex}"
-
-
 def _streamed(spark, df, files: int = 4):
     """The rows as a stream of ``files`` files, and a folder for its sink and checkpoint."""
-    at = _scratch(spark)
+    at = folder(spark)
     df.repartition(files).write.parquet(f"{at}/in")
     return Z.stream_of(spark, f"{at}/in", df.schema, maxFilesPerTrigger="2"), at
 
@@ -106,7 +94,7 @@ select w.conv_id, total_turns::bigint as total_turns, window_turns, coalesce(rol
 )
 def stream_memory(spark, sf_dir):
     """One conversation's messages arrive in one file here, for a stream of files has no order between them."""
-    at = _scratch(spark)
+    at = folder(spark)
     rows = Z.with_lines_and_facts(talk(spark, sf_dir))
     rows.repartition(4, "conv_id").write.parquet(f"{at}/in")
     stream = Z.session_memory(Z.stream_of(spark, f"{at}/in", rows.schema, maxFilesPerTrigger="2"), W, A)
@@ -117,7 +105,7 @@ def stream_memory(spark, sf_dir):
 @query()
 def stream_ingest(spark, sf_dir):
     """The corpus arrives a few sources at a time; the result is the chunks of every source."""
-    at = _scratch(spark)
+    at = folder(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     docs.repartition(4, "source").write.parquet(f"{at}/in")
     stream = Z.stream_of(spark, f"{at}/in", docs.schema, maxFilesPerTrigger="1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus, evaluation, feedback, memory, retrieval, streams, training
+from .plans import corpus, evaluation, feedback, files, memory, retrieval, streams, training
 from .plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "feedback", "memory", "retrieval", "streams", "training"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "feedback", "files", "memory", "retrieval", "streams", "training"]

@@ -43,29 +43,34 @@ def read_json_docs(spark: SparkSession, path: str, keys: list[str] | None = None
     return _stamped(df.withColumn("text", F.col("json_text")), "json")
 
 
-def read_jsonl_docs(spark: SparkSession, path: str, keys: list[str] | None = None, recursive: bool = True) -> DataFrame:
-    """One document a file: the texts of its lines in order; blank and malformed lines are skipped. Lines are parsed apart, so a large file
-    is no large row until its texts are joined."""
-    lines = _whole(spark, path, recursive).select("source", "file_path", F.posexplode(F.split("text", "\r?\n")).alias("pos", "text"))
+def read_jsonl_docs(spark: SparkSession, path: str, keys: list[str] | None = None, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """One document a file: the texts of its lines in order; blank and malformed lines are skipped. Files are read by lines and split like
+    any large file; only a file's texts are joined."""
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = reader.text(path, recursiveFileLookup=recursive).select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("file_path"), pos.alias("pos"), F.col("value").alias("text"))
     texts = extract_json_text(lines.filter(~X.blank(F.col("text"))), keys or TEXT_KEYS).filter("json_text is not null")
     rows = texts.groupBy("source", "file_path").agg(F.array_sort(F.collect_list(F.struct("pos", "json_text"))).alias("r"))
     return _stamped(rows.withColumn("text", F.array_join(F.transform("r", lambda x: x["json_text"]), "\n")), "jsonl")
 
 
 def read_corpus_dir(spark: SparkSession, path: str, extensions: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
-    """All files of known suffixes (in any case) under ``path``; corrupt ones are skipped."""
-    files = _whole(spark, path).withColumn("kind", F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))[F.lower(F.substring_index("source", ".", -1))])
-    if extensions:
-        files = files.filter(F.lower(F.substring_index("source", ".", -1)).isin([e.lower().lstrip(".") for e in extensions]))
-    of = lambda k: files.filter(F.col("kind") == k)
-    out = _stamped(of("text"), "text").unionByName(_stamped(of("markdown").withColumn("text", X.strip_markdown(F.col("text"))), "markdown"))
-    out = out.unionByName(_stamped(of("html").withColumn("text", X.html_main_text(F.col("text"))), "html"))
-    whole = extract_json_text(of("json"), keys or TEXT_KEYS).filter("json_text is not null").withColumn("text", F.col("json_text"))
-    lines = of("jsonl").select("source", "file_path", F.posexplode(F.split("text", "\r?\n")).alias("pos", "text"))
-    texts = extract_json_text(lines.filter(~X.blank(F.col("text"))), keys or TEXT_KEYS).filter("json_text is not null")
-    rows = texts.groupBy("source", "file_path").agg(F.array_sort(F.collect_list(F.struct("pos", "json_text"))).alias("r"))
-    joined = rows.withColumn("text", F.array_join(F.transform("r", lambda x: x["json_text"]), "\n"))
-    return out.unionByName(_stamped(whole, "json")).unionByName(_stamped(joined, "jsonl"))
+    """All files of known suffixes (in any case) under ``path``; corrupt ones are skipped. One scan of whole files, and one of the lines of
+    JSON Lines files."""
+    suffix = F.lower(F.substring_index("source", ".", -1))
+    wanted = {s: k for s, k in SUFFIXES.items() if not extensions or s in {e.lower().lstrip(".") for e in extensions}}
+    kinds = F.create_map(*(F.lit(x) for kv in (wanted or {"": ""}).items() for x in kv))
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    either = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in s) for s, k in wanted.items() if k != "jsonl")
+    files = reader.option("pathGlobFilter", f"*.{{{either}}}").text(path, wholetext=True, recursiveFileLookup=True)
+    files = files.select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")).withColumn("kind", kinds[suffix])
+    files = extract_json_text(files, keys or TEXT_KEYS)
+    text = F.when(F.col("kind") == "markdown", X.strip_markdown(F.col("text"))).when(F.col("kind") == "html", X.html_main_text(F.col("text")))
+    text = text.when(F.col("kind") == "json", F.col("json_text")).otherwise(F.col("text"))
+    meta = F.create_map(F.lit("format"), F.col("kind"), F.lit("file_path"), F.col("file_path")).alias("metadata")
+    whole = files.select("source", text.alias("text"), meta, "kind").filter("kind is not null and text is not null").drop("kind")
+    return whole.unionByName(read_jsonl_docs(spark, path, keys, glob="*.[jJ][sS][oO][nN][lL]")) if "jsonl" in wanted else whole
 
 
 def read_html_pages(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -36,8 +36,14 @@ def write_messages_jsonl(df: DataFrame, path: str) -> None:
     df.select("messages").write.json(path)
 
 
-def write_instruction_json(df: DataFrame, path: str) -> None:
-    df.select("instruction", "input", "output").write.json(path)
+def write_instruction_json(df: DataFrame, path: str, rows_a_file: int = 10_000) -> None:
+    """Files that each hold one JSON array of at most ``rows_a_file`` rows, in folders by number. Rows are numbered within their partition, so
+    an array's rows are few and stand together."""
+    row = F.struct("instruction", "input", "output").alias("row")
+    at = F.monotonically_increasing_id()
+    numbered = df.select(row, at.alias("at")).withColumn("file", F.concat_ws("-", F.shiftright("at", 33), F.floor(F.col("at").bitwiseAND(2**33 - 1) / rows_a_file)))
+    arrays = numbered.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]).alias("rows"))
+    arrays.select("file", F.to_json("rows").alias("value")).write.partitionBy("file").text(path)
 
 
 def append_reasoning_audit(audit: DataFrame, path: str) -> None:

@@ -209,7 +209,13 @@ def test_files(spark, tmp_path):
 
 def test_sql_surface(spark):
     names = udfs.register_sql(spark)
-    assert len(names) == 5
+    assert len(names) == 6
+    texts = spark.createDataFrame([(1, "One two three. " * 80 + "The end of it. " * 3), (2, None), (3, "")], "doc_id long, text string")
+    own = [(r.doc_id, r.chunks) for r in texts.selectExpr("doc_id", "sentence_chunks(text, 400, 80, 30) as chunks").collect()]
+    want = {}
+    for r in corpus.chunk_sentences(texts).orderBy("doc_id", "chunk_index").collect():
+        want.setdefault(r.doc_id, []).append(r.text)
+    assert own == [(1, want[1]), (2, []), (3, [])] and len(want[1]) > 2
     row = spark.sql("select redact_emails('me@site.org x') a, strip_tags('<b>x</b>&amp;') b, fixed_chunks('abcde', 2) c, normalize_spacing('a  b') d").first()
     assert (row.a, row.b, row.c, row.d) == ("[EMAIL] x", " x  ", ["ab", "cd", "e"], "a b")
     score = udfs.pair_scorer(lambda: lambda a, b: [float(len(x) + len(y)) for x, y in zip(a, b)])
@@ -220,6 +226,48 @@ def test_sql_surface(spark):
     assert list(spark.createDataFrame([("abc",)], "t string").select(embed("t")).first()[0]) == [3.0, 1.0]
 
 
+def test_instruction_arrays(spark, tmp_path):
+    rows = spark.range(25).select(F.concat(F.lit("i"), "id").alias("instruction"), F.lit("").alias("input"), F.lit("o").alias("output")).coalesce(2)
+    writers.write_instruction_json(rows, str(tmp_path / "a"), 10)
+    arrays = [json.loads(p.read_text()) for p in (tmp_path / "a").rglob("part-*") if p.suffix == ".txt"]
+    assert all(1 <= len(a) <= 10 for a in arrays) and sorted(r["instruction"] for a in arrays for r in a) == sorted(f"i{k}" for k in range(25))
+
+
+def test_split_keeps_all_rows(spark):
+    rows = [(None, "aaaa"), (1, "b" * 10), (2, "c" * 10), (1000, "d" * 10), (10**12, None), (10**12, "e" * 10)]
+    got = feedback.train_val_split(spark.createDataFrame(rows, "k long, text string"), "k", 0.6).collect()
+    assert len(got) == 6 and sum(r.is_train for r in got) == 3 and {r.k for r in got if r.is_train} == {None, 1, 2}
+
+
+def test_text_folds_are_linear(spark):
+    """A text of four times the sentences takes about four times as long, not sixteen; and term counts of many words are quick."""
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        sentences = [f"Sentence number {i} é of it." for i in range(n)]
+        began = time.time()
+        chunks = corpus.chunks_of(" ".join(sentences), sentences, 400, 80, 30)
+        took.append(time.time() - began)
+        assert chunks[-1][3] == len(" ".join(sentences)) and all(" ".join(sentences)[a:b] == t for t, _, a, b in chunks)
+    assert took[1] < 10 * took[0] + 0.05
+    began = time.time()
+    many = F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.concat(F.lit("w"), (i % 30_000).cast("string")))
+    assert abs(spark.range(1).select(X.bag_cosine(many, many)).first()[0] - 1) < 1e-9 and time.time() - began < 60
+    assert spark.range(1).select(X.term_counts(F.array(*map(F.lit, "bab")))).first()[0] == [("a", 1.0), ("b", 2.0)]
+
+
+def test_retrieve_reranks_and_takes_cells(spark):
+    kb = spark.createDataFrame([(i, [float(i % 7 == j) + 0.01 * i for j in range(7)], "s", f"t{i}") for i in range(60)], "id long, v array<double>, source string, text string")
+    kb = vectors.l2_normalize(kb, "v", "kv").drop("v")
+    queries = kb.filter("id < 3").select(F.col("id").alias("query_id"), F.col("kv").alias("qv"))
+    plain, cells = (vectors.retrieve(queries, kb, 20, 2, 0.2, ivf_from=n).orderBy("query_id").collect() for n in (10**6, 1))
+    assert all(r.used_mmr and r.total_found == 20 for r in plain) and len(cells) == 3
+    last = vectors.retrieve(queries, kb, 20, 1, 0.2, lambda_=1.0, scorer=F.col("id").cast("double"), others=True).collect()
+    first = vectors.retrieve(queries, kb, 20, 1, 0.2, lambda_=1.0, others=True).collect()
+    assert {r.query_id: r.context for r in last} != {r.query_id: r.context for r in first}
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     rows = lambda *ts: spark.createDataFrame([(1, t) for t in ts], "vote int, ts string").select("vote", F.col("ts").cast("timestamp").alias("ts"))
     schema = rows("2024-01-01 00:00:00").schema
