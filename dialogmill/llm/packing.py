@@ -14,7 +14,9 @@ import base64
 import functools
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .runtime import durable
 
 CAPACITY, END_ID = 1024, 2
-#: Ranks within a length are counted in so many buckets.
-BUCKETS = 512
+#: Ranks within a length are counted in so many buckets at least, and more if a bucket would hold more pieces than this.
+BUCKETS, BUCKET_PIECES = 512, 10_000
 #: Nodes of the branch-and-bound; the incumbent is complete at any time, so the bound costs no document.
-NODES = 4000
+NODES = 6000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,12 +114,56 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(tuple(sorted(h.items(), reverse=True)), n) for held in space.values() for h, n in held if n]
 
 
+def all_fillings(counts: np.ndarray, largest: int, capacity: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """All completions of a sequence that holds ``largest`` to which no piece can be added, least waste first and of equal waste those of
+    longer pieces first; those that an earlier one dominates are left out. Sums that the remaining lengths can't reach are never tried."""
+    room = capacity - largest
+    left = counts.copy()
+    left[largest] -= 1
+    lengths = [int(x) for x in np.flatnonzero(left[: room + 1])[::-1]]
+    full = (1 << (room + 1)) - 1
+    reach = [1]  # from behind: the sums that lengths[i:] can make, as bits
+    for x in reversed(lengths):
+        bits, many, step = reach[-1], min(int(left[x]), room // x), 1
+        while many > 0:
+            use = min(step, many)
+            bits |= bits << (use * x) & full
+            many, step = many - use, step * 2
+        reach.append(bits)
+    reach.reverse()
+    kept: list[tuple[int, ...]] = []
+
+    def exact(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+        elif i < len(lengths) and reach[i] >> total & 1:
+            x = lengths[i]
+            for many in range(min(int(left[x]), total // x), -1, -1):
+                for rest in exact(i + 1, total - many * x):
+                    yield (x,) * many + rest
+
+    for waste in range(room + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        for f in exact(0, room - waste):
+            used = Counter(f)
+            if any(x <= waste and left[x] > used[x] for x in lengths) or any(_dominates(g, f) for g in kept):
+                continue
+            if len(kept) < 256:
+                kept.append(f)
+            yield waste, f
+
+
+def _dominates(g: tuple[int, ...], f: tuple[int, ...]) -> bool:
+    """Whether wherever ``f`` is used ``g`` can be, its pieces changing places with ``f``'s (a sound test, not a complete one)."""
+    return (len(g) == len(f) and all(a >= b for a, b in zip(g, f))) or (len(g) == 1 and g[0] >= sum(f))
+
+
 def fillings(counts: np.ndarray, largest: int, capacity: int, wide: int = 24, most: int = 6) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated completions of a sequence that holds ``largest``, least waste first: (waste, lengths beside ``largest``).
+    """A few good completions of a sequence that holds ``largest``, least waste first: (waste, lengths beside ``largest``).
 
     Each begins with one of the ``wide`` longest lengths that fit (and, for those, one of a few second lengths) and goes on with the
-    longest that still fits, for a shorter one there is dominated. Of two completions with equally many pieces, one whose pieces are all
-    at least as long dominates; so does a single piece at least as long as the other's sum."""
+    longest that still fits. The search tries these first and ``all_fillings`` after them."""
     room = capacity - largest
     left = counts.copy()
     left[largest] -= 1
@@ -160,7 +206,7 @@ def fillings(counts: np.ndarray, largest: int, capacity: int, wide: int = 24, mo
     ordered = sorted((w, len(f), f) for f, w in found.items())
     kept: list[tuple[int, tuple[int, ...]]] = []
     for waste, n, f in ordered:
-        if not any((len(g) == n and all(a >= b for a, b in zip(g, f))) or (len(g) == 1 and g[0] >= sum(f)) for _, g in kept):
+        if not any(_dominates(g, f) for _, g in kept):
             kept.append((waste, f))
         if len(kept) == most:
             break
@@ -169,8 +215,9 @@ def fillings(counts: np.ndarray, largest: int, capacity: int, wide: int = 24, mo
 
 def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
     """Bin completion. ``counts[l]`` pieces have length l. Depth first: complete a sequence around the longest piece left by its
-    undominated fillings, least waste first, repeated while the counts last; a branch ends when its waste exceeds what one sequence
-    fewer than the incumbent allows. Incumbents are best-fit solutions of the whole and of nodes' remainders."""
+    undominated fillings, the best few first and then all others, least waste first; a branch ends when its waste exceeds what one sequence
+    fewer than the incumbent allows. A filling is repeated while the counts last, and tried once alone if that leads nowhere. Incumbents
+    are best-fit solutions of the whole and of nodes' remainders."""
     counts = np.asarray(counts, np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     least = -(-total // capacity)
@@ -178,9 +225,15 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
     best_n = sum(n for _, n in best)
     stack: list[tuple[np.ndarray, list, int, int, Iterator]] = []
 
+    def options_of(left: np.ndarray, top: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        first = fillings(left, top, capacity)
+        yield from ((w, top, f) for w, f in first)
+        tried = {f for _, f in first}
+        yield from ((w, top, f) for w, f in all_fillings(left, top, capacity) if f not in tried)
+
     def open_node(left: np.ndarray, done: list[Pattern], used: int, waste: int) -> None:
         top = int(np.flatnonzero(left)[-1])
-        stack.append((left, done, used, waste, iter([(w, top, f) for w, f in fillings(left, top, capacity)])))
+        stack.append((left, done, used, waste, options_of(left, top)))
 
     if best_n > least and total:
         open_node(counts, [], 0, 0)
@@ -192,7 +245,7 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
             stack.pop()
             continue
         seen += 1
-        w, top, filling = option
+        (w, top, filling), once = option[:3], len(option) == 4
         held: dict[int, int] = {}
         for x in (top, *filling):
             held[x] = held.get(x, 0) + 1
@@ -202,6 +255,10 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
             number = min(number, max(0, (allowed - waste) // w))
         if not number:
             continue  # the waste bound
+        if number > 1 and not once:
+            stack[-1] = (left, done, used, waste, chain([(w, top, filling, True)], options))
+        if once:
+            number = 1
         rest = left.copy()
         for x, k in held.items():
             rest[x] -= k * number
@@ -236,7 +293,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     """``pieces`` (a written table with doc_id, piece, length and more) with sequence_id and offset. The plan has at most a few rows a
     length, so its broadcast is bounded by ``capacity``."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, pieces.count() // BUCKET_PIECES)
+    own = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64(*own), F.lit(buckets)).cast("int"))
     grouped = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for row in grouped.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -245,7 +304,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     plan = spark.createDataFrame(segments, "length long, a long, b long, sequence long, per long, at long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = grouped.select("length", "bucket", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*own)) - 1
     ranked = pieces.withColumn("rank", rank).join(starts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(plan), (ranked.length == plan.length) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b"))).drop(plan.length)
     place = F.col("rank") - F.col("a")

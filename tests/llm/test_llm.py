@@ -77,8 +77,8 @@ def test_packing_plan():
 
 
 def fewest(lengths, room):
-    """Bins by trying all."""
-    best = len(lengths)
+    """Sequences by trying all ways."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
 
     def go(i, bins):
         nonlocal best
@@ -88,7 +88,7 @@ def fewest(lengths, room):
             best = len(bins)
             return
         for j in range(len(bins)):
-            if bins[j] + lengths[i] <= room:
+            if bins[j] + lengths[i] <= room and bins[j] not in bins[:j]:
                 go(i + 1, [*bins[:j], bins[j] + lengths[i], *bins[j + 1 :]])
         go(i + 1, [*bins, lengths[i]])
 
@@ -97,11 +97,27 @@ def fewest(lengths, room):
 
 
 def test_packing_is_optimal_on_small_inputs():
+    hard = [491, 411, 373, 368, 351, 319, 213, 205, 127, 95, 63, 55]  # no sequence of the best plan is greedy
+    assert sum(m for _, m in packing.plan_sequences(np.bincount(hard, minlength=1025))) == 3
     rng = random.Random(3)
-    for _ in range(60):
-        lengths = sorted((rng.randint(2, 12) for _ in range(rng.randint(1, 9))), reverse=True)
-        plan = packing.plan_sequences(np.bincount(lengths, minlength=21), 20)
-        assert sum(m for _, m in plan) == fewest(lengths, 20)
+    for _ in range(300):
+        room = rng.choice([20, 100, 1024])
+        lengths = [rng.randint(max(1, room // 20), rng.choice([room // 2, room * 2 // 3, room])) for _ in range(rng.randint(1, 12))]
+        plan = packing.plan_sequences(np.bincount(lengths, minlength=room + 1), room)
+        assert sum(m for _, m in plan) == fewest(lengths, room)
+
+
+def test_all_fillings():
+    rng = random.Random(4)
+    for _ in range(100):
+        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 8))), reverse=True)
+        got = list(packing.all_fillings(np.bincount(lengths, minlength=31), lengths[0], 30))
+        rest = lengths[1:]
+        every = {tuple(sorted((x for x, use in zip(rest, ways) if use), reverse=True)) for ways in itertools.product((0, 1), repeat=len(rest))}
+        every = {f for f in every if sum(f) <= 30 - lengths[0]}
+        assert {f for _, f in got} <= every and [w for w, _ in got] == sorted(30 - lengths[0] - sum(f) for _, f in got)
+        # what was left out is part of a filling, or dominated by one
+        assert all(any(not np.setdiff1d(f, g).size and len(g) > len(f) or f == g or packing._dominates(g, f) for _, g in got) or any(sum(f) + x <= 30 - lengths[0] for x in rest) for f in every)
 
 
 def test_packing_rows(spark, docs, odd, none):
