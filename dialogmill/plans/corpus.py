@@ -107,7 +107,7 @@ def chunk_counts(spark, sf_dir):
     return C.chunk_counts(C.chunk_fixed(docs).join(docs.select("doc_id", "source"), "doc_id"))
 
 
-@query()
+@query("select event_id, concat_ws(chr(10), nullif(event_type, ''), nullif(props, ''), nullif(event_type, ''), nullif(props, '')) as json_text from events")
 def extract_json_text(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("text"), F.struct(F.col("props").alias("content")).alias("inner"), F.array(F.col("event_type"), F.col("props")).alias("list"))).alias("text"))
     return C.extract_json_text(rows, ["text", "content", "body"]).select("event_id", "json_text")

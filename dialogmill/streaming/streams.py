@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -118,14 +119,15 @@ def failed_queue_sink(scored: DataFrame, path: str) -> Callable[[DataFrame, int]
 
 
 def ingest_sink(path: str, **options) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that chunks documents of sources not yet in the manifest under ``path``, then adds them to it."""
+    """A foreachBatch function that chunks documents of sources not yet in the manifest under ``path``, then adds them to it. A source is
+    ingested once: documents of it that come in a later batch are left out, as when a folder is ingested again."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
             manifest = spark.read.parquet(f"{path}/manifest").filter(F.col("batch") != number).select("source")
-        except Exception as e:  # the first batch finds no manifest
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch finds no manifest
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             manifest = spark.createDataFrame([], "source string")
         fresh = corpus.drop_ingested(batch, manifest)
