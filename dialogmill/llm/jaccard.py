@@ -523,6 +523,7 @@ def keep_one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> Dat
     once = documents.filter(own.isNotNull()).join(odd, own == F.col("odd_id"), "left_anti")
     rest = documents.join(repeated, own == F.col("odd_id"), "left_semi").union(documents.filter(own.isNull()))
     rest = _with_class(rest, k)
-    others = [c for c in documents.columns if c != "text"]
-    first = rest.join(chiefs, (F.col("_cls") == F.col("_chief")) & own.eqNullSafe(F.col("_rep"))).groupBy("_cls").agg(F.min(F.struct("text", *others)).alias("_row"))
+    first = rest.join(chiefs, (F.col("_cls") == F.col("_chief")) & own.eqNullSafe(F.col("_rep")))
+    row = F.struct(*documents.columns)  # compared as text and JSON, for maps have no order
+    first = first.groupBy("_cls").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("_row"))
     return once.unionByName(first.select("_row.*")).unionByName(rest.filter("_cls is null").drop("_cls"))

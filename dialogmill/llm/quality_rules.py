@@ -25,6 +25,7 @@ SAMPLE = 6000
 #: A document stays if its estimated probability of good quality is at least this.
 KEEP_FROM = 0.3
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ADDED = [*BASE, "base_failed", "score", "kept"]
 FEATURES = [
     "log_words", "chars_per_word", "symbols_per_char", "dup_lines_share", "repeat_share", "distinct_share", "upper_share", "digit_share",
     "bang_per_word", "pipe_per_word", "stop_per_word", "comma_per_word", "lines_per_word", "same_as_previous", "non_ascii_share",
@@ -204,7 +205,7 @@ def train_forest(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
 
 def apply_rules(documents: DataFrame, forest: Forest | None, keep_from: float = KEEP_FROM) -> DataFrame:
     """All columns of ``documents`` (those that clash with a result column are replaced), the base counts, base_failed, score, kept."""
-    added = [*BASE, "base_failed", "score", "kept"]
+    added = ADDED
     own = documents.drop(*added)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), *(f"{c} long" for c in BASE), "base_failed boolean, score double, kept boolean"])
 
