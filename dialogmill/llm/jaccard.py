@@ -155,8 +155,10 @@ def _close(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """(bucket, cls, tokens): each class's set, made from its text again, once for every bucket that ``places`` (cls, bucket) names."""
+def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: int, packed=None) -> DataFrame:
+    """(bucket, cls, tokens): each class's set, made from its text again and packed into bytes (``_short`` by default), once for every bucket
+    that ``places`` (cls, bucket) names."""
+    packed = packed or _short
     wanted = durable(places.join(classes, "cls").groupBy("cls").agg(F.min("rep").alias("rep"), F.collect_set("bucket").alias("buckets")), "wanted")
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("buckets")).alias("places"), F.count_if(F.col("rep").isNull()).alias("nameless")).first()
     nameless = size.nameless > 0
@@ -172,7 +174,7 @@ def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: i
                 places = batch.column("buckets").slice(a, b - a).to_pylist()
                 keys = batch.column("cls").slice(a, b - a).to_pylist()
                 # a text may have been found under an id that several rows share: the set's hash tells whose it is
-                rows = [(x, key, raw) for s, key, xs in zip(sets, keys, places) if _name(s) == key for raw in [_short(s)] for x in xs]
+                rows = [(x, key, raw) for s, key, xs in zip(sets, keys, places) if _name(s) == key for raw in [packed(s)] for x in xs]
                 if not rows:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "cls", "tokens"])
@@ -190,7 +192,7 @@ def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: i
                 for s in _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k):
                     if len(s) and (key := _name(s)) not in met:
                         met.add(key)
-                        rows[key] = _short(s)
+                        rows[key] = packed(s)
                 if len(met) >= 1_000_000:
                     met.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], ["cls", "tokens"])
@@ -215,16 +217,16 @@ _PAIR = ["cls_a as a", "cls_b as b", "n_a as na", "n_b as nb"]
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def _long(raw) -> np.ndarray:
+    """A set as sent, as numbers whose lower 16 bits are 0."""
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(_U).ravel()
+
+
 def _known(sets: pa.Table, wanted: set[int] | None = None) -> dict[int, np.ndarray]:
     """cls → tokens as sent."""
-    known = {}
-    for key, raw in zip(sets.column("cls").to_pylist(), sets.column("tokens")):
-        if wanted is not None and key not in wanted:
-            continue
-        wide = np.zeros((len(raw.as_buffer()) // 6, 8), np.uint8)
-        wide[:, 2:] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
-        known[key] = wide.view(_U).ravel()
-    return known
+    return {key: _long(raw.as_buffer()) for key, raw in zip(sets.column("cls").to_pylist(), sets.column("tokens")) if wanted is None or key in wanted}
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], common_from: int = 32, slice_tokens: int = 1 << 18) -> np.ndarray:
@@ -364,33 +366,43 @@ def _crowd_blocks(documents: DataFrame, classes: DataFrame, own: DataFrame, k: i
     return spread.select("bucket", "place", "cls", "comp", "side").groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(several, "u long, v long")
 
 
-def _verify(documents: DataFrame, classes: DataFrame, passed: DataFrame, k: int, percent: int, orders) -> DataFrame:
-    """The pairs (a, b, na, nb) that link. The sets are made from their texts again and meet in buckets: pairs of the same ``a`` together, in
-    several buckets if their sets are large or many. There a pair must pass the second order's filter before its sets are compared."""
-    spark = documents.sparkSession
-    load = passed.groupBy("a").agg((F.sum("nb") + F.max("na")).alias("load"))
+def _verify(documents: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, orders) -> DataFrame:
+    """The pairs (a, b, na, nb) that link: those whose prefixes under the second order share a token are compared on their whole sets."""
+
+    def prefix(tokens: np.ndarray) -> bytes:
+        known, level = orders.value
+        place = np.sort(_ordered(tokens, known, level, 2))[: _prefix(len(tokens), percent)]
+        return np.sort(place.astype(np.uint32)).tobytes()  # 32 bits: a chance agreement only lets a pair through
+
+    def share(a: bytes, b: bytes, na: int, nb: int) -> bool:
+        return _shared(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) > 0
+
+    def link(a: bytes, b: bytes, na: int, nb: int) -> bool:
+        inter = _shared(_long(a), _long(b))
+        return 100 * inter >= percent * (na + nb - inter)
+
+    passed = durable(_met(documents, classes, pairs, k, prefix, share, (100 - percent) / 100), "pairs-passed")
+    return _met(documents, classes, passed, k, _short, link, 1.0).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _met(documents: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, packed, keep, weight: float) -> DataFrame:
+    """The pairs (a, b, na, nb) that ``keep`` (of both sets as ``packed``, and their sizes) holds for. The sets are made from their texts and
+    meet in buckets: pairs of the same ``a`` together, in several buckets if their sets, of which ``weight`` is sent, are large or many."""
+    load = pairs.groupBy("a").agg(((F.sum("nb") + F.max("na")) * weight).alias("load"))
     load = durable(load.select("a", "load", F.ceil(F.col("load") / BUCKET_TOKENS).alias("parts")), "pairs-load")
     total = load.agg(F.count("*").alias("n"), F.sum("load").alias("load")).first()
-    many = max(partitions(spark), (total.load or 0) // BUCKET_TOKENS + 1)
-    dealt = join_hot(passed, load.select("a", "parts"), ["a"], "b", at_most=total.n)
-    dealt = durable(dealt.select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(many)).cast("int").alias("bucket")), "pairs-dealt")
+    many = max(partitions(documents.sparkSession), int(total.load or 0) // BUCKET_TOKENS + 1)
+    dealt = join_hot(pairs, load.select("a", "parts"), ["a"], "b", at_most=total.n)
+    dealt = durable(dealt.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(many)).cast("int").alias("bucket")), "pairs-dealt")
     places = dealt.select(F.col("a").alias("cls"), "bucket").union(dealt.select(F.col("b").alias("cls"), "bucket")).distinct()
-    sets = _send_sets(documents, classes, places, k)
+    sets = _send_sets(documents, classes, places, k, packed)
 
     def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        known, level = _cut(*orders.value)
-        tokens, prefix = _known(sets), {}
-        out = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            x, y = tokens[a], tokens[b]
-            for key, s in ((a, x), (b, y)):
-                if key not in prefix:
-                    prefix[key] = _second_prefix(s, percent, known, level)
-            if _shared(prefix[a], prefix[b]) and 100 * (inter := _shared(x, y)) >= percent * (len(x) + len(y) - inter):
-                out.append((a, b))
-        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
-
-    return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(compare, "u long, v long")
+        known = {key: raw.as_buffer() for key, raw in zip(sets.column("cls").to_pylist(), sets.column("tokens"))}
+        ok = [keep(known[a], known[b], na, nb) for a, b, na, nb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb")))]
+        return pairs.select(["a", "b", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
+
+    return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(compare, "a long, b long, na int, nb int")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
