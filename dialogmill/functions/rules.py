@@ -234,3 +234,32 @@ SYSTEM_PROMPTS = [
     "You are an AI trained to provide concise, accurate answers.",
 ]
 ASSISTANT_MARK = "\n\nAssistant: "
+
+# ---- fixed phrases of summaries, checks and prompts; {} stands for a value ----
+RUNAWAY = "Runaway generation — response is {} words (> 500)"
+INTENT_SUMMARY = {
+    "upgraded": "User is asking a question or requesting a fix for the provided code.",
+    "named": "User is making a {} request.",
+    "code": "User provided a raw code snippet. They likely want it reviewed or explained.",
+    "general": "User is making a general request.",
+}
+ISSUES = {
+    "short": "Response too short ({} words, min 8).",
+    "leak": "Role-leakage tokens detected (user:/assistant:/system:).",
+    "repetition": "High repetition detected (unique-word ratio: {}).",
+    "ending": "No sentence-ending punctuation found.",
+    "no_block": "Coding response missing code block (```).",
+    "open_block": "Markdown code block is not properly closed.",
+    "braces": "Unclosed braces detected in code.",
+}
+RECOVERY = {
+    "head": "[SYSTEM RECOVERY]: The previous generation was interrupted or incomplete. ",
+    "mode": "Maintain CODE SOLVER MODE. Do NOT restart reasoning or explanation.",
+    "line": "Resume exactly from the last complete line: `{}`.",
+    "where": "Resume code generation exactly where it left off.",
+    "block": "Ensure the markdown code block (```) is properly closed.",
+    "braces": "Ensure {} pending open braces ({) are closed.",
+    "python": "Maintain proper Python indentation for the incomplete block.",
+    "end": "Complete the final code immediately.",
+    "plain": "Please seamlessly continue the previous response without apologizing.",
+}

@@ -61,6 +61,12 @@ def count_of(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def fill(phrase: str, value: Column) -> Column:
+    """``phrase`` with ``value`` in place of its first {}."""
+    head, tail = phrase.split("{}", 1)
+    return F.concat(F.lit(head), value, F.lit(tail))
+
+
 def let(value: Column, fn) -> Column:
     """``fn`` of ``value``, computed once: a name inside a lambda is a variable, while an expression would be computed for each element."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))

@@ -80,18 +80,19 @@ def recovery_prompts(checked: DataFrame, interrupted: Column, coding: Column) ->
     """Of responses that were interrupted or left code open: the instruction to go on."""
     python = F.col("open_language").isin("python", "py")
     line = F.col("last_complete_line")
+    said = rules.RECOVERY
     solver = F.array_compact(
         F.array(
-            F.lit("Maintain CODE SOLVER MODE. Do NOT restart reasoning or explanation."),
-            F.when(line != "", F.concat(F.lit("Resume exactly from the last complete line: `"), line, F.lit("`."))).otherwise("Resume code generation exactly where it left off."),
-            F.when(F.col("incomplete_code_block"), "Ensure the markdown code block (```) is properly closed."),
-            F.when((F.col("unclosed_braces") > 0) & ~python, F.concat(F.lit("Ensure "), F.col("unclosed_braces").cast("string"), F.lit(" pending open braces ({) are closed."))),
-            F.when(python, "Maintain proper Python indentation for the incomplete block."),
-            F.lit("Complete the final code immediately."),
+            F.lit(said["mode"]),
+            F.when(line != "", X.fill(said["line"], line)).otherwise(said["where"]),
+            F.when(F.col("incomplete_code_block"), said["block"]),
+            F.when((F.col("unclosed_braces") > 0) & ~python, X.fill(said["braces"], F.col("unclosed_braces").cast("string"))),
+            F.when(python, said["python"]),
+            F.lit(said["end"]),
         )
     )
-    head = F.lit("[SYSTEM RECOVERY]: The previous generation was interrupted or incomplete. ")
-    text = F.when(coding, F.array_join(solver, " ")).otherwise("Please seamlessly continue the previous response without apologizing.")
+    text = F.when(coding, F.array_join(solver, " ")).otherwise(said["plain"])
+    head = F.lit(said["head"])
     return checked.filter(interrupted | F.col("incomplete_code_block") | (F.col("unclosed_braces") > 0)).withColumn("recovery_prompt", F.concat(head, text))
 
 

@@ -74,7 +74,7 @@ def failure_reasons(response: Column, acc: Column, rel: Column, coh: Column) ->
             F.when(rel < 0.30, r["relevance"]),
             F.when(coh < 0.40, r["coherence"]),
             F.when(F.contains(low, F.lit("user:")) | F.contains(low, F.lit("assistant:")), r["leak"]),
-            F.when(n > 500, F.concat(F.lit("Runaway generation — response is "), n.cast("string"), F.lit(" words (> 500)"))),
+            F.when(n > 500, X.fill(rules.RUNAWAY, n.cast("string"))),
             F.when(n < 5, r["short"]),
         )
     )
@@ -157,12 +157,9 @@ def classify_intent(df: DataFrame, col: str = "text") -> DataFrame:
     out = df.withColumn("has_code", has_code(F.col(col))).withColumn("hit", hit)
     upgraded = F.col("has_code") & ~F.col("hit").isin("coding", "debugging")
     category = F.when(F.col("hit").isNotNull(), F.when(upgraded, "debugging").otherwise(F.col("hit"))).when(F.col("has_code"), "coding").otherwise("general")
-    summary = (
-        F.when(F.col("hit").isNotNull() & upgraded, "User is asking a question or requesting a fix for the provided code.")
-        .when(F.col("hit").isNotNull(), F.concat(F.lit("User is making a "), F.col("hit"), F.lit(" request.")))
-        .when(F.col("has_code"), "User provided a raw code snippet. They likely want it reviewed or explained.")
-        .otherwise("User is making a general request.")
-    )
+    said = rules.INTENT_SUMMARY
+    named = F.when(F.col("hit").isNotNull() & upgraded, said["upgraded"]).when(F.col("hit").isNotNull(), X.fill(said["named"], F.col("hit")))
+    summary = named.when(F.col("has_code"), said["code"]).otherwise(said["general"])
     return out.withColumn("category", category).withColumn("intent_summary", summary).drop("hit")
 
 
@@ -254,14 +251,15 @@ def validate_response(df: DataFrame) -> DataFrame:
     ratio = _unique_ratio(w)
     coding = F.contains(X.nz(F.col("category")), F.lit("coding"))
     fences, opens, closes = X.count_of(r, "```"), X.count_of(r, "{"), X.count_of(r, "}")
+    said = rules.ISSUES
     checks = [
-        (~F.col("category").eqNullSafe("greeting") & (n < rules.MIN_WORDS), 0.35, F.concat(F.lit("Response too short ("), n.cast("string"), F.lit(f" words, min {rules.MIN_WORDS})."))),
-        (r.rlike(rules.ROLE_LEAK), 0.30, F.lit("Role-leakage tokens detected (user:/assistant:/system:).")),
-        (ratio < 0.35, 0.25, F.concat(F.lit("High repetition detected (unique-word ratio: "), F.format_string("%.2f", ratio), F.lit(")."))),
-        (~r.rlike("[.!?]"), 0.10, F.lit("No sentence-ending punctuation found.")),
-        (coding & (fences == 0), 0.15, F.lit("Coding response missing code block (```).")),
-        (coding & (fences % 2 != 0), 0.40, F.lit("Markdown code block is not properly closed.")),
-        (coding & (fences > 0) & (opens != closes), 0.30, F.lit("Unclosed braces detected in code.")),
+        (~F.col("category").eqNullSafe("greeting") & (n < rules.MIN_WORDS), 0.35, X.fill(said["short"], n.cast("string"))),
+        (r.rlike(rules.ROLE_LEAK), 0.30, F.lit(said["leak"])),
+        (ratio < 0.35, 0.25, X.fill(said["repetition"], F.format_string("%.2f", ratio))),
+        (~r.rlike("[.!?]"), 0.10, F.lit(said["ending"])),
+        (coding & (fences == 0), 0.15, F.lit(said["no_block"])),
+        (coding & (fences % 2 != 0), 0.40, F.lit(said["open_block"])),
+        (coding & (fences > 0) & (opens != closes), 0.30, F.lit(said["braces"])),
     ]
     issues = F.array_compact(F.array(*(F.when(c, text) for c, _, text in checks)))
     minus = sum((F.when(c, m).otherwise(0.0) for c, m, _ in checks), F.lit(0.0))

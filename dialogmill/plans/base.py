@@ -138,7 +138,7 @@ def reasons_sql(r: str) -> str:
         f"case when relevance < 0.30 then {duck.q(t['relevance'])} end",
         f"case when coherence < 0.40 then {duck.q(t['coherence'])} end",
         f"case when contains({low}, 'user:') or contains({low}, 'assistant:') then {duck.q(t['leak'])} end",
-        f"case when {n} > 500 then 'Runaway generation — response is ' || {n} || ' words (> 500)' end",
+        f"case when {n} > 500 then replace({duck.q(rules.RUNAWAY)}, '{{}}', {n}::varchar) end",
         f"case when {n} < 5 then {duck.q(t['short'])} end",
     ]
     found = f"list_filter([{', '.join(parts)}], lambda x: x is not null)"

@@ -9,6 +9,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def fill(phrase: str, value: str) -> str:
+    """``phrase`` with the SQL ``value`` in place of its first {}."""
+    return f"({' || '.join([q(phrase.split('{}', 1)[0]), value, q(phrase.split('{}', 1)[1])])})"
+
+
 def chain(expr: str, steps: list[tuple[str, str]]) -> str:
     for pattern, new in steps:
         flags = "g"

@@ -127,8 +127,8 @@ _CODE = f"(contains(text, '```') or {_any('text', rules.CODE_SIGNATURES)})"
 _HIT = "case " + " ".join(f"when {duck.has('lower(text)', p)} then '{n}'" for p, n in rules.INTENTS) + " end"
 INTENT = f"""h as (select *, {_CODE} as has_code, {_HIT} as hit from talk),
 intent as (select conv_id, turn, role, text, has_code, case when hit is not null and has_code and hit not in ('coding', 'debugging') then 'debugging' when hit is not null then hit when has_code then 'coding' else 'general' end as category,
- case when hit is not null and has_code and hit not in ('coding', 'debugging') then 'User is asking a question or requesting a fix for the provided code.' when hit is not null then 'User is making a ' || hit || ' request.'
- when has_code then 'User provided a raw code snippet. They likely want it reviewed or explained.' else 'User is making a general request.' end as intent_summary from h)"""
+ case when hit is not null and has_code and hit not in ('coding', 'debugging') then {duck.q(rules.INTENT_SUMMARY['upgraded'])} when hit is not null then {duck.fill(rules.INTENT_SUMMARY['named'], 'hit')}
+ when has_code then {duck.q(rules.INTENT_SUMMARY['code'])} else {duck.q(rules.INTENT_SUMMARY['general'])} end as intent_summary from h)"""
 _POINTS = {n: " + ".join(f"{duck.has('lower(text)', p)}::int" for p in ps) for n, ps in rules.CODING.items()}
 _SNIP = f"({duck.has('lower(text)', rules.SNIPPET)} or {duck.has('lower(text)', rules.CHALLENGE)})"
 _POINTS["direct_solution"] += f" + case when {_SNIP} then 1.5 else 0 end"
@@ -204,14 +204,15 @@ _W = duck.words("response")
 _RATIO = f"(len(list_distinct({_W})) / greatest(len({_W}), 1))"
 _CODED = "contains(category, 'coding')"
 _FENCE, _OPENB, _CLOSEB = duck.count_of("response", "```"), duck.count_of("response", "{"), duck.count_of("response", "}")
+_SAID = {k: duck.q(v) for k, v in rules.ISSUES.items()}
 _CHECKS = [
-    (f"category <> 'greeting' and len({_W}) < 8", 0.35, f"'Response too short (' || len({_W}) || ' words, min 8).'"),
-    (duck.has("response", rules.ROLE_LEAK), 0.30, "'Role-leakage tokens detected (user:/assistant:/system:).'"),
-    (f"{_RATIO} < 0.35", 0.25, f"'High repetition detected (unique-word ratio: ' || printf('%.2f', {_RATIO}) || ').'"),
-    (f"not {duck.has('response', '[.!?]')}", 0.10, "'No sentence-ending punctuation found.'"),
-    (f"{_CODED} and {_FENCE} = 0", 0.15, "'Coding response missing code block (```).'"),
-    (f"{_CODED} and {_FENCE} % 2 <> 0", 0.40, "'Markdown code block is not properly closed.'"),
-    (f"{_CODED} and {_FENCE} > 0 and {_OPENB} <> {_CLOSEB}", 0.30, "'Unclosed braces detected in code.'"),
+    (f"category <> 'greeting' and len({_W}) < 8", 0.35, duck.fill(rules.ISSUES["short"], f"len({_W})")),
+    (duck.has("response", rules.ROLE_LEAK), 0.30, _SAID["leak"]),
+    (f"{_RATIO} < 0.35", 0.25, duck.fill(rules.ISSUES["repetition"], f"printf('%.2f', {_RATIO})")),
+    (f"not {duck.has('response', '[.!?]')}", 0.10, _SAID["ending"]),
+    (f"{_CODED} and {_FENCE} = 0", 0.15, _SAID["no_block"]),
+    (f"{_CODED} and {_FENCE} % 2 <> 0", 0.40, _SAID["open_block"]),
+    (f"{_CODED} and {_FENCE} > 0 and {_OPENB} <> {_CLOSEB}", 0.30, _SAID["braces"]),
 ]
 VALID = f"""{_VALID_IN}, v1 as (select *, list_filter([{", ".join(f"case when {c} then {t} end" for c, _, t in _CHECKS)}], lambda x: x is not null) as issues,
  round(greatest(0, least(1, 1.0::double - ({" + ".join(f"case when {c} then {m} else 0 end" for c, m, _ in _CHECKS)})::double)), 4) as valid_score from vin),
@@ -309,12 +310,15 @@ def completeness(spark, sf_dir):
     return R.completeness(talk(spark, sf_dir), "text").drop("text", "role")
 
 
+_ASK = {k: duck.q(v) for k, v in rules.RECOVERY.items()}
+
+
 @query(
-    f"""with {TALK}, {COMPLETE} select conv_id, turn, '[SYSTEM RECOVERY]: The previous generation was interrupted or incomplete. ' || case when turn % 2 = 0 then array_to_string(list_filter([
- 'Maintain CODE SOLVER MODE. Do NOT restart reasoning or explanation.', case when last_complete_line <> '' then 'Resume exactly from the last complete line: `' || last_complete_line || '`.' else 'Resume code generation exactly where it left off.' end,
- case when incomplete_code_block then 'Ensure the markdown code block (```) is properly closed.' end, case when unclosed_braces > 0 and open_language not in ('python', 'py') then 'Ensure ' || unclosed_braces || ' pending open braces ({{) are closed.' end,
- case when open_language in ('python', 'py') then 'Maintain proper Python indentation for the incomplete block.' end, 'Complete the final code immediately.'], lambda x: x is not null), ' ')
- else 'Please seamlessly continue the previous response without apologizing.' end as recovery_prompt from complete where conv_id % 5 = 0 or incomplete_code_block or unclosed_braces > 0"""
+    f"""with {TALK}, {COMPLETE} select conv_id, turn, {_ASK['head']} || case when turn % 2 = 0 then array_to_string(list_filter([
+ {_ASK['mode']}, case when last_complete_line <> '' then {duck.fill(rules.RECOVERY['line'], 'last_complete_line')} else {_ASK['where']} end,
+ case when incomplete_code_block then {_ASK['block']} end, case when unclosed_braces > 0 and open_language not in ('python', 'py') then {duck.fill(rules.RECOVERY['braces'], 'unclosed_braces')} end,
+ case when open_language in ('python', 'py') then {_ASK['python']} end, {_ASK['end']}], lambda x: x is not null), ' ') else {_ASK['plain']} end as recovery_prompt
+from complete where conv_id % 5 = 0 or incomplete_code_block or unclosed_braces > 0"""
 )
 def recovery_prompts(spark, sf_dir):
     checked = R.completeness(talk(spark, sf_dir), "text")
