@@ -8,7 +8,7 @@ pseudo-likelihood; loopy sum-product messages then run over all nodes of a block
 
 There are no labels for what patterns miss, so the fit makes them: on a bounded sample of documents the base patterns' finds are the labels,
 and in copies of these documents finds are split, spelled out or cut short, and ordinary numbers are added. A value that is cut short is labelled only if the whole one stands
-in the same document. Keys and tokens that an assignment names are a fifth kind, "secret", which only the field reports.
+in the same document. Keys and tokens that an assignment names are a fifth kind, "secret", which only the field reports, in columns of its own.
 
 Defined cases: null or empty text has no spans; texts are read whole, and each pattern runs in time linear in the text; base spans are
 never dropped or moved; repeated rows are treated alike; without a sample to learn from only base spans are returned; a column ``n_chars``
@@ -393,9 +393,9 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def find_personal_data(documents: DataFrame, field: Field | None, redacted: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with ``redacted`` instead all columns of ``documents``, each text
-    with its spans replaced (and ``n_chars`` renewed if there)."""
-    names = ["doc_id", *(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans"]
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (of these four kinds), n_secret, secret_spans; with ``redacted`` instead all
+    columns of ``documents``, each text with its spans replaced (and ``n_chars`` renewed if there)."""
+    names = ["doc_id", *(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans", "n_secret", "secret_spans"]
     nothing = hashlib.sha256(b"").hexdigest()
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,12 +403,14 @@ def find_personal_data(documents: DataFrame, field: Field | None, redacted: bool
             raw, offsets = string_buffers(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64())
             for a, b in blocks(offsets):
-                counts, digests, spans = [], [], []
+                counts, digests, spans, secrets = [], [], [], []
                 for base, every in find_block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], field):
                     counts.append([sum(s[0] == k for s in base) for k in range(BASE)] if base else [0] * BASE)
                     digests.append(hashlib.sha256(spell(base).encode()).hexdigest() if base else nothing)
-                    spans.append(spell(every))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(digests), pa.array(spans)], names)
+                    spans.append(spell([s for s in every if s[0] < BASE]))
+                    secrets.append([s for s in every if s[0] >= BASE])
+                more = [pa.array([len(x) for x in secrets], pa.int64()), pa.array([spell(x) for x in secrets], pa.string())]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(digests), pa.array(spans), *more], names)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,4 +432,4 @@ def find_personal_data(documents: DataFrame, field: Field | None, redacted: bool
 
     if redacted:
         return documents.mapInArrow(clean, documents.schema)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, secret_spans string")
