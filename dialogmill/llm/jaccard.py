@@ -46,6 +46,8 @@ COUNT_BATCH, COUNT_FROM = 2_500_000, 3
 #: Candidate documents up to which their ids are broadcast to the texts, and buckets that they name together (4 bytes each); beyond, texts
 #: are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_PLACES = 400_000, 2_000_000
+#: Prefix tokens of a partition in which they meet: few, so that sorting them takes little memory.
+PARTITION_TOKENS = 100_000
 #: Documents with a token from which it is hot, as a binary logarithm.
 HOT_LEVEL = 10
 #: Tokens of the sets that are verified together, about: a bucket's, and half of what a pair of blocks holds. A block has so many classes at most.
@@ -442,7 +444,8 @@ def _found_rows(documents: DataFrame, k: int, percent: int, scratch: Scratch) ->
         return postings.join(tokens, "token").groupBy("token", "cls").agg(*rest)
 
     # one shuffle serves both the count and the join
-    cold = postings.filter(~hot).repartition("token")
+    total = table.filter("lead").agg(F.sum(F.size("p1"))).first()[0] or 0
+    cold = postings.filter(~hot).repartition(max(partitions(documents.sparkSession), total // PARTITION_TOKENS), "token")
     rows = durable(met(cold, shared(cold)), "shared-tokens")
     hot_tokens = durable(shared(postings.filter(hot)), "hot-tokens")
     rows = rows.union(durable(met(postings.filter(hot), F.broadcast(hot_tokens)), "hot-postings"))
