@@ -142,15 +142,14 @@ def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _second_prefix(tokens: np.ndarray, percent: int, known: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The prefix under the second order of a set as it was sent (48 bits a token)."""
-    return np.sort(_ordered(tokens, known, level, 2))[: _prefix(len(tokens), percent)]
+def _second_prefix(percent: int, orders):
+    """A function of a set: its prefix under the second order, 32 bits a token, sorted (a chance agreement only lets a pair through)."""
 
+    def prefix(tokens: np.ndarray) -> bytes:
+        place = np.sort(_ordered(tokens, *orders.value, 2))[: _prefix(len(tokens), percent)]
+        return np.sort(place.astype(np.uint32)).tobytes()
 
-def _cut(known: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent tokens as ``_short`` sends them."""
-    tokens, at = np.unique(known >> _U(16) << _U(16), return_index=True)
-    return tokens, level[at]
+    return prefix
 
 
 def _close(a: str, b: str, percent: int):
@@ -316,16 +315,10 @@ def _split(documents: DataFrame, classes: DataFrame, own: DataFrame, many: int,
     """Crowds by the second order: pairs (a, b, na, nb) of its small lists, rows (unit, cls, comp, n) of its large ones, and the rows of ``own``
     whose crowds it doesn't split."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, level = _cut(*orders.value)
-        for batch in batches:
-            found = {key: _second_prefix(s, percent, known, level).view(np.int64) for key, s in _known(batch).items()}
-            sizes = np.cumsum([0, *map(len, found.values())])
-            flat = np.concatenate([*found.values(), np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["cls", "p2"])
-
-    second = _send_sets(documents, classes, own.select("cls", F.lit(0).alias("bucket")), k).mapInArrow(prefixes, "cls long, p2 array<long>")
-    second = second.join(own, "cls").dropDuplicates(["cls"]).withColumn("band", _size_band("n")(percent))
+    sent = _send_sets(documents, classes, own.select("cls", F.lit(0).alias("bucket")), k, _second_prefix(percent, orders))
+    digits = F.hex("tokens")  # eight a token
+    p2 = F.transform(F.sequence(F.lit(0), (F.length("tokens") / 4).cast("int") - 1), lambda i: F.substring(digits, i * 8 + 1, F.lit(8)))
+    second = sent.select("cls", p2.alias("p2")).join(own, "cls").dropDuplicates(["cls"]).withColumn("band", _size_band("n")(percent))
     lists = second.select("crowd", "cls", "comp", "n", "band", F.explode("p2").alias("t2")).withColumn("u", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     lists = durable(lists, "crowd-second-order")
     on = ["crowd", "t2", "u"]
@@ -371,11 +364,6 @@ def _crowd_blocks(documents: DataFrame, classes: DataFrame, own: DataFrame, k: i
 def _verify(documents: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, orders) -> DataFrame:
     """The pairs (a, b, na, nb) that link: those whose prefixes under the second order share a token are compared on their whole sets."""
 
-    def prefix(tokens: np.ndarray) -> bytes:
-        known, level = orders.value
-        place = np.sort(_ordered(tokens, known, level, 2))[: _prefix(len(tokens), percent)]
-        return np.sort(place.astype(np.uint32)).tobytes()  # 32 bits: a chance agreement only lets a pair through
-
     def share(a: bytes, b: bytes, na: int, nb: int) -> bool:
         return _shared(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) > 0
 
@@ -383,7 +371,7 @@ def _verify(documents: DataFrame, classes: DataFrame, pairs: DataFrame, k: int,
         inter = _shared(_long(a), _long(b))
         return 100 * inter >= percent * (na + nb - inter)
 
-    passed = durable(_met(documents, classes, pairs, k, prefix, share, (100 - percent) / 100), "pairs-passed")
+    passed = durable(_met(documents, classes, pairs, k, _second_prefix(percent, orders), share, (100 - percent) / 100), "pairs-passed")
     return _met(documents, classes, passed, k, _short, link, 1.0).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
