@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, html_text, jaccard, mixing, packing, pii, quality_cnn, quality_rules, toxicity, warc
+from . import ann, filter_audit, html_text, jaccard, mixing, packing, pii, quality_cnn, quality_rules, toxicity, warc
 from .runtime import table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, forest).drop("text")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_cnn": op2_quality_cnn,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op13_filter_audit": op13_filter_audit,
 }
 #: DuckDB SQL where it can express the whole result.
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
