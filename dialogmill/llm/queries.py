@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, filter_audit, html_text, jaccard, mixing, packing, pii, quality_cnn, quality_rules, toxicity, warc
+from . import ann, filter_audit, html_text, jaccard, licenses, mixing, packing, pii, quality_cnn, quality_rules, ranked_search, toxicity, warc
 from .runtime import table
 
 
@@ -57,6 +57,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, forest).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of ``benchmark`` against all documents."""
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=20)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,7 +81,9 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_licenses": op12_licenses,
     "op13_filter_audit": op13_filter_audit,
 }
 #: DuckDB SQL where it can express the whole result.
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op13_filter_audit": filter_audit.ORACLE}

@@ -1,4 +1,5 @@
-"""Vectorised scans of UTF-8 text blocks: words, word hashes, shingles. A word is a run of bytes outside space and 0x09-0x0D."""
+"""Vectorised scans of UTF-8 text blocks: words, word hashes, shingles. A word is a run of bytes outside space and 0x09-0x0D, unless another
+table of the bytes between words is given."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ import numpy as np
 _U = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Between terms: all ASCII but digits and letters.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -39,10 +42,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a block of texts. ``start``/``end``: byte spans; ``doc``: row of each word; ``first``: n_docs+1 word offsets."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE):
         self.raw, self.offsets = raw, offsets
         n = len(raw)
-        inside = ~WHITE[raw]
+        inside = ~between[raw]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True  # a word never crosses from one text to the next
         before = np.empty(n, bool)
@@ -66,6 +69,34 @@ class Words:
         return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(_U))
 
 
+def hash_of(spelt: list[str]) -> np.ndarray:
+    """The hashes of these words as ``Words.hashes`` gives them, letters as they stand."""
+    raw = np.frombuffer(" ".join(spelt).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) + 1 for w in spelt])
+    words = Words(raw, np.array([0, len(raw)]))
+    if len(words.start) != len(spelt) or (len(spelt) and (words.end != ends - 1).any()):
+        raise ValueError("words must not be empty or hold white space")
+    return words.hashes()
+
+
+class Vocabulary:
+    """Words by number, looked up for a whole block by their hashes; words of the vocabulary itself must hash apart."""
+
+    def __init__(self, spelt: list[str]):
+        hashed = hash_of(spelt)
+        self.order = np.argsort(hashed)
+        self.sorted = hashed[self.order]
+        if (self.sorted[1:] == self.sorted[:-1]).any():
+            raise ValueError("two words of the vocabulary have one hash")
+
+    def ids(self, hashed: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        if not len(self.sorted) or not len(hashed):
+            return np.full(len(hashed), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashed), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashed, self.order[at], -1)
+
+
 def windows(words: Words, hashed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word windows within a text, and the word at which each begins."""
     n = len(hashed)
