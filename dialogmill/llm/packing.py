@@ -27,8 +27,9 @@ from .runtime import durable
 CAPACITY, END_ID = 1024, 2
 #: Ranks within a length are counted in so many buckets at least, and more if a bucket would hold more pieces than this.
 BUCKETS, BUCKET_PIECES = 512, 10_000
-#: Nodes of the branch-and-bound; the incumbent is complete at any time, so the bound costs no document.
-NODES = 6000
+#: Nodes of the branch-and-bound, and steps of all its parts together (a second or two a million); the incumbent is complete at any time,
+#: so the bounds cost no document.
+NODES, WORK = 6000, 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -114,44 +115,96 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(tuple(sorted(h.items(), reverse=True)), n) for held in space.values() for h, n in held if n]
 
 
-def all_fillings(counts: np.ndarray, largest: int, capacity: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """All completions of a sequence that holds ``largest`` to which no piece can be added, least waste first and of equal waste those of
-    longer pieces first; those that an earlier one dominates are left out. Sums that the remaining lengths can't reach are never tried."""
+class Work:
+    """Steps that a search may still take."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def spent(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left < 0
+
+
+def all_fillings(counts: np.ndarray, largest: int, capacity: int, work: Work) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """The completions of a sequence that holds ``largest`` that no other dominates, least waste first and of equal waste those of longer
+    pieces first.
+
+    A completion is dominated if pieces of it, or none, could change places with one unused piece that is as long as they are together or up to
+    the waste longer. Pieces are chosen longest first, so when some have been chosen all longer ones are decided, and a choice whose sums
+    meet an unused piece ends there. Sums that the remaining lengths can't reach are never tried. Every step counts as ``work``; when that is
+    used up no more completions come."""
     room = capacity - largest
     left = counts.copy()
     left[largest] -= 1
     lengths = [int(x) for x in np.flatnonzero(left[: room + 1])[::-1]]
+    stock = {x: int(left[x]) for x in lengths}
     full = (1 << (room + 1)) - 1
     reach = [1]  # from behind: the sums that lengths[i:] can make, as bits
     for x in reversed(lengths):
-        bits, many, step = reach[-1], min(int(left[x]), room // x), 1
-        while many > 0:
-            use = min(step, many)
-            bits |= bits << (use * x) & full
-            many, step = many - use, step * 2
+        bits, many, step = reach[-1], min(stock[x], room // x), 1
+        if bits != full:
+            work.spent()
+            while many > 0:
+                use = min(step, many)
+                bits |= bits << (use * x) & full
+                many, step = many - use, step * 2
         reach.append(bits)
     reach.reverse()
-    kept: list[tuple[int, ...]] = []
-
-    def exact(i: int, total: int) -> Iterator[tuple[int, ...]]:
+    unused = sum(1 << x for x in lengths)
+
+    def near(free: int, waste: int) -> int:
+        """Sums to which an unused length is equal, or longer by up to ``waste``."""
+        shift, covered = 1, 1
+        while covered <= waste:
+            shift = min(covered, waste + 1 - covered)
+            free |= free >> shift
+            covered += shift
+        return free
+
+    def exact(i: int, total: int, waste: int, single: int, multi: int, free: int, close: int) -> Iterator[tuple[int, ...]]:
+        """Choices of lengths[i:] that make ``total``. ``single``, ``multi``: the lengths chosen and the sums of several; ``free``: unused
+        lengths, and ``close`` what is near them."""
         if not total:
             yield ()
-        elif i < len(lengths) and reach[i] >> total & 1:
-            x = lengths[i]
-            for many in range(min(int(left[x]), total // x), -1, -1):
-                for rest in exact(i + 1, total - many * x):
-                    yield (x,) * many + rest
-
-    for waste in range(room + 1):
-        if not reach[0] >> (room - waste) & 1:
-            continue
-        for f in exact(0, room - waste):
-            used = Counter(f)
-            if any(x <= waste and left[x] > used[x] for x in lengths) or any(_dominates(g, f) for g in kept):
+            return
+        longer = (1 << waste) - 1
+        whole = close >> total & 1  # several pieces here would give way to one
+        for j in range(i, len(lengths)):
+            if work.spent() or not reach[j] >> total & 1:
+                return
+            x = lengths[j]
+            if x > total:
                 continue
-            if len(kept) < 256:
-                kept.append(f)
-            yield waste, f
+            if whole and x < total:
+                return
+            sums = []  # by copies of x
+            one, several = single, multi
+            for _ in range(min(stock[x], total // x)):
+                several, one = several | several << x | one << x, one | 1 << x
+                if several & close:
+                    break
+                sums.append((one, several))
+            for many in range(len(sums), 0, -1):
+                one, several = sums[many - 1]
+                rest, close_after = free, close
+                if many == stock[x]:
+                    rest = free & ~(1 << x)
+                    close_after = near(rest, waste)
+                if rest >> (x + 1) & longer:
+                    continue  # a piece a little longer than x is unused
+                for tail in exact(j + 1, total - many * x, waste, one, several, rest, close_after):
+                    yield (x,) * many + tail
+
+    small = np.cumsum(left[: room + 1] * np.arange(room + 1))
+    for waste in range(room + 1):
+        if work.left < 0 or small[waste] > room - waste:
+            return  # pieces as short as the waste must all be in it, and can't
+        if reach[0] >> (room - waste) & 1:
+            for f in exact(0, room - waste, waste, 0, 0, unused, near(unused, waste)):
+                used = Counter(f)
+                if all(x > waste or used[x] == stock[x] for x in lengths):
+                    yield waste, f
 
 
 def _dominates(g: tuple[int, ...], f: tuple[int, ...]) -> bool:
@@ -213,9 +266,9 @@ def fillings(counts: np.ndarray, largest: int, capacity: int, wide: int = 24, mo
     return kept
 
 
-def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, steps: int = WORK) -> list[Pattern]:
     """Bin completion. ``counts[l]`` pieces have length l. Depth first: complete a sequence around the longest piece left by its
-    undominated fillings, the best few first and then all others, least waste first; a branch ends when its waste exceeds what one sequence
+    undominated fillings, a good few first and then all others, least waste first; a branch ends when its waste exceeds what one sequence
     fewer than the incumbent allows. A filling is repeated while the counts last, and tried once alone if that leads nowhere. Incumbents
     are best-fit solutions of the whole and of nodes' remainders."""
     counts = np.asarray(counts, np.int64)
@@ -223,13 +276,14 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
     least = -(-total // capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
+    work = Work(steps)
     stack: list[tuple[np.ndarray, list, int, int, Iterator]] = []
 
     def options_of(left: np.ndarray, top: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         first = fillings(left, top, capacity)
         yield from ((w, top, f) for w, f in first)
         tried = {f for _, f in first}
-        yield from ((w, top, f) for w, f in all_fillings(left, top, capacity) if f not in tried)
+        yield from ((w, top, f) for w, f in all_fillings(left, top, capacity, work) if f not in tried)
 
     def open_node(left: np.ndarray, done: list[Pattern], used: int, waste: int) -> None:
         top = int(np.flatnonzero(left)[-1])
@@ -238,7 +292,7 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
     if best_n > least and total:
         open_node(counts, [], 0, 0)
     seen = 0
-    while stack and seen < nodes and best_n > least:
+    while stack and seen < nodes and best_n > least and not work.spent(32):
         left, done, used, waste, options = stack[-1]
         option = next(options, None)
         if option is None:
@@ -268,6 +322,7 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
                 best, best_n = node, used + number
             continue
         if seen % 64 == 0:
+            work.spent(16 * len(node) + int((rest > 0).sum()) * 16)
             tail = best_fit(rest, capacity)
             if (n := used + number + sum(m for _, m in tail)) < best_n:
                 best, best_n = [*node, *tail], n

@@ -108,16 +108,40 @@ def test_packing_is_optimal_on_small_inputs():
 
 
 def test_all_fillings():
+    """Exactly the fillings of which no pieces (none, one or several) can give way to one unused piece that is longer or stands for several."""
     rng = random.Random(4)
-    for _ in range(100):
-        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 8))), reverse=True)
-        got = list(packing.all_fillings(np.bincount(lengths, minlength=31), lengths[0], 30))
-        rest = lengths[1:]
-        every = {tuple(sorted((x for x, use in zip(rest, ways) if use), reverse=True)) for ways in itertools.product((0, 1), repeat=len(rest))}
-        every = {f for f in every if sum(f) <= 30 - lengths[0]}
-        assert {f for _, f in got} <= every and [w for w, _ in got] == sorted(30 - lengths[0] - sum(f) for _, f in got)
-        # what was left out is part of a filling, or dominated by one
-        assert all(any(not np.setdiff1d(f, g).size and len(g) > len(f) or f == g or packing._dominates(g, f) for _, g in got) or any(sum(f) + x <= 30 - lengths[0] for x in rest) for f in every)
+    for _ in range(400):
+        room = rng.choice([12, 30, 60])
+        lengths = sorted((rng.randint(1, room * 2 // 3) for _ in range(rng.randint(1, 9))), reverse=True)
+        got = list(packing.all_fillings(np.bincount(lengths, minlength=room + 1), lengths[0], room, packing.Work(10**6)))
+        rest, space, want = lengths[1:], room - lengths[0], set()
+        for ways in itertools.product((0, 1), repeat=len(rest)):
+            f, unused = [x for x, use in zip(rest, ways) if use], {x for x, use in zip(rest, ways) if not use}
+            waste = space - sum(f)
+            swaps = [(n, sum(s)) for n in range(len(f) + 1) for s in itertools.combinations(f, n)]
+            if waste >= 0 and not any(s <= y <= s + waste and (n, s) != (1, y) for n, s in swaps for y in unused):
+                want.add((waste, tuple(f)))
+        assert len(got) == len(set(got)) and set(got) == want and got == sorted(got, key=lambda x: x[0])
+
+
+def test_packing_work_is_bounded():
+    """Neither a node nor a plan takes more steps than it may, whatever the histogram; more pieces of the same lengths take no more."""
+    import time
+
+    rng = np.random.default_rng(8)
+    counts = np.bincount(np.clip(rng.lognormal(5.5, 1.1, 15_000).astype(int), 1, 1024), minlength=1025)
+    for largest in (1000, 700, 513, 300):
+        left = counts.copy()
+        left[largest + 1 :] = 0
+        left[largest] = 1
+        began, work = time.process_time(), packing.Work(200_000)
+        list(packing.all_fillings(left, largest, 1024, work))
+        assert time.process_time() - began < 5 and work.left > -2000
+    for times in (1, 100):
+        began = time.process_time()
+        plan = packing.plan_sequences(counts * times)
+        assert time.process_time() - began < 30
+        assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts * times, 1024))
 
 
 def test_packing_rows(spark, docs, odd, none):
