@@ -5,14 +5,10 @@ gathered whole."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, text as X
-
-#: Rows of queries up to which the query side is broadcast; beyond, both sides are dealt out.
-BROADCAST_QUERIES = 20_000
+from .blocks import CellIndex, all_pairs, nearest, nearest_in_group, search_cells, top_k
 
 
 def norm(v: Column) -> Column:
@@ -39,47 +35,19 @@ def embed_text(df: DataFrame, col: str = "text", to: str = "bag", model: Column
     return df.withColumn(to, X.term_counts(X.tokens(F.col(col))) if model is None else model)
 
 
-def score_pairs(queries: DataFrame, kb: DataFrame, blocks: int = 32, others: bool = False) -> DataFrame:
-    """query_id, id, score of each query with each row of ``kb`` (with ``others``: but the one of its own id); unit vectors in ``qv`` and ``kv``. The queries (counted) are broadcast if
-    few; else both sides meet by block keys, so that no task sees all of either."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        meet = kb.withColumn("k", F.lit(0)).join(F.broadcast(queries.withColumn("k", F.lit(0))), "k")
-    else:
-        side = F.sequence(F.lit(0), F.lit(blocks - 1))
-        left = queries.withColumn("kq", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("kk", F.explode(side))
-        right = kb.withColumn("kk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("kq", F.explode(side))
-        meet = left.join(right, ["kq", "kk"])
-    if others:
-        meet = meet.filter(~F.col("query_id").eqNullSafe(F.col("id")))
-    return meet.select("query_id", "id", dot(F.col("qv"), F.col("kv")).alias("score"))
+def score_pairs(queries: DataFrame, kb: DataFrame, others: bool = False) -> DataFrame:
+    """query_id, id, score of each query (``qv``) with each row of ``kb`` (``kv``), all of them; with ``others``: but the one of its own id."""
+    return all_pairs(queries, kb, others)
 
 
-def top_k(pairs: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
-    """The k best per group with ``rank`` from 1. Spark cuts each partition to k rows a group before the shuffle (window group limit)."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), tie)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def knn_search(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float = 0.20, others: bool = False) -> DataFrame:
+    """Top k of unit vectors first, then those below the floor go. All rows are searched, block by block."""
+    return nearest(queries, kb, k, others).filter(F.col("score") >= floor)
 
 
-def knn_search(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float = 0.20, others: bool = False) -> DataFrame:
-    """Top k first, then those below the floor go."""
-    return top_k(score_pairs(queries, kb, others=others), k).filter(F.col("score") >= floor)
-
-
-def knn_search_ivf(queries: DataFrame, kb: DataFrame, k: int = 5, floor: float = 0.20, nlist: int = 100, nprobe: int = 10, seed: int = 1, others: bool = False) -> DataFrame:
-    """K-means cells; each query looks into its ``nprobe`` nearest cells. The centres (nlist rows) are a bounded table; cells are joined by
-    key, and AQE splits a crowded one."""
-    fit = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="f").fit(kb.select(array_to_vector("kv").alias("f")))
-    spark = kb.sparkSession
-    centers = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fit.clusterCenters())], "cell int, cv array<double>")
-    near = lambda v: F.sqrt(F.aggregate(F.zip_with(v, F.col("cv"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    placed = fit.transform(kb.withColumn("f", array_to_vector("kv"))).select("id", "kv", F.col("prediction").alias("cell"))
-    probe = queries.withColumn("k", F.lit(0)).join(F.broadcast(centers.withColumn("k", F.lit(0))), "k").withColumn("d", -near(F.col("qv")))
-    probe = top_k(probe.select("query_id", "qv", "cell", "d"), nprobe, score="d", tie="cell").select("query_id", "qv", "cell")
-    met = probe.join(placed, "cell")
-    if others:
-        met = met.filter(~F.col("query_id").eqNullSafe(F.col("id")))
-    scored = met.select("query_id", "id", dot(F.col("qv"), F.col("kv")).alias("score"))
-    return top_k(scored, k).filter(F.col("score") >= floor)
+def knn_search_ivf(queries: DataFrame, index: CellIndex, k: int = 5, floor: float = 0.20, others: bool = False, exact: bool = False) -> DataFrame:
+    """As ``knn_search``, in the cells that ``build_cells`` found to hold most neighbours; ``exact``: and in all others that may hold a better row."""
+    return search_cells(queries, index, k, others, exact).filter(F.col("score") >= floor)
 
 
 def rerank(candidates: DataFrame, scorer: Column, top_n: int) -> DataFrame:
@@ -119,15 +87,10 @@ def format_context(results: DataFrame) -> DataFrame:
     )
 
 
-#: Rows of a knowledge base from which it is searched by cells.
-IVF_FROM = 10_000
-
-
-def retrieve(queries: DataFrame, kb: DataFrame, candidates: int = 30, top_n: int = 3, floor: float = 0.45, lambda_: float = 0.6, scorer: Column | None = None, ivf_from: int = IVF_FROM, others: bool = False) -> DataFrame:
-    """query_id, total_found, used_mmr, context: search (by cells in a large ``kb``), rerank by ``scorer`` if given, diversify, format. ``kb``
+def retrieve(queries: DataFrame, kb: DataFrame, candidates: int = 30, top_n: int = 3, floor: float = 0.45, lambda_: float = 0.6, scorer: Column | None = None, index: CellIndex | None = None, others: bool = False) -> DataFrame:
+    """query_id, total_found, used_mmr, context: search (of all rows, or of ``index`` if one is given), rerank by ``scorer`` if given, diversify, format. ``kb``
     holds id, kv, source, text, which ``scorer`` may use."""
-    search = knn_search if kb.limit(ivf_from).count() < ivf_from else knn_search_ivf
-    found = search(queries, kb.select("id", "kv"), candidates, floor, others=others)
+    found = knn_search(queries, kb.select("id", "kv"), candidates, floor, others) if index is None else knn_search_ivf(queries, index, candidates, floor, others)
     rich = found.join(kb, "id")
     if scorer is not None:
         rich = rerank(rich, scorer, top_n)
@@ -141,11 +104,7 @@ def retrieve(queries: DataFrame, kb: DataFrame, candidates: int = 30, top_n: int
 
 def session_doc_search(queries: DataFrame, chunks: DataFrame, k: int = 3, others: bool = False) -> DataFrame:
     """query_id, context: the k chunks of the query's session (with ``others``: but the one of its own id) nearest by L2 distance, joined."""
-    far = F.sqrt(F.aggregate(F.zip_with("qv", "kv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    met = queries.join(chunks, "session_id")
-    if others:
-        met = met.filter(~F.col("query_id").eqNullSafe(F.col("id")))
-    near = top_k(met.withColumn("d", -far), k, score="d")
+    near = nearest_in_group(queries, chunks, "session_id", k, others).join(chunks.select("id", "text"), "id")
     rows = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return near.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n\n---\n\n").alias("context"))
 

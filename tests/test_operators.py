@@ -117,24 +117,10 @@ def test_mmr_limits(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("kv"))
     q = e.filter("id < 5").select(F.col("id").alias("query_id"), F.col("kv").alias("qv"))
     kb = e.filter("id >= 5")
-    top = vectors.top_k(vectors.score_pairs(q, kb), 12).join(kb, "id").select("query_id", "id", "rank", F.col("score").alias("rel"), F.col("kv").alias("v"))
+    top = vectors.nearest(q, kb, 12).join(kb, "id").select("query_id", "id", "rank", F.col("score").alias("rel"), F.col("kv").alias("v"))
     first = {(r.query_id, r.rank): r.id for r in top.collect()}
     assert all(first[(r.query_id, r.rank)] == r.id for r in vectors.mmr(top, 4, 1.0).collect())
     assert vectors.mmr(top.filter("rank <= 3"), 4, 0.0).count() == 15
-    blocked = vectors.BROADCAST_QUERIES
-    try:
-        vectors.BROADCAST_QUERIES = 1
-        assert vectors.score_pairs(q, kb).count() == 5 * kb.count()
-    finally:
-        vectors.BROADCAST_QUERIES = blocked
-
-
-def test_ivf_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("kv"))
-    q = e.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("kv").alias("qv"))
-    full = {(r.query_id, r.id) for r in vectors.knn_search(q, e).collect()}
-    some = {(r.query_id, r.id) for r in vectors.knn_search_ivf(q, e, nlist=10, nprobe=8).collect()}
-    assert some <= full | some and len(full & some) >= 0.9 * len(full)
 
 
 def test_refine_examples(spark):
