@@ -253,14 +253,24 @@ SAMPLE, MOST_CELLS, TRIALS = 50_000, 4096, 64
 
 @dataclass
 class CellIndex:
-    """An index under ``path``: ``vectors`` partitioned by cell, and ``centres`` (cell, cv, n, radius). ``probes`` cells hold ``recall`` of the trial vectors' neighbours."""
+    """An index under ``path``: ``vectors`` (of ``schema``) partitioned by cell, ``centres`` (cell, cv, n, radius), and ``about``, this row.
+    ``probes`` cells hold ``recall`` of the trial vectors' neighbours."""
 
     path: str
+    schema: str
     probes: int
     recall: float
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> CellIndex:
+        return cls(path, **spark.read.parquet(f"{path}/about").first().asDict())
+
+    def save(self, spark: SparkSession) -> CellIndex:
+        spark.createDataFrame([(self.schema, self.probes, self.recall)], "schema string, probes int, recall double").coalesce(1).write.parquet(f"{self.path}/about")
+        return self
+
     def vectors(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/vectors")
+        return spark.read.schema(self.schema).parquet(f"{self.path}/vectors")
 
     def centres(self, spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
         """Centres (unit vectors) and radii (angles), by cell; a bounded table."""
@@ -288,21 +298,19 @@ def build_cells(kb: DataFrame, path: str, cells: int | None = None, k: int = 5,
             cosines = rows @ centres.T
             cell = np.argmax(cosines, axis=1) if len(rows) else np.zeros(0, int)
             out = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([out["id"], out["kv"], pa.array(cell, pa.int32()), pa.array(angles(cosines[np.arange(len(rows)), cell]))], ["id", "kv", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([out["id"], out["kv"], pa.array(angles(cosines[np.arange(len(rows)), cell])), pa.array(cell, pa.int32())], ["id", "kv", "away", "cell"])
 
     id_type, kv_type = (kb.schema[c].dataType.simpleString() for c in ("id", "kv"))
-    if len(centres):
-        placed = fine.mapInArrow(place, f"id {id_type}, kv {kv_type}, cell int, away double")
-    else:
-        placed = spark.createDataFrame([], f"id {id_type}, kv {kv_type}, cell int, away double")
+    schema = f"id {id_type}, kv {kv_type}, away double, cell int"
+    placed = fine.mapInArrow(place, schema) if len(centres) else spark.createDataFrame([], schema)
     placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
     if not n:
         spark.createDataFrame([], "cell int, cv array<double>, n long, radius double").write.parquet(f"{path}/centres")
-        return CellIndex(path, 0, 1.0)
-    stored = spark.read.parquet(f"{path}/vectors")
+        return CellIndex(path, schema, 0, 1.0).save(spark)
+    index = CellIndex(path, schema, len(centres), 1.0)
+    stored = index.vectors(spark)
     held = {r.cell: r for r in stored.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
     spark.createDataFrame([(i, [float(x) for x in c], held[i].n if i in held else 0, held[i].radius if i in held else 0.0) for i, c in enumerate(centres)], "cell int, cv array<double>, n long, radius double").coalesce(1).write.parquet(f"{path}/centres")
-    index = CellIndex(path, len(centres), 1.0)
     trial = stored.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(TRIALS).select(F.col("id").alias("query_id"), F.col("kv").alias("qv"))
     block = trial.toArrow()
     found = search_cells(spark.createDataFrame(block, trial.schema), index, k, others=True, exact=True, first=1).join(stored.select("id", "cell"), "id").select("query_id", "cell").toArrow()
@@ -313,7 +321,7 @@ def build_cells(kb: DataFrame, path: str, cells: int | None = None, k: int = 5,
     if len(depth):
         index.probes = int(depth[min(len(depth) - 1, math.ceil(target * len(depth)) - 1)]) + 1
         index.recall = float((depth < index.probes).mean())
-    return index
+    return index.save(spark)
 
 
 def search_cells(queries: DataFrame, index: CellIndex, k: int, others: bool = False, exact: bool = False, first: int | None = None) -> DataFrame:

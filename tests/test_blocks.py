@@ -90,6 +90,7 @@ def test_cells_recall(spark, around):
     index = blocks.build_cells(kb, base.folder(spark), cells=80)
     assert index.recall >= 0.95 and index.vectors(spark).count() == 12_000
     full = lists(blocks.nearest(qs, kb, 5, others=True))
+    assert blocks.CellIndex.open(spark, index.path) == index
     some = lists(blocks.search_cells(qs, index, 5, others=True))
     assert sum(len(set(full[q]) & set(some.get(q, []))) for q in full) >= 0.9 * sum(map(len, full.values()))
     assert lists(blocks.search_cells(qs, index, 5, others=True, exact=True)) == full
