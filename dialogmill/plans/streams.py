@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import responses as R
-from ..streaming import streams as Z
+from ..streaming import keyed as K, streams as Z
 from . import duck
 from .base import QUEUE, SCORED, TALK, TALK_PAIRS, VOTES, folder, query, read, scored, talk, talk_pairs, votes
-from .memory import A, BATCHES, W
+from .memory import A, BATCHES, FACTS, W
 
 
 def _streamed(spark, df, files: int = 4):
@@ -20,17 +20,26 @@ def _streamed(spark, df, files: int = 4):
     return Z.stream_of(spark, f"{at}/in", df.schema, maxFilesPerTrigger="2"), at
 
 
-def _latest(spark, at, key):
-    rows = spark.read.parquet(f"{at}/out")
-    others = [c for c in rows.columns if c not in (*key, "batch")]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*key, "r.*")
+def _sliced(spark, df, last):
+    """Rows (with ``slice``, from 0 to ``last``) as a stream that brings one slice a batch, in order, and a folder for its sink and checkpoint."""
+    at = folder(spark)
+    df.write.partitionBy("slice").parquet(f"{at}/slices")
+    rows = df.drop("slice")
+    for n in range(last + 1):
+        spark.read.schema(df.schema).parquet(f"{at}/slices").filter(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return Z.stream_of(spark, f"{at}/in", rows.schema, maxFilesPerTrigger="1"), at
+
+
+def _start(stream, sink, at, mode="update"):
+    with K.keyed_state(stream.sparkSession):
+        stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
 
 
 @query(f"with {VOTES} select conv_id, turn, sum(vote)::bigint as net from votes group by all")
 def stream_net_scores(spark, sf_dir):
     stream, at = _streamed(spark, votes(spark, sf_dir).select("conv_id", "turn", "vote"))
     Z.collect_batches(Z.net_scores(stream), f"{at}/out", f"{at}/cp", "update")
-    return _latest(spark, at, ["conv_id", "turn"])
+    return Z.latest(spark, f"{at}/out", ["conv_id", "turn"])
 
 
 @query(f"with {TALK_PAIRS}, {SCORED} select conv_id, turn, composite_score, grade, is_bad_response from scored")
@@ -47,69 +56,105 @@ def audit_stream(spark, sf_dir):
     return spark.read.parquet(f"{at}/out")
 
 
+# ---- late rows ----
+# A row's batch is the sixth of the whole time that it lies in, but every seventh row comes three batches later. In a batch, rows are dropped
+# whose window has ended at the watermark of the batch before: the greatest time up to the batch before that one, less LATE. In the end
+# windows up to the greatest time of all less LATE have been closed and given out, once each.
+SLICES, LATE = 6, "1 hour"
+_SLICE = "least(floor((epoch(ts) - lo) * 6 / (hi - lo)), 5)::bigint"
+ARRIVED = f"""spanned as (select *, min(epoch(ts)) over () as lo, max(epoch(ts)) over () as hi from rows_),
+arrived as (select *, {_SLICE} + case when id % 7 = 0 then 3 else 0 end as batch from spanned),
+marks as (select b.batch, (select max(ts) from arrived a where a.batch <= b.batch - 2) - interval {LATE} as mark, (select max(ts) from arrived) - interval {LATE} as closed from (select distinct batch from arrived) b)"""
+
+
+def _arriving(spark, rows):
+    """``rows`` (id, ts, ...) in the batches above."""
+    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    sec = lambda c: F.unix_micros(c) / 1e6
+    lo, hi = (F.lit(ends[i]).cast("timestamp") for i in (0, 1))
+    batch = F.least(F.floor((sec(F.col("ts")) - sec(lo)) * SLICES / (sec(hi) - sec(lo))), F.lit(SLICES - 1)) + F.when(F.col("id") % 7 == 0, 3).otherwise(0)
+    return _sliced(spark, rows.withColumn("slice", batch.cast("int")), SLICES + 2)
+
+
 @query(
-    """with e as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 1 hour or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
-s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from e)
-select user_id, min(ts) as started_at, max(ts) + interval 1 hour as ends_at, count(*) as n_events from s group by user_id, session"""
+    f"""with rows_ as (select event_id as id, user_id, ts from events), {ARRIVED},
+kept as (select a.* from arrived a join marks m using (batch) where m.mark is null or a.ts + interval 1 hour > m.mark),
+e as (select user_id, ts, case when ts > lag(ts) over w + interval 1 hour or lag(ts) over w is null then 1 else 0 end as fresh from kept window w as (partition by user_id order by ts)),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from e),
+g as (select user_id, min(ts) as started_at, max(ts) + interval 1 hour as ends_at, count(*) as n_events from s group by user_id, session)
+select * from g where ends_at <= (select max(closed) from marks)"""
 )
 def session_activity(spark, sf_dir):
-    stream, at = _streamed(spark, read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")))
-    Z.collect_batches(Z.session_activity(stream, late="3650 days"), f"{at}/out", f"{at}/cp", "complete")
-    rows = spark.read.parquet(f"{at}/out")
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.filter(F.col("batch") == last).drop("batch").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ends_at")})
+    """Closed sessions, without the rows that came too late."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    stream, at = _arriving(spark, rows)
+    Z.run_to_end(Z.session_activity(stream, late=LATE), f"{at}/out", f"{at}/cp")
+    return spark.read.parquet(f"{at}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ends_at")})
 
 
 def _windows(spark, sf_dir, slide):
-    v = votes(spark, sf_dir).select("vote", F.col("ts").cast("timestamp").alias("ts"))
-    stream, at = _streamed(spark, v)
-    Z.collect_batches(Z.windowed_votes(stream, "1 hour", slide, "3650 days"), f"{at}/out", f"{at}/cp", "update")
-    return _latest(spark, at, ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    v = votes(spark, sf_dir).select(F.col("vote_id").alias("id"), "vote", F.col("ts").cast("timestamp").alias("ts"))
+    stream, at = _arriving(spark, v)
+    Z.run_to_end(Z.windowed_votes(stream, "1 hour", slide, LATE), f"{at}/out", f"{at}/cp")
+    return spark.read.parquet(f"{at}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
 
+def _windows_sql(start, steps):
+    return f"""with {VOTES}, rows_ as (select vote_id as id, vote, ts from votes), {ARRIVED},
+opened as (select a.vote, {start} as window_start, m.mark from arrived a join marks m using (batch), range(0, {steps}) r(k))
+select window_start, count(*) filter (vote = 1) as up, count(*) filter (vote = -1) as down from opened where (mark is null or window_start + interval 1 hour > mark)
+  and window_start + interval 1 hour <= (select max(closed) from marks) group by 1"""
 
-@query(f"with {VOTES} select date_trunc('hour', ts) as window_start, count(*) filter (vote = 1) as up, count(*) filter (vote = -1) as down from votes group by 1")
+
+@query(_windows_sql("date_trunc('hour', a.ts)", 1))
 def windowed_votes(spark, sf_dir):
+    """Closed windows, without the votes that came too late."""
     return _windows(spark, sf_dir, None)
 
 
-@query(f"with {VOTES} select time_bucket(interval '15 minutes', ts) - k * interval '15 minutes' as window_start, count(*) filter (vote = 1) as up, count(*) filter (vote = -1) as down from votes, range(0, 4) r(k) group by 1")
+@query(_windows_sql("time_bucket(interval '15 minutes', a.ts) - k * interval '15 minutes'", 4))
 def sliding_votes(spark, sf_dir):
     return _windows(spark, sf_dir, "15 minutes")
 
 
 @query(f"with {QUEUE} select conv_id, turn, source, resolved, grade from queue")
 def stream_failed_queue(spark, sf_dir):
-    v = votes(spark, sf_dir)
-    stream, at = _streamed(spark, v)
-    own = scored(spark, sf_dir)
-    stream.writeStream.foreachBatch(Z.failed_queue_sink(own, f"{at}/state")).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{at}/state/queue")
-    return rows.filter(F.col("snapshot") == rows.agg(F.max("snapshot")).first()[0]).select("conv_id", "turn", "source", "resolved", "grade")
+    """Votes come a quarter of the time at a time, each quarter in any order."""
+    rows = votes(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    quarter = F.least(F.floor(F.dayofmonth("ts") / 8), F.lit(3))
+    stream, at = _sliced(spark, rows.withColumn("slice", quarter.cast("int")), 3)
+    _start(K.downvoted(stream), Z.upsert_sink(f"{at}/out"), at)
+    rows = Z.failed_queue(Z.latest(spark, f"{at}/out", ["conv_id", "prompt"]), scored(spark, sf_dir))
+    return rows.select("conv_id", "turn", "source", "resolved", "grade")
 
 
 @query(
-    f"""with {TALK}, {BATCHES}, w as (select conv_id, list(turn order by rn) as window_turns, max(n) as total_turns from evict where in_window group by conv_id),
-s as (select conv_id, string_agg(summary, chr(10) order by batch) as rolling_summary from batches group by conv_id)
-select w.conv_id, total_turns::bigint as total_turns, window_turns, coalesce(rolling_summary, '') as rolling_summary from w left join s on w.conv_id = s.conv_id"""
+    f"""with {TALK}, {BATCHES}, {FACTS}, w as (select conv_id, list(turn order by rn) as window_turns, max(n) as total_turns from evict where in_window group by conv_id),
+s as (select conv_id, string_agg(summary, chr(10) order by batch) as rolling_summary from batches group by conv_id),
+firsts as (select conv_id, category, value, min((turn, k, pos)) as spot from facts group by all),
+lines as (select conv_id, category || ': ' || string_agg(value, ', ' order by spot) as line from firsts group by conv_id, category),
+f as (select conv_id, list(line order by line) as facts from lines group by conv_id)
+select w.conv_id, total_turns::bigint as total_turns, window_turns, coalesce(rolling_summary, '') as rolling_summary, coalesce(f.facts, []) as facts from w left join s on w.conv_id = s.conv_id left join f on w.conv_id = f.conv_id"""
 )
 def stream_memory(spark, sf_dir):
-    """One conversation's messages arrive in one file here, for a stream of files has no order between them."""
+    """A conversation's messages, a minute apart, are spread over files in any order."""
     at = folder(spark)
-    rows = Z.with_lines_and_facts(talk(spark, sf_dir))
-    rows.repartition(4, "conv_id").write.parquet(f"{at}/in")
-    stream = Z.session_memory(Z.stream_of(spark, f"{at}/in", rows.schema, maxFilesPerTrigger="2"), W, A)
-    Z.collect_batches(stream, f"{at}/out", f"{at}/cp", "update")
-    return _latest(spark, at, ["conv_id"]).drop("facts")
+    timed = talk(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60))
+    rows = Z.with_lines_and_facts(timed)
+    rows.repartition(4, F.xxhash64("conv_id", "turn")).write.parquet(f"{at}/in")
+    stream = Z.stream_of(spark, f"{at}/in", rows.schema, maxFilesPerTrigger="1")
+    _start(K.session_memory(stream, W, A, late="1 hour"), Z.upsert_sink(f"{at}/out"), at)
+    return Z.latest(spark, f"{at}/out", ["conv_id"])
 
 
 @query()
 def stream_ingest(spark, sf_dir):
-    """The corpus arrives a few sources at a time; the result is the chunks of every source."""
-    at = folder(spark)
+    """The corpus arrives in four parts, each with documents of every source; one part comes again. The result is the chunks of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    docs.repartition(4, "source").write.parquet(f"{at}/in")
-    stream = Z.stream_of(spark, f"{at}/in", docs.schema, maxFilesPerTrigger="1")
-    stream.writeStream.foreachBatch(Z.ingest_sink(f"{at}/kb")).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    parts = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int"))
+    again = parts.filter("slice = 1").withColumn("slice", F.lit(4))
+    stream, at = _sliced(spark, parts.union(again), 4)
+    _start(stream, Z.ingest_sink(f"{at}/kb"), at, "append")
     return spark.read.parquet(f"{at}/kb/chunks").select("doc_id", "source", "chunk_index", "text")
 
 
@@ -128,9 +173,14 @@ CHUNKS = f"wl as (select conv_id * 100 + turn as conv_id, regexp_extract_all(res
 
 @query(f"with {TALK_PAIRS}, {CHUNKS} select conv_id, string_agg(content, '' order by seq) as response, count(*)::int as n_chunks, 0.5::double as ttft_seconds, 0.5 + max(seq) * 0.04::double as total_seconds from chunks group by conv_id", ("total_seconds",))
 def assemble_responses(spark, sf_dir):
-    stream, at = _streamed(spark, _chunks(spark, sf_dir))
-    Z.collect_batches(Z.assemble_responses(stream, "3650 days"), f"{at}/out", f"{at}/cp", "update")
-    return _latest(spark, at, ["conv_id"])
+    """A response's chunks are spread over two batches, in order of the responses' starts."""
+    rows = _chunks(spark, sf_dir)
+    ends = rows.agg(F.min("conv_id").alias("lo"), F.max("conv_id").alias("hi")).first()
+    width = (ends.hi or 0) - (ends.lo or 0) + 1
+    part = F.floor((F.col("conv_id") - (ends.lo or 0)) * 4 / width)
+    stream, at = _sliced(spark, rows.withColumn("slice", (part + F.col("seq") % 2).cast("int")), 4)
+    Z.collect_batches(Z.assemble_responses(stream, f"{width // 2 + 60} seconds"), f"{at}/out", f"{at}/cp", "update")
+    return Z.latest(spark, f"{at}/out", ["conv_id"])
 
 
 @query(

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import rules
+from ..functions import rules, text as X
 from ..operators import corpus, feedback, memory, responses, scoring
 
 
 def assemble_responses(chunks: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """conv_id, response, n_chunks, ttft_seconds, total_seconds from chunks (conv_id, seq, content, ts, started_at)."""
+    """conv_id, response, n_chunks, ttft_seconds, total_seconds from chunks (conv_id, seq, content, ts, started_at). The watermark stands on the
+    response's start: its state goes, and chunks of it are late, once others have started ``late`` after it."""
     rows = F.array_sort(F.collect_list(F.struct("seq", "content")))
-    out = chunks.withWatermark("ts", late).groupBy("conv_id", "started_at").agg(rows.alias("c"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    out = chunks.withWatermark("started_at", late).groupBy("conv_id", "started_at").agg(rows.alias("c"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     secs = lambda a, b: (F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) / 1e6
     return out.select("conv_id", F.array_join(F.transform("c", lambda x: x["content"]), "").alias("response"), F.size("c").alias("n_chunks"), secs("started_at", "first").alias("ttft_seconds"), secs("started_at", "last").alias("total_seconds"))
 
@@ -50,51 +49,8 @@ def audit(turns: DataFrame) -> DataFrame:
     return responses.refine(scoring.validate_response(out)).select("conv_id", "turn", "category", "issues", "was_refined")
 
 
-_MEMORY_OUT = "conv_id long, total_turns long, window_turns array<long>, rolling_summary string, facts array<string>"
-_MEMORY_STATE = "total long, turns array<long>, roles array<string>, texts array<string>, summary string, facts string"
-
-
-def session_memory(messages: DataFrame, window: int = 8, after: int = 12, long: int = 1500, keep: int = 1800, idle: str | None = None) -> DataFrame:
-    """Per conversation its window, rolling summary and facts, kept as state that an idle conversation loses. Messages (conv_id, turn, role,
-    text, line, values) bring their summary line and the facts found in them, made by the batch expressions before the state."""
-    import json
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total, turns, roles, texts, summary, facts = state.get if state.exists else (0, [], [], [], "", "{}")
-        turns, roles, texts, known = list(turns), list(roles), list(texts), json.loads(facts)
-        rows = pd.concat(list(batches)).sort_values("turn")
-        for r in rows.itertuples(index=False):
-            total += 1
-            turns.append(int(r.turn))
-            roles.append(r.role)
-            texts.append(r.line if r.line is not None else "")
-            for fact in r.facts if r.facts is not None else []:
-                name, value = fact.split("\t", 1)
-                held = known.setdefault(name, [])
-                if value not in held:
-                    known[name] = [*held, value][-5:]
-            if len(turns) > max(after, window):
-                n = len(turns) - window
-                new = " | ".join(t for t, role in zip(texts[:n], roles[:n]) if role in ("user", "assistant"))
-                joined = summary + "\n" + new
-                summary = new if not summary else "…" + joined[-keep:] if len(summary) > long and len(joined) > keep else joined
-                turns, roles, texts = turns[n:], roles[n:], texts[n:]
-        state.update((total, turns, roles, texts, summary, json.dumps(known)))
-        if idle:
-            state.setTimeoutDuration(idle)
-        yield pd.DataFrame({"conv_id": [key[0]], "total_turns": [total], "window_turns": [turns], "rolling_summary": [summary], "facts": [[f"{k}: {', '.join(v)}" for k, v in sorted(known.items())]]})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return messages.groupBy("conv_id").applyInPandasWithState(fold, _MEMORY_OUT, _MEMORY_STATE, "update", timeout)
-
-
 def with_lines_and_facts(messages: DataFrame) -> DataFrame:
-    """What ``session_memory`` reads: the summary line and the facts of each message, by the batch rules."""
-    from ..functions import text as X
-
+    """What ``session_memory`` reads: the summary line and the facts of each message (conv_id, turn, role, text, ts), by the batch rules."""
 
     def finds(name: str, pattern: str):
         return F.transform(F.regexp_extract_all(X.nz(F.col("text")), F.lit(pattern), F.lit(1)), lambda v: F.concat(F.lit(name + "\t"), X.strip(v)))
@@ -102,37 +58,58 @@ def with_lines_and_facts(messages: DataFrame) -> DataFrame:
     found = F.flatten(F.array(*(finds(name, p) for name, p in rules.KEY_INFO)))
     fine = lambda v: (F.length(F.substring_index(v, "\t", -1)) > 0) & (F.length(F.substring_index(v, "\t", -1)) < 100)
     facts = F.when(F.col("role") == "user", F.filter(found, fine)).otherwise(F.array().cast("array<string>"))
-    return messages.select("conv_id", "turn", "role", memory.turn_line(F.col("role"), F.col("text")).alias("line"), facts.alias("facts"))
+    return messages.select("conv_id", "turn", "role", "ts", memory.turn_line(F.col("role"), F.col("text")).alias("line"), facts.alias("facts"))
 
 
-def failed_queue_sink(scored: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the votes so far and the queue they give under ``path``. Each batch writes its votes to a folder of
-    its own number (a repeated batch overwrites itself) and a new snapshot of the queue."""
+def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes changed rows to a folder of their batch's number (a repeated batch overwrites itself)."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/votes/batch={number}")
-        votes = spark.read.option("basePath", f"{path}/votes").parquet(f"{path}/votes").drop("batch")
-        feedback.failed_queue(votes, scored).write.mode("overwrite").parquet(f"{path}/queue/snapshot={number}")
 
-    return apply
+def latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The latest row of each key that ``upsert_sink`` or ``collect_batches`` wrote."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*key, "r.*")
+
+
+def failed_queue(downvoted: DataFrame, scored: DataFrame) -> DataFrame:
+    """The queue of ``feedback.failed_queue`` from its down-voted rows (``keyed.downvoted``, the latest of each key): automatic rows, and user rows of
+    prompts that have none, with the scores of their turns."""
+    auto = feedback.enqueue_auto(scored).withColumn("vote_id", F.lit(None).cast("long"))
+    fresh = downvoted.join(auto.select("conv_id", "prompt").distinct(), ["conv_id", "prompt"], "left_anti")
+    user = feedback.attach_scores_to_votes(fresh, scored)
+    why = F.array_append("failure_reasons", F.lit(rules.USER_REASON))
+    user = user.select("conv_id", "turn", "prompt", "response", "composite_score", "grade", why.alias("failure_reasons"), F.lit("user").alias("source"), "resolved", "vote_id")
+    return auto.unionByName(user)
+
+
+def document_key() -> Column:
+    """A document's identity in the manifest: its source, id and text."""
+    part = lambda c: F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-"))
+    return F.sha2(F.concat(part("source"), part("doc_id"), part("text")), 256)
 
 
 def ingest_sink(path: str, **options) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that chunks documents of sources not yet in the manifest under ``path``, then adds them to it. A source is
-    ingested once: documents of it that come in a later batch are left out, as when a folder is ingested again."""
+    """A foreachBatch function that chunks the documents that the manifest under ``path`` doesn't hold, then adds them to it. A document is its
+    source, id and text: a known source may bring new documents, and one that comes again, in the same batch or later, is left out. A
+    repeated batch overwrites what it wrote."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            manifest = spark.read.parquet(f"{path}/manifest").filter(F.col("batch") != number).select("source")
+            manifest = spark.read.schema("document string, source string, batch long").parquet(f"{path}/manifest").filter(F.col("batch") != number).select("document")
         except AnalysisException as e:  # the first batch finds no manifest
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            manifest = spark.createDataFrame([], "source string")
-        fresh = corpus.drop_ingested(batch, manifest)
-        corpus.ingest(fresh, **options).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        fresh.select("source").distinct().write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
+            manifest = spark.createDataFrame([], "document string")
+        keyed = batch.withColumn("document", document_key())
+        keyed = keyed.join(manifest, "document", "left_anti").dropDuplicates(["document"]).persist()
+        try:
+            corpus.ingest(keyed.drop("document"), **options).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+            keyed.select("document", "source").write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
+        finally:
+            keyed.unpersist()
 
     return apply
 

@@ -247,7 +247,8 @@ def test_retrieve_reranks_and_takes_cells(spark):
     kb = spark.createDataFrame([(i, [float(i % 7 == j) + 0.01 * i for j in range(7)], "s", f"t{i}") for i in range(60)], "id long, v array<double>, source string, text string")
     kb = vectors.l2_normalize(kb, "v", "kv").drop("v")
     queries = kb.filter("id < 3").select(F.col("id").alias("query_id"), F.col("kv").alias("qv"))
-    plain, cells = (vectors.retrieve(queries, kb, 20, 2, 0.2, ivf_from=n).orderBy("query_id").collect() for n in (10**6, 1))
+    index = build_cells(kb.select("id", "kv"), base.folder(spark), cells=3)
+    plain, cells = (vectors.retrieve(queries, kb, 20, 2, 0.2, index=i).orderBy("query_id").collect() for i in (None, index))
     assert all(r.used_mmr and r.total_found == 20 for r in plain) and len(cells) == 3
     last = vectors.retrieve(queries, kb, 20, 1, 0.2, lambda_=1.0, scorer=F.col("id").cast("double"), others=True).collect()
     first = vectors.retrieve(queries, kb, 20, 1, 0.2, lambda_=1.0, others=True).collect()
