@@ -212,6 +212,72 @@ def all_pairs(queries: DataFrame, kb: DataFrame, others: bool = False) -> DataFr
     return found.filter(~F.col("query_id").eqNullSafe(F.col("id"))) if others else found
 
 
+#: Terms with counts of the passages of one pass, and pairs of a query's and a passage's term that a task holds at once.
+PASSAGE_TERMS, MEETINGS = 500_000, 2_000_000
+
+
+def _bags(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, counts and row of each entry of a column of term counts, and the norm of each row."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
+    flat = col.flatten()
+    counts = flat.field("n").cast(pa.float64()).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return flat.field("t"), counts, row, np.sqrt(np.bincount(row, counts * counts, minlength=len(sizes)))
+
+
+def nearest_bags(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score (rounded to 10 places, so that the order of sums decides nothing), rank: the k ``passages`` (id, bag) of the greatest
+    cosine per query (query_id, bag) among those that share a term; equal scores by ascending id. Passages come in blocks of about ``PASSAGE_TERMS``, a pass over
+    the queries each. Null and empty bags find nothing."""
+    spark = queries.sparkSession
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {passages.schema['id'].dataType.simpleString()}, score double"
+    many = passages.agg(F.sum(F.size("bag").cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(many / PASSAGE_TERMS))
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        part = passages if blocks == 1 else passages.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        block = part.select("id", "bag").orderBy("id").toArrow()  # so that a passage's place follows its id
+        terms, counts, row, norms = _bags(block["bag"])
+        names = pc.unique(terms)
+        if not len(names):
+            continue
+        code = pc.index_in(terms, value_set=names).to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        at = np.searchsorted(code[order], np.arange(len(names) + 1))
+        held, weight, ids = row[order], counts[order], block["id"].combine_chunks()
+
+        def search(batches: Iterator[pa.RecordBatch], names=names, at=at, held=held, weight=weight, ids=ids, norms=norms) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                terms, counts, row, own = _bags(batch.column("bag"))
+                code = pc.fill_null(pc.index_in(terms, value_set=names), -1).to_numpy(zero_copy_only=False)
+                known = np.flatnonzero(code >= 0)
+                sizes = at[code[known] + 1] - at[code[known]]
+                ends = np.cumsum(sizes)
+                # cut between queries, so that a query's meetings stay together
+                first = np.searchsorted(row[known], np.arange(len(own) + 1))
+                before = np.concatenate(([0], ends))[first]
+                a = 0
+                while a < len(own):
+                    z = max(a + 1, int(np.searchsorted(before, before[a] + MEETINGS, side="right")) - 1)
+                    use = slice(first[a], first[z])
+                    entry = np.repeat(known[use], sizes[use])
+                    start = np.repeat(at[code[known[use]]] - (ends[use] - sizes[use]) + (before[a]), sizes[use])
+                    place = start + np.arange(len(entry))
+                    pairs, inverse = np.unique(row[entry] * len(norms) + held[place], return_inverse=True)
+                    dots = np.bincount(inverse, counts[entry] * weight[place], minlength=len(pairs))
+                    q, p = np.divmod(pairs, len(norms))
+                    score = np.round(dots / (own[q] * norms[p]), 10)
+                    best = np.lexsort((p, -score, q))
+                    keep = best[np.arange(len(best)) - np.searchsorted(q[best], q[best]) < k]
+                    yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(q[keep])), ids.take(pa.array(p[keep])), pa.array(score[keep])], ["query_id", "id", "score"])
+                    a = z
+
+        found = found.union(queries.select("query_id", "bag").mapInArrow(search, schema))
+    return top_k(found, k)
+
+
 #: Rows of a group's chunks, and of its queries, that one task compares.
 GROUP_ROWS = 4096
 

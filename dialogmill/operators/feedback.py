@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, text as X
@@ -248,15 +252,27 @@ def char_vocab(df: DataFrame) -> DataFrame:
 
 
 def encode_chars(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """key, ids; the vocabulary is one broadcast map."""
-    one = vocab.agg(F.map_from_entries(F.collect_list(F.struct("char", "id"))).alias("m"))
-    out = df.select(key, F.filter(F.split(X.nz(F.col("text")), ""), lambda c: c != "").alias("c")).crossJoin(F.broadcast(one))
-    return out.select(key, F.transform("c", lambda c: F.element_at("m", c)).alias("ids"))
+    """key, ids: the id of each character, null for those that ``vocab`` lacks. The vocabulary is at most the number of code points, so it is
+    sent as one array by code point, in which whole texts are looked up at once."""
+    rows = vocab.select(F.ascii("char").alias("c"), F.col("id").cast("int").alias("id")).toPandas()
+    ids = np.full(max(rows["c"], default=0) + 2, -1, np.int32)
+    ids[rows["c"].to_numpy(np.int64)] = rows["id"].to_numpy(np.int32)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in batch.column("text").to_pylist()]
+            found = ids[np.minimum(np.concatenate([np.zeros(0, "<u4"), *points]), len(ids) - 1)]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in points])]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32(), mask=found < 0))
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "ids"])
+
+    return df.select(key, X.nz(F.col("text")).alias("text")).mapInArrow(encode, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode_chars(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    one = vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "char"))).alias("m"))
-    return df.crossJoin(F.broadcast(one)).select(key, F.array_join(F.transform("ids", lambda i: F.element_at("m", i)), "").alias("text"))
+    """key, text: ``vocab`` (ids from 0, without gaps) is one array by id."""
+    chars = F.array(*(F.lit(r.char) for r in sorted(vocab.select("char", "id").collect(), key=lambda r: r.id)))
+    return df.select(key, F.array_join(F.transform("ids", lambda i: F.get(chars, i)), "").alias("text"))
 
 
 def train_val_split(df: DataFrame, order: str, share: float = 0.9) -> DataFrame:

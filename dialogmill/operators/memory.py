@@ -90,14 +90,38 @@ def key_info_lines(state: DataFrame, last: int = 3) -> DataFrame:
     return state.select(KEY, "category", F.concat(F.lit("  "), F.col("category"), F.lit(": "), F.array_join(some, ", ")).alias("line"))
 
 
-def episodic_recall(conv: DataFrame, k: int = 3, floor: float = 0.55) -> DataFrame:
+def similar_bags(bags: DataFrame, floor: float, key: str = KEY) -> DataFrame:
+    """key, bag_id, past_id, score of the pairs (both ways, and each with itself) whose cosine is above ``floor``; ``bags`` holds key, bag_id and tokens, one row a bag.
+
+    Terms are ordered by how few bags of the key hold them. Of each bag only the first terms are met with others: those before which the
+    weight of the rest is at least ``floor``. Bags that share none of them share only terms of one bag's rest, and the product with that is
+    below ``floor``. So a frequent term joins only bags that hold little else."""
+    if not 0 <= floor <= 1:
+        raise ValueError("floor must be from 0 to 1")
+    terms = bags.select(key, "bag_id", F.inline(X.term_counts(F.col("tokens"))))
+    held = terms.groupBy(key, "t").agg(F.count("*").alias("df"))
+    order = Window.partitionBy(key, "bag_id").orderBy(F.desc("df"), F.desc("t"))
+    rest = F.sqrt(F.sum(F.col("n") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key, "bag_id")))
+    first = terms.join(held, [key, "t"]).withColumn("rest", rest).filter(F.col("rest") >= floor - 1e-9).select(key, "bag_id", "t")
+    pairs = first.join(first.withColumnRenamed("bag_id", "past_id"), [key, "t"]).select(key, "bag_id", "past_id").distinct()
+    met = pairs.join(bags, [key, "bag_id"]).join(bags.select(key, F.col("bag_id").alias("past_id"), F.col("tokens").alias("past_tokens")), [key, "past_id"])
+    return met.withColumn("score", X.bag_cosine(F.col("tokens"), F.col("past_tokens"))).filter(F.col("score") > floor).select(key, "bag_id", "past_id", "score")
+
+
+def episodic_recall(conv: DataFrame, k: int = 3, floor: float = 0.55, only: DataFrame | None = None) -> DataFrame:
     """conv_id, turn, past_turn, score, snippet: of the k user turns so far (the turn itself included) most like a user turn, those above
-    the floor with another text."""
-    users = conv.filter("role = 'user'").select(KEY, ORDER, "text", X.tokens(F.col("text")).alias("bag"))
-    past = users.select(KEY, F.col(ORDER).alias("past_turn"), F.col("text").alias("past_text"), F.col("bag").alias("past_bag"))
-    scored = users.join(past, KEY).filter(F.col("past_turn") <= F.col(ORDER)).withColumn("score", X.bag_cosine(F.col("bag"), F.col("past_bag")))
+    the floor with another text. ``only`` (conv_id, turn): for these turns alone.
+
+    Turns of one bag of words are one bag: its first k turns stand for the others, as those come first among equal scores."""
+    users = conv.filter("role = 'user'").select(KEY, ORDER, "text", F.array_sort(X.tokens(F.col("text"))).alias("tokens"))
+    users = users.withColumn("bag_id", F.md5(F.to_json("tokens")))
+    first = users.withColumn("nth", F.row_number().over(Window.partitionBy(KEY, "bag_id").orderBy(ORDER))).filter(F.col("nth") <= k)
+    alike = similar_bags(first.filter("nth = 1").select(KEY, "bag_id", "tokens"), floor)
+    past = first.select(KEY, F.col("bag_id").alias("past_id"), F.col(ORDER).alias("past_turn"), F.col("text").alias("past_text"))
+    now = users.drop("tokens") if only is None else users.drop("tokens").join(only.select(KEY, ORDER), [KEY, ORDER], "left_semi")
+    scored = now.join(alike, [KEY, "bag_id"]).join(past, [KEY, "past_id"]).filter(F.col("past_turn") <= F.col(ORDER))
     near = scored.withColumn("r", F.row_number().over(Window.partitionBy(KEY, ORDER).orderBy(F.desc("score"), "past_turn"))).filter(F.col("r") <= k)
-    kept = near.filter((F.col("score") > floor) & (X.strip(X.nz(F.col("past_text"))) != X.strip(X.nz(F.col("text")))))
+    kept = near.filter(X.strip(X.nz(F.col("past_text"))) != X.strip(X.nz(F.col("text"))))
     return kept.select(KEY, ORDER, "past_turn", "score", X.snippet(F.col("past_text"), 180).alias("snippet"))
 
 
@@ -120,8 +144,8 @@ def assemble_messages(conv: DataFrame, identity: str, window: int = 8, after: in
     """conv_id, messages: a system message (identity, facts, summary, recalled statements for the last user turn), then the window, within
     the budget. The system message always stays."""
     facts = key_info_lines(key_info_state(conv)).groupBy(KEY).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("facts"))
-    last = conv.filter("role = 'user'").groupBy(KEY).agg(F.max(ORDER).alias("last"))
-    recall = episodic_recall(conv).join(last.withColumnRenamed("last", ORDER), [KEY, ORDER])
+    last = conv.filter("role = 'user'").groupBy(KEY).agg(F.max(ORDER).alias(ORDER))
+    recall = episodic_recall(conv, only=last)
     recall = recall.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "past_turn", "snippet"))).alias("r"))
     recall = recall.select(KEY, F.array_join(F.transform("r", lambda x: F.concat(F.lit("  - "), x["snippet"])), "\n").alias("recalled"))
     rows = memory_window(conv, window, after).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col(ORDER).alias("t"), "role", X.nz(F.col("text")).alias("content")))).alias("h"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, text as X
-from .blocks import CellIndex, all_pairs, nearest, nearest_in_group, search_cells, top_k
+from .blocks import CellIndex, all_pairs, nearest, nearest_bags, nearest_in_group, search_cells
 
 
 def norm(v: Column) -> Column:
@@ -111,12 +111,9 @@ def session_doc_search(queries: DataFrame, chunks: DataFrame, k: int = 3, others
 
 def lexical_search(queries: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame:
     """query_id, id, score, rank: the k passages most like a query by bag-of-words cosine among those that share a term. ``queries`` hold
-    query_id and bag (term counts), ``passages`` id and bag. Terms meet by a join and products are summed per pair, so no pair without a
-    common term is made."""
-    weigh = lambda df, key: df.select(key, F.inline("bag"), F.sqrt(F.aggregate("bag", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])).alias("norm"))
-    q, p = weigh(queries, "query_id").withColumnsRenamed({"n": "nq", "norm": "q_norm"}), weigh(passages, "id").withColumnsRenamed({"n": "np", "norm": "p_norm"})
-    scored = q.join(p, "t").groupBy("query_id", "id").agg(F.round(F.sum(F.col("nq") * F.col("np")) / (F.first("q_norm") * F.first("p_norm")), 10).alias("score"))
-    return top_k(scored, k)
+    query_id and bag (term counts), ``passages`` id and bag. The passages are taken in bounded blocks, and queries meet a block's term lists
+    where they lie: no term is a join key."""
+    return nearest_bags(queries, passages, k)
 
 
 def route_retrieval(turns: DataFrame, category: str = "category", continuation: str = "is_continuation") -> DataFrame:

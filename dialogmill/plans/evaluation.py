@@ -106,6 +106,14 @@ def latency_summary(spark, sf_dir):
     return S.latency_summary(log, "model_name")
 
 
+@query(f"select model_name, count(*) as n, {_LAT_AGG} from {_LAT} group by model_name", _LAT_COLS)
+def latency_rollup(spark, sf_dir):
+    """States by day and model, merged to models."""
+    log = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("model_name"), (F.abs("value") / 10).alias("ttft_seconds"), F.abs("value").alias("total_time_seconds"))
+    merged = S.merge_latencies(S.latency_sketches(log, "day", "model_name"), "model_name")
+    return merged.select("model_name", "n", *(x for c in S.LATENCIES for x in ((F.col(f"sum_{c}") / F.col(f"count_{c}")).alias(f"avg_{c}"), f"min_{c}", f"max_{c}", S.latency_quantile(c, 0.5).alias(f"p50_{c}"))))
+
+
 @query(f"with {TALK_PAIRS}, {SCORED} select category, difficulty, count(*) as n, avg(composite_score) as avg_composite from (select *, 'c' || (conv_id % 4) as category, 'd' || (turn % 3) as difficulty from scored) group by rollup(category, difficulty)", ("avg_composite",))
 def score_by(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("category", F.concat(F.lit("c"), F.col("conv_id") % 4)).withColumn("difficulty", F.concat(F.lit("d"), F.col("turn") % 3))

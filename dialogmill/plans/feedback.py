@@ -64,9 +64,11 @@ def new_downvotes(spark, sf_dir):
     return FB.new_downvotes(votes(spark, sf_dir), FB.enqueue_auto(scored(spark, sf_dir)))
 
 
-@query(f"with {QUEUE} select v.vote_id, s.composite_score, coalesce(s.grade, '?') as grade, coalesce(s.failure_reasons, []) as failure_reasons from votes v left join (select * from scored where turn > 1) s on v.conv_id = s.conv_id and v.turn = s.turn")
+@query(f"with {QUEUE}, cast_ as (select * replace (case when vote_id % 10 = 0 then turn + 1000 else turn end as turn) from votes) select v.vote_id, s.composite_score, coalesce(s.grade, '?') as grade, coalesce(s.failure_reasons, []) as failure_reasons from cast_ v left join scored s on v.conv_id = s.conv_id and v.turn = s.turn")
 def attach_scores_to_votes(spark, sf_dir):
-    return FB.attach_scores_to_votes(votes(spark, sf_dir), scored(spark, sf_dir).filter("turn > 1")).select("vote_id", "composite_score", "grade", "failure_reasons")
+    """Every tenth vote is on a turn that doesn't exist."""
+    cast = votes(spark, sf_dir).withColumn("turn", F.when(F.col("vote_id") % 10 == 0, F.col("turn") + 1000).otherwise(F.col("turn")))
+    return FB.attach_scores_to_votes(cast, scored(spark, sf_dir)).select("vote_id", "composite_score", "grade", "failure_reasons")
 
 
 @query(f"with {QUEUE} select conv_id, turn, prompt, response, composite_score, grade, failure_reasons, source, false as resolved, vote_id from usr")
