@@ -36,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .runtime import Scratch, blocks, durable, join_hot, partitions, string_buffers
+from .runtime import Scratch, blocks, durable, join_hot, partitions, string_buffers, tidy
 from .textscan import Words, mix, shingle_sets
 
 #: Tokens whose frequency the orders know, at most: the most frequent. It bounds the broadcast (4 MB), not the result.
@@ -86,7 +86,7 @@ def frequent_tokens(documents: DataFrame, k: int, ranked: int = RANKED) -> tuple
         if held:
             yield flush()
 
-    counted = documents.select(F.col("text").cast("string")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = documents.select(F.col("text").cast("string")).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(ranked).toPandas()
     token = top.token.to_numpy(np.int64).view(_U)
     order = np.argsort(token)
@@ -134,7 +134,7 @@ def prefix_table(documents: DataFrame, k: int, percent: int, orders) -> DataFram
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cls", "n", "lead", "p1"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(scan, "doc_id long, cls long, n int, lead boolean, p1 array<long>")
+    return rows.mapInArrow(tidy(scan), "doc_id long, cls long, n int, lead boolean, p1 array<long>")
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -180,7 +180,7 @@ def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: i
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "cls", "tokens"])
 
-    sent = texts.mapInArrow(send, "bucket int, cls long, tokens binary")
+    sent = texts.mapInArrow(tidy(send), "bucket int, cls long, tokens binary")
     if not nameless:
         return sent
 
@@ -199,7 +199,7 @@ def _send_sets(documents: DataFrame, classes: DataFrame, places: DataFrame, k: i
                 yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], ["cls", "tokens"])
 
     # classes whose rows all lack an id are found by their sets, once a task
-    found = documents.filter(F.col("doc_id").cast("long").isNull()).select(F.col("text").cast("string")).mapInArrow(name, "cls long, tokens binary")
+    found = documents.filter(F.col("doc_id").cast("long").isNull()).select(F.col("text").cast("string")).mapInArrow(tidy(name), "cls long, tokens binary")
     found = found.join(wanted.filter("rep is null"), "cls").select(F.explode("buckets").alias("bucket"), "cls", "tokens")
     return sent.union(found.select("bucket", "cls", "tokens"))
 
@@ -358,7 +358,7 @@ def _crowd_blocks(documents: DataFrame, classes: DataFrame, own: DataFrame, k: i
     # buckets that by chance have one number are told apart by their places
     sets = _send_sets(documents, classes, spread.select("cls", "bucket"), k)
     several = lambda members, sets: pa.concat_tables([_crowd_links(members.filter(pa.compute.equal(members.column("place"), p)), sets, percent) for p in members.column("place").unique()] or [_LINKS.empty_table()])
-    return spread.select("bucket", "place", "cls", "comp", "side").groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(several, "u long, v long")
+    return spread.select("bucket", "place", "cls", "comp", "side").groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(tidy(several), "u long, v long")
 
 
 def _verify(documents: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, orders) -> DataFrame:
@@ -392,7 +392,7 @@ def _met(documents: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pac
         ok = [keep(known[a], known[b], na, nb) for a, b, na, nb in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb")))]
         return pairs.select(["a", "b", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
 
-    return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(compare, "a long, b long, na int, nb int")
+    return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(tidy(compare), "a long, b long, na int, nb int")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -503,7 +503,7 @@ def _with_class(documents: DataFrame, k: int) -> DataFrame:
                 cls = pa.array([_name(s) if len(s) else None for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, cls], [*batch.schema.names, "_cls"])
 
-    return documents.mapInArrow(name, schema)
+    return documents.mapInArrow(tidy(name), schema)
 
 
 def keep_one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

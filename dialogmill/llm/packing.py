@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .runtime import durable
+from .runtime import durable, tidy
 
 CAPACITY, END_ID = 1024, 2
 #: Ranks within a length are counted in so many buckets at least, and more if a bucket would hold more pieces than this.
@@ -79,7 +79,7 @@ def tokenise(documents: DataFrame, ranks_path: str | None = None, json_path: str
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(cut), _PIECES)
 
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many a sequence), ...), number of sequences

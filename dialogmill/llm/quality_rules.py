@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import blocks, labelled_sample, sample_weights, string_buffers
+from .runtime import blocks, labelled_sample, sample_weights, string_buffers, tidy
 from .textscan import WHITE, Words, windows
 
 #: Labelled training rows that the trees are grown on, at most.
@@ -194,7 +194,7 @@ def train_forest(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
                 ids = batch.column("doc_id").slice(a, b - a).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, batch.column("y").slice(a, b - a).cast(pa.int64()), *(pa.array(c) for c in x.T)], ["doc_id", "y", *FEATURES])
 
-    got = labelled_sample(documents, labels, "quality", sample).mapInArrow(featurise, f"doc_id long, y long, {names}")
+    got = labelled_sample(documents, labels, "quality", sample).mapInArrow(tidy(featurise), f"doc_id long, y long, {names}")
     # of rows of one id the least counts, so at most ``sample`` rows are collected
     got = got.groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id")
     if got.y.nunique() < 2:
@@ -221,4 +221,4 @@ def apply_rules(documents: DataFrame, forest: Forest | None, keep_from: float =
                     [*batch.schema.names, *added],
                 )
 
-    return own.mapInArrow(rate, schema)
+    return own.mapInArrow(tidy(rate), schema)
