@@ -95,7 +95,7 @@ def similar_bags(bags: DataFrame, floor: float, key: str = KEY) -> DataFrame:
 
     Terms are ordered by how few bags of the key hold them. Of each bag only the first terms are met with others: those before which the
     weight of the rest is at least ``floor``. Bags that share none of them share only terms of one bag's rest, and the product with that is
-    below ``floor``. So a frequent term joins only bags that hold little else."""
+    below ``floor``. So a frequent term joins only bags that hold little else, and the work grows with the pairs that are alike."""
     if not 0 <= floor <= 1:
         raise ValueError("floor must be from 0 to 1")
     terms = bags.select(key, "bag_id", F.inline(X.term_counts(F.col("tokens"))))
