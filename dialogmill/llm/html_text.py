@@ -23,7 +23,7 @@ import bisect
 import html
 import re
 import zlib
-from collections import Counter, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +59,10 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 CONTENT, OUTSIDE, JUNK = "c", "o", "j"
 
 
+#: A table in an article is part of it whatever it is called (a restaurant's "menu").
+TABLE = {"table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"}
+
+
 def _named(value: str) -> bool:
     """Whether a class or id is a chrome name: ``site-footer`` and ``ad-slot`` are, ``has-sidebar`` and ``social-history`` aren't."""
     for token in value.split():
@@ -76,7 +80,7 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> tuple[bool, bool
     """Whether an element is chrome, and whether only its class or id says so."""
     if name in CHROME or (name == "header" and not in_article):
         return True, False
-    if not attributes or name in ("html", "body", "main"):
+    if not attributes or name in ("html", "body", "main") or (in_article and name in TABLE):
         return False, False
     if _HIDDEN.search(_QUOTED.sub("''", attributes)):
         return True, False
@@ -99,6 +103,7 @@ def lines_of(page: str) -> tuple[list[str], str]:
     lines: list[str] = []
     zones: list[str] = []
     stack: list[str] = []
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # where each name stands in the stack
     held: list[str] = []
     junk_at, weak = -1, False  # depth of the outermost chrome element that is open; whether only its name says so
     articles: list[int] = []
@@ -114,7 +119,8 @@ def lines_of(page: str) -> tuple[list[str], str]:
 
     def close(depth: int) -> None:
         nonlocal junk_at
-        del stack[depth:]
+        while len(stack) > depth:
+            depths[stack.pop()].pop()
         if junk_at >= depth:
             junk_at = -1
         while articles and articles[-1] >= depth:
@@ -142,8 +148,8 @@ def lines_of(page: str) -> tuple[list[str], str]:
         if ends:
             if name in BLOCK:
                 flush()
-            if name in stack:
-                close(len(stack) - 1 - stack[::-1].index(name))
+            if depths[name]:
+                close(depths[name][-1])
             continue
         if name in BLOCK:
             flush()
@@ -155,8 +161,8 @@ def lines_of(page: str) -> tuple[list[str], str]:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if name in CLOSES_P and "p" in stack[-4:]:
-            depth = len(stack) - 1 - stack[::-1].index("p")
+        if name in CLOSES_P and depths["p"] and depths["p"][-1] >= len(stack) - 4:
+            depth = depths["p"][-1]
             if not any(x in BLOCK for x in stack[depth + 1 :]):
                 close(depth)
         elif name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1] == name:
@@ -168,6 +174,7 @@ def lines_of(page: str) -> tuple[list[str], str]:
             junk_at = len(stack) if chrome else -1
         if name in ("article", "main"):
             articles.append(len(stack))
+        depths[name].append(len(stack))
         stack.append(name)
     flush()
     return lines, "".join(zones)
@@ -243,7 +250,8 @@ def main_lines(lines: list[str], zones: str, shared: set[int]) -> list[str]:
 SIDE, REACH, COPY = 2, 8, 0.8
 #: Pages of a group, and groups at most (their cuts are broadcast: at most some MB).
 GROUP_PAGES, GROUPS = 2000, 16_384
-PATH_CHARS = 256
+#: Hosts and paths count by so many characters; longer URLs are refused by most servers.
+PATH_CHARS = 2048
 _LINED = "grp int, home int, host string, path string, page_id long, url string, zones string, packed binary"
 _ROWS = "page_id long, url string, text string, n_chars long, n_shared long"
 

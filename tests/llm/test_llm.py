@@ -209,6 +209,21 @@ def test_html_lines():
     assert html_text.lines_of("") == ([], "") and html_text.lines_of("a < b <3 <!-- x")[0] == ["a < b <3"]
 
 
+def test_html_time_is_linear():
+    """Twice the tags take twice the time, also where none is closed and where they nest deeply."""
+    import time
+
+    for make in (lambda n: "<i>" * n + "x</b>" * n, lambda n: "<i>x</b>" * n, lambda n: "<div>" * n + "text" + "</div>" * n, lambda n: "<p>a<p>b</i>" * n):
+        took = []
+        for n in (20_000, 40_000):
+            page = "<article>" + make(n)
+            began = time.process_time()
+            html_text.lines_of(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 3.5 * took[0] + 0.1
+    assert html_text.lines_of('<article>Text<table class="menu"><tr><td>Soup 3.50</table><div class="menu">Home</div></article>')[1].count(html_text.CONTENT) == 2
+
+
 def test_lcs(monkeypatch):
     rng = random.Random(5)
     for _ in range(200):
