@@ -74,23 +74,54 @@ def extract_prompts(spark, sf_dir):
     return C.extract_prompts(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text")))
 
 
-@query()
+def sentences_sql(norm: str) -> str:
+    """norms (doc_id, source, norm) and sentences (doc_id, pos from 0, sentence, a: where it begins). RE2 can't look behind: a mark is set before each white space
+    behind . ? or !, and taken away behind abbreviations; the text is cut at the marks."""
+    marked = rf"regexp_replace(norm, '([.?!])([\s\p{{Z}}])', '\1' || chr(1) || '\2', 'g')"
+    for pattern in (r"([A-Z][a-z]\.)", r"([\p{L}\p{N}_]\.[\p{L}\p{N}_][.?!])"):
+        marked = rf"regexp_replace({marked}, '{pattern}\x01', '\1', 'g')"
+    return rf"""norms as (select doc_id, source, {norm} as norm from documents),
+pieces as (select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as i from (select doc_id, string_split({marked}, chr(1)) as p from norms)),
+placed as (select doc_id, i, {duck.strip('piece')} as sentence, (coalesce(sum(length(piece)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)
+  + length(piece) - length(regexp_replace(piece, '^[\s\p{{Z}}]+', '')))::int as a from pieces),
+sentences as (select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as pos, sentence, a from placed where sentence <> '')"""
+
+
+def chunks_sql(norm: str, size: int = 400, overlap: int = 80, least: int = 30) -> str:
+    """``sentences_sql`` and chunks (doc_id, chunk_index, text, first_sentence, char_start, char_end): a step of the recursion is a chunk, from its first sentence and
+    the sentence that was too much for it, found by running sums of lengths."""
+    return f"""{sentences_sql(norm)},
+listed as (select doc_id, len(ss) as n, ss, aa, list_prepend(0, list_transform(range(1, len(ss) + 1), lambda i: cc[i])) as cum from
+  (select doc_id, list(sentence order by pos) as ss, list(a order by pos) as aa, list(c order by pos) as cc from (select *, (sum(length(sentence) + 1) over (partition by doc_id order by pos))::int as c from sentences) group by doc_id)),
+walk as (select doc_id, 0::bigint as f, coalesce(list_filter(range(1, n), lambda i: cum[i + 2] - cum[1] > {size})[1], n) as e from listed
+ union all select w.doc_id, w.g, coalesce(list_filter(range(w.e + 1, d.n), lambda i: d.cum[i + 2] - d.cum[w.g + 1] > {size})[1], d.n)
+ from (select x.doc_id, x.e, coalesce(list_filter(range(x.f, x.e), lambda j: y.cum[x.e + 1] - y.cum[j + 1] - 1 <= {overlap})[1], x.e) as g from walk x join listed y on x.doc_id = y.doc_id where x.e < y.n) w join listed d on w.doc_id = d.doc_id),
+full_ as (select w.doc_id, f, e, array_to_string(ss[f + 1:e], ' ') as text, aa[f + 1] as char_start, aa[e] + length(ss[e]) as char_end from walk w join listed d on w.doc_id = d.doc_id),
+chunks as (select doc_id, (row_number() over (partition by doc_id order by e, f) - 1)::int as chunk_index, text, f::int as first_sentence, char_start::int as char_start, char_end::int as char_end from full_ where length(text) >= {least})"""
+
+
+NORM = duck.strip(duck.chain("coalesce(text, '')", rules.CHUNK_NORMAL))
+_CLEAN_NORM = duck.strip(duck.chain(duck.strip(duck.chain("coalesce(text, '')", rules.CONTROL)), rules.CHUNK_NORMAL))
+INGESTED = f"with recursive {chunks_sql(_CLEAN_NORM)}"
+
+
+@query(f"with {sentences_sql(NORM)} select doc_id, pos, sentence from sentences")
 def split_sentences(spark, sf_dir):
     return C.split_sentences(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"with recursive {chunks_sql(NORM)} select * from chunks")
 def chunk_sentences(spark, sf_dir):
     return C.chunk_sentences(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"with recursive {chunks_sql(NORM)} select doc_id, chunk_index, char_start, char_end from chunks")
 def chunk_offsets(spark, sf_dir):
     """Where each chunk's first sentence begins and its last one ends in the normalised text; tests hold the slices against the chunks."""
     return C.chunk_sentences(read(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "char_start", "char_end")
 
 
-@query()
+@query(f"{INGESTED} select c.*, n.source from chunks c join norms n on c.doc_id = n.doc_id")
 def ingest(spark, sf_dir):
     return C.ingest(read(spark, sf_dir, "documents")).drop("metadata")
 

@@ -10,6 +10,7 @@ from ..operators import corpus as C, feedback as FB
 from ..sources import readers, writers
 from . import duck
 from .base import PAIRS, SCORED, TALK_PAIRS, folder, pairs, query, read, scored, talk_pairs
+from .corpus import NORM, chunks_sql
 
 _OPEN = "# Head\n**bold** [label](http://a.b) `code`\n"
 _OPEN_SQL = duck.q(_OPEN).replace("\n", "' || chr(10) || '")
@@ -221,8 +222,17 @@ def sql_functions(spark, sf_dir):
     return docs.select("doc_id", F.expr("redact_emails(text)").alias("redacted"), X.strip(F.expr("clean_control(text)")).alias("cleaned"), F.expr("size(fixed_chunks(text, 500))").alias("n_chunks"))
 
 
-@query()
+@query(f"with recursive {chunks_sql(NORM)} select * from chunks")
 def sentence_chunks_sql(spark, sf_dir):
-    """Sentence chunks for SQL users; tests hold them against ``chunk_sentences``."""
+    """Sentence chunks for SQL users: the table function, called by ``lateral``."""
     udfs.register_sql(spark)
-    return read(spark, sf_dir, "documents").select("doc_id", F.expr("sentence_chunks(text, 400, 80, 30)").alias("chunks")).select("doc_id", F.posexplode("chunks").alias("chunk_index", "text"))
+    docs = read(spark, sf_dir, "documents")
+    return spark.sql("select d.doc_id, c.* from (select doc_id, trimmed_text(text) as norm, sentences_of(text) as ss from {docs}) d, lateral chunks_of_text(d.norm, d.ss, 400, 80, 30) c", docs=docs)
+
+
+@query(f"with recursive {chunks_sql(NORM)} select doc_id, chunk_index, text from chunks")
+def sentence_rows_sql(spark, sf_dir):
+    """The same from a table of sentences, which the table function has Spark partition and order."""
+    udfs.register_sql(spark)
+    rows = C.split_sentences(read(spark, sf_dir, "documents"))
+    return spark.sql("select doc_id, chunk_index, text from chunks_of_rows(table(select * from {rows}), 400, 80, 30)", rows=rows)

@@ -9,6 +9,7 @@ from ..functions import rules
 from ..operators import responses as R
 from ..streaming import keyed as K, streams as Z
 from . import duck
+from .corpus import INGESTED
 from .base import QUEUE, SCORED, TALK, TALK_PAIRS, VOTES, folder, query, read, scored, talk, talk_pairs, votes
 from .memory import A, BATCHES, FACTS, W
 
@@ -147,7 +148,7 @@ def stream_memory(spark, sf_dir):
     return Z.latest(spark, f"{at}/out", ["conv_id"])
 
 
-@query()
+@query(f"{INGESTED} select c.doc_id, n.source, chunk_index, text from chunks c join norms n on c.doc_id = n.doc_id")
 def stream_ingest(spark, sf_dir):
     """The corpus arrives in four parts, each with documents of every source; one part comes again. The result is the chunks of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")

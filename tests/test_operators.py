@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from dialogmill.functions import text as X, udfs
 from dialogmill.operators import corpus, feedback, memory, responses, scoring, vectors
+from dialogmill.operators.blocks import build_cells
+from dialogmill.plans import base
 from dialogmill.sources import readers, writers
 from dialogmill.streaming import streams
 
@@ -195,13 +197,21 @@ def test_files(spark, tmp_path):
 
 def test_sql_surface(spark):
     names = udfs.register_sql(spark)
-    assert len(names) == 6
+    assert len(names) == 10
     texts = spark.createDataFrame([(1, "One two three. " * 80 + "The end of it. " * 3), (2, None), (3, "")], "doc_id long, text string")
     own = [(r.doc_id, r.chunks) for r in texts.selectExpr("doc_id", "sentence_chunks(text, 400, 80, 30) as chunks").collect()]
     want = {}
     for r in corpus.chunk_sentences(texts).orderBy("doc_id", "chunk_index").collect():
         want.setdefault(r.doc_id, []).append(r.text)
     assert own == [(1, want[1]), (2, []), (3, [])] and len(want[1]) > 2
+    rows = spark.sql("select d.doc_id, c.* from (select doc_id, trimmed_text(text) as norm, sentences_of(text) as ss from {t}) d, lateral chunks_of_text(d.norm, d.ss, 400, 80, 30) c", t=texts)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, corpus.chunk_sentences(texts).collect()))
+    split = corpus.split_sentences(texts)
+    rows = spark.sql("select doc_id, chunk_index, text from chunks_of_rows(table(select * from {s}), 400, 80, 30)", s=split)
+    assert sorted(map(tuple, rows.collect())) == [(1, i, t) for i, t in enumerate(want[1])]
+    for wrong in ("chunks_of_rows(table(select 1 as x), 400, 80, 30)", "chunks_of_rows(table(select 1 as doc_id, 1 as pos, 's' as sentence), 80, 80, 30)"):
+        with pytest.raises(Exception, match="must be"):
+            spark.sql(f"select * from {wrong}").collect()
     row = spark.sql("select redact_emails('me@site.org x') a, strip_tags('<b>x</b>&amp;') b, fixed_chunks('abcde', 2) c, normalize_spacing('a  b') d").first()
     assert (row.a, row.b, row.c, row.d) == ("[EMAIL] x", " x  ", ["ab", "cd", "e"], "a b")
     score = udfs.pair_scorer(lambda: lambda a, b: [float(len(x) + len(y)) for x, y in zip(a, b)])
