@@ -227,6 +227,13 @@ VALID = f"""{_VALID_IN}, v1 as (select *, list_filter([{", ".join(f"case when {c
 valid as (select *, valid_score >= 0.55 as passed from v1)"""
 
 
+#: Per answered turn: the intent of its prompt, then the checks of its response.
+AUDIT = (
+    f"{TALK_PAIRS}, asked as (select conv_id, turn, 'user' as role, prompt as text from pairs), {INTENT.replace('from talk)', 'from asked)')}, "
+    "vin as (select p.conv_id, p.turn, p.response, i.category from pairs p join intent i on p.conv_id = i.conv_id and p.turn = i.turn)" + VALID.removeprefix(_VALID_IN)
+)
+
+
 def _validated(spark, sf_dir):
     kinds = F.array(*map(F.lit, ["general", "coding", "greeting", "complaint"]))
     return S.validate_response(talk_pairs(spark, sf_dir).select("conv_id", "turn", "response", F.get(kinds, (F.col("conv_id") % 4).cast("int")).alias("category")))

@@ -103,7 +103,27 @@ def trim_to_budget(spark, sf_dir):
     return M.trim_to_budget(talk(spark, sf_dir), 300, 100).select("conv_id", "turn", "chars_from_here")
 
 
-@query()
+_SNIPPET = "case when length(past_text) > 180 then substr(past_text, 1, 180) || '…' else past_text end"
+
+
+@query(
+    f"""with recursive {TALK}, {BATCHES}, {FACTS}, ordered as (select *, row_number() over (partition by conv_id order by batch) as k, count(*) over (partition by conv_id) as m from batches),
+roll as (select conv_id, k, m, summary as s from ordered where k = 1 union all
+ select o.conv_id, o.k, o.m, case when r.s = '' then o.summary when length(r.s) > 1500 and length(r.s) + 1 + length(o.summary) > 1800 then '…' || right(r.s || chr(10) || o.summary, 1800) else r.s || chr(10) || o.summary end
+ from roll r join ordered o on o.conv_id = r.conv_id and o.k = r.k + 1),
+firsts as (select conv_id, category, value, min((turn, k, pos)) as spot from facts group by all), vals as (select conv_id, category, list(value order by spot) as v from firsts group by all),
+lines as (select conv_id, '  ' || category || ': ' || array_to_string(list_slice(v, greatest(1, len(v) - 2), len(v)), ', ') as line from vals),
+known as (select conv_id, string_agg(line, chr(10) order by line) as part from lines group by conv_id),
+users as (select conv_id, turn, text, {duck.tokens("text")} as bag from talk where role = 'user'), last_ as (select conv_id, max(turn) as turn from users group by conv_id),
+pairs_ as (select u.conv_id, u.turn, p.turn as past_turn, u.text, p.text as past_text, {_COS} as score from users u join last_ using (conv_id, turn) join users p on u.conv_id = p.conv_id and p.turn <= u.turn),
+near as (select *, row_number() over (partition by conv_id order by score desc, past_turn) as r from pairs_),
+recalled as (select conv_id, string_agg('  - ' || {_SNIPPET}, chr(10) order by score desc, past_turn) as part from near where r <= 3 and score > 0.55 and {duck.strip("past_text")} <> {duck.strip("text")} group by conv_id),
+heads as (select c.conv_id, array_to_string(list_filter(['You are a helpful AI assistant.', '[Persistent user facts]' || chr(10) || known.part, '[Conversation summary so far]' || chr(10) || roll.s,
+  '[Relevant past user statements]' || chr(10) || recalled.part], lambda x: x is not null), chr(10) || chr(10)) as system from (select distinct conv_id from talk) c
+  left join known using (conv_id) left join (select * from roll where k = m) roll using (conv_id) left join recalled using (conv_id)),
+held as (select e.conv_id, e.turn, e.role, e.text, system, length(system) + sum(length(e.text)) over (partition by e.conv_id order by e.turn rows between current row and unbounded following) as size from evict e join heads using (conv_id) where in_window)
+select conv_id, list_prepend({{'role': 'system', 'content': first(system)}}, coalesce(list({{'role': role, 'content': text}} order by turn) filter (size // 4 <= 2048), [])) as messages from held group by conv_id"""
+)
 def assemble_messages(spark, sf_dir):
     return M.assemble_messages(talk(spark, sf_dir), "You are a helpful AI assistant.", W, A)
 

@@ -104,7 +104,15 @@ def format_context(spark, sf_dir):
     return V.format_context(top.select("query_id", "rank", "score", F.concat(F.lit("label"), "label").alias("source"), F.concat(F.lit(" vector "), "id").alias("text")))
 
 
-@query()
+_FOUND = f"""{PAIRED}, found as (select *, {_RANK} as r0 from scored qualify r0 <= 30), kept as (select *, count(*) over (partition by query_id) as many from found where score >= 0.2),
+scorer as (select * replace (case when many > 3 and label = query_id % 10 then score + 1 else score end as score) from kept),
+top as (select *, row_number() over (partition by query_id order by case when many > 3 then score end desc, r0) as r from scorer), {_MMR[_MMR.index("p1 as ("):]},
+picked as (select query_id, id, 1 as r from p1 union all select query_id, id, 2 from p2 union all select query_id, id, 3 from p3),
+t as (select top.query_id, top.id, case when many > 3 then p.r else top.r end as r, score, label from top left join picked p on top.query_id = p.query_id and top.id = p.id where many <= 3 or p.r is not null),
+context as (select * from {_CTX})""".replace(duck.q(rules.CONTEXT_HEAD), duck.q(rules.CONTEXT_HEAD.strip()) + " || chr(10)")
+
+
+@query(f"with {_FOUND}, n as (select query_id, count(*) as n from kept group by query_id) select q.id as query_id, coalesce(n, 0)::int as total_found, coalesce(n, 0) > 3 as used_mmr, coalesce(context, '') as context from {_QUERIES} q left join n on q.id = n.query_id left join context c on q.id = c.query_id")
 def retrieve(spark, sf_dir):
     q, kb = _sides(spark, sf_dir)
     kb = kb.select("id", "kv", F.concat(F.lit("label"), "label").alias("source"), F.concat(F.lit("vector "), "id").alias("text"))

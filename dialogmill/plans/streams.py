@@ -10,6 +10,7 @@ from ..operators import responses as R
 from ..streaming import keyed as K, streams as Z
 from . import duck
 from .corpus import INGESTED
+from .evaluation import AUDIT
 from .base import QUEUE, SCORED, TALK, TALK_PAIRS, VOTES, folder, query, read, scored, talk, talk_pairs, votes
 from .memory import A, BATCHES, FACTS, W
 
@@ -50,7 +51,7 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("conv_id", "turn", "composite_score", "grade", "is_bad_response")
 
 
-@query()
+@query(f"with {AUDIT} select conv_id, turn, category, issues, not passed as was_refined from valid")
 def audit_stream(spark, sf_dir):
     stream, at = _streamed(spark, talk_pairs(spark, sf_dir))
     Z.run_to_end(Z.audit(stream), f"{at}/out", f"{at}/cp")
