@@ -119,6 +119,16 @@ def tidy(fn: Callable) -> Callable:
     return run if inspect.isgeneratorfunction(fn) else call
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark feed Python 4 MB at a time instead of its default of 64 MB, unless the session says otherwise: executor and worker each hold
+    several copies of a batch, for every task."""
+    if spark.conf.get(_BATCH) in ("64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, "4m")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
