@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dialogmill.llm import jaccard, mixing, packing, pii, quality_rules
-from dialogmill.llm.runtime import durable, table
+from dialogmill.llm.runtime import durable, small_batches, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the trees reject go. Repeated rows share a verdict; null and empty texts go."""
+    small_batches(spark)
     forest = quality_rules.train_forest(docs, table(spark, sf_dir, "labels"))
     # columns named like a result of the rules stand aside
     aside = {c: f"_own_{c}" for c in docs.columns if c in quality_rules.ADDED}
@@ -25,11 +26,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (shingles of five words, similarity 0.8) stays, the one whose id is smallest. Rows without
     an id are told apart by their texts, as are unrelated rows of one id; rows without a word are copies of nothing and stay."""
+    small_batches(spark)
     return jaccard.keep_one_of_each(docs, k=5, percent=80).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets, and ``n_chars`` renewed where it is a number or a string. Null texts stay null."""
+    small_batches(spark)
     return pii.find_personal_data(docs, pii.train_field(docs), redacted=True)
 
 
@@ -40,6 +43,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept copy is cut into pieces and placed in a sequence; a null or empty text is one end mark."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
