@@ -17,7 +17,8 @@ A query whose probed buckets hold too few vectors for a whole list is compared w
 Vectors of unequal lengths get one more coordinate that makes their norms equal, so that the nearest direction is the largest product.
 
 Defined cases: a vector that is null, zero, of another dimension than most, or that holds a null or non-finite component takes no part;
-a null id takes no part; of rows with equal ids and vectors one counts; fewer than k candidates are all returned; ties go to the smaller id; an empty table gives no rows.
+a null id takes no part; of rows with equal ids and vectors one counts; fewer than k candidates are all returned; ties go to the smaller id; an empty table gives no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ A block and a bucket of pairs are bounded by the tokens of their sets, not by th
 Tokens are 64-bit hashes of shingles, classes 64-bit hashes of sets.
 
 Defined cases: null or empty text, or one of white space alone, has an empty set and is linked with nothing; texts are read whole; repeated
-rows are one class; a null doc_id is never a component's name unless its class has no other; an empty table gives no rows.
+rows are one class; a null doc_id is never a component's name unless its class has no other; an empty table gives no rows;
+other columns are not read, whatever their names (``keep_one_of_each`` carries them along).
 """
 
 from __future__ import annotations

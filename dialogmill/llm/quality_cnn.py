@@ -7,7 +7,7 @@ to the label shares of all of them.
 
 Defined cases: null or empty text is one chunk of padding and gets that chunk's score; a text is read whole whatever its length; scores
 depend on the row's text alone; repeated rows score alike; without both labels in the training fold every score is the share of label 1
-(0.5 without any label); an empty table gives no rows.
+(0.5 without any label); an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ each member is cut out of its archive at its offset and opened alone. ``export_a
 reader opens.
 
 Defined cases: null html is an empty payload; a null url leaves out WARC-Target-URI; control characters in a url are percent-encoded;
-a null page_id is below every other id; repeated rows of the largest page_id are all responses; an empty table gives no records.
+a null page_id is below every other id; repeated rows of the largest page_id are all responses; an empty table gives no records;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
