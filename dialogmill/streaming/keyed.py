@@ -130,8 +130,8 @@ class _QueueProcessor(_InEventOrder):
 def downvoted(votes: DataFrame, late: str = "1 day") -> DataFrame:
     """Changed rows of the queue (conv_id, prompt, turn, response, vote_id, resolved) as votes (vote_id, conv_id, turn, vote, ts, prompt, response) come;
     the latest row of a (conv_id, prompt) counts. Votes count in order of (ts, vote_id). A null prompt is an empty one; a null
-    conversation is one of its own."""
-    rows = votes.withWatermark("ts", late).selectExpr("conv_id", "ts", "unix_micros(ts) as micros", "vote_id", "cast(turn as long) as turn", "cast(vote as int) as vote", "prompt", "response")
+    conversation is one of its own; votes without a time, an id, a turn or a value of 1 or -1 don't count."""
+    rows = votes.filter("ts is not null and vote_id is not null and turn is not null and vote in (1, -1)").withWatermark("ts", late).selectExpr("conv_id", "ts", "unix_micros(ts) as micros", "vote_id", "cast(turn as long) as turn", "cast(vote as int) as vote", "prompt", "response")
     return rows.groupBy("conv_id").transformWithStateInPandas(_QueueProcessor(), "conv_id long, prompt string, turn long, response string, vote_id long, resolved boolean", "update", "eventTime")
 
 
@@ -221,8 +221,8 @@ class _MemoryProcessor(_InEventOrder):
 def session_memory(messages: DataFrame, window: int = 8, after: int = 12, long: int = 1500, keep: int = 1800, values: int = 5, late: str = "10 minutes", idle_seconds: int | None = None) -> DataFrame:
     """Per conversation, whenever messages come: total_turns, window_turns, rolling_summary and facts ("name: value, value"), as the batch
     operators give them for the messages so far in order of (ts, turn). ``messages`` (conv_id, turn, role, line, facts, ts) come from
-    ``with_lines_and_facts``. A conversation whose last message is more than ``idle_seconds`` behind the watermark is forgotten."""
-    rows = messages.withWatermark("ts", late).selectExpr("conv_id", "ts", "unix_micros(ts) as micros", "cast(turn as long) as turn", "role", "line", "facts")
+    ``with_lines_and_facts``; those without a time or a turn don't count. A conversation whose last message is more than ``idle_seconds`` behind the watermark is forgotten."""
+    rows = messages.filter("ts is not null and turn is not null").withWatermark("ts", late).selectExpr("conv_id", "ts", "unix_micros(ts) as micros", "cast(turn as long) as turn", "role", "line", "facts")
     sizes = dict(window=window, after=after, long=long, keep=keep, values=values)
     out = "conv_id long, total_turns long, window_turns array<long>, rolling_summary string, facts array<string>"
     return rows.groupBy("conv_id").transformWithStateInPandas(_MemoryProcessor(idle_seconds * 1000 if idle_seconds is not None else None, **sizes), out, "update", "eventTime")

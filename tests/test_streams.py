@@ -44,6 +44,7 @@ def test_queue_whatever_the_arrival(spark, scored, tmp_path):
         rng.shuffle(part)
         mixed[a : a + 80] = part
     files = [frame(mixed[a : a + 40]) for a in range(0, 240, 40)]
+    files[2] = files[2].union(frame([(None, 1, 2, -1, "p2", "r", 1_700_000_000), (999, 1, 2, -1, "p2", "r", None), (998, 1, 2, None, "p2", "r", 1_700_000_000), (997, 1, 2, 7, "p2", "r", 1_700_000_000)]))
     sink = streams.upsert_sink(f"{tmp_path}/out")
     start = lambda s: keyed.downvoted(s, "2 hours").writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     fed(spark, tmp_path, files, start)
@@ -84,8 +85,9 @@ def test_memory_whatever_the_arrival(spark, tmp_path):
 def test_memory_drops_late_rows_and_forgets_idle_conversations(spark, tmp_path):
     at = lambda c, t, minute: (c, t, "user", "I like tea.", 1_700_000_000 + 60 * minute)
     files = [[at(1, 1, 0), at(2, 1, 0)], [at(1, 2, 200)], [at(1, 3, 201), at(2, 2, 5)], [at(2, 3, 202)]]
+    files[1] += [(None, 1, None, None, 1_700_000_000 + 12_000), (None, 2, "user", None, 1_700_000_000 + 12_000), (1, None, "user", "no turn", 1_700_012_000), (1, 9, "user", "no time", None)]
     got = memories(spark, tmp_path, files, late="10 minutes", idle_seconds=3600)
-    assert got[1].window_turns[-1] == 3
+    assert got[1].window_turns[-1] == 3 and got[None].total_turns == 2 and got[None].facts == []
     assert got[2].total_turns == 1 and got[2].window_turns == [3]  # turn 2 came too late; turn 1 was forgotten
 
 
