@@ -33,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = 4  # of them are the base patterns'
 #: Documents that the field is fitted on, at most, and characters of their nodes' words; documents that have more are not sampled.
 SAMPLE, SAMPLE_CHARS = 1500, 4096
+#: Nodes that the fit holds as Python objects at a time, about.
+FIT_NODES = 4096
 #: Belief from which a word outside the base spans is reported.
 CONFIDENT = 0.8
 #: Words on each side of a marked one that are nodes, and rounds of messages.
@@ -273,33 +275,49 @@ def altered(text: str, spans: list[Span], rng: random.Random) -> tuple[str, list
 
 
 def fit(texts: list[str], steps: int = 300, rate: float = 0.2, decay: float = 2e-6, seed: int = 9) -> Field | None:
-    """Node, chain and skip weights together: gradient steps on the pseudo-likelihood, each node's label given those of its neighbours."""
-    graph, y, rng = Graph(), [], random.Random(seed)
+    """Node, chain and skip weights together: gradient steps on the pseudo-likelihood, each node's label given those of its neighbours.
+    It runs in the driver, so nodes are kept as numbers of few bytes, and as Python's objects only ``FIT_NODES`` at a time."""
+    labels, rng = len(KINDS) + 1, random.Random(seed)
+    parts: list[tuple[np.ndarray, ...]] = []
+    graph, y = Graph(), []
+
+    def flush() -> None:
+        nonlocal graph, y
+        if y:
+            parts.append((np.array(graph.x, np.uint8), np.array(y, np.uint8), np.array(graph.bound, bool), np.array(graph.edge, np.int32).reshape(-1, 3)))
+        graph, y = Graph(), []
 
     def learn(text: str, spans: list[Span]) -> None:
         a = len(graph.doc)
-        graph.add(len(graph.doc), text)
+        graph.add(a, text)
         for s, t in graph.span[a:]:
             y.append(next((k + 1 for k, b, e in spans if s < e and t > b), 0))
+        if len(y) >= FIT_NODES:
+            flush()
 
     for text in texts:
         spans = labelled_spans(text)
         learn(text, spans)
         for _ in range(5 if spans else 0):
             learn(*altered(text, spans, rng))
-    labels = len(KINDS) + 1
-    if not any(y):
+    flush()
+    if not any(part[1].any() for part in parts):
         return None
-    goal, bound = np.eye(labels)[np.asarray(y)], np.asarray(graph.bound, float)
-    # what the neighbours' labels add is linear in the potentials, so they are inputs: label counts before, behind, of the same, of those alike
-    around = np.zeros((4, len(y), labels))
-    around[0, :, 0], around[1, :, 0] = bound[:, 0], bound[:, 1]
-    for kind in range(3):
-        e = np.array([(a, b) for a, b, k in graph.edge if k == kind], int).reshape(-1, 2)
-        np.add.at(around[0 if kind == 0 else kind + 1], e[:, 1], goal[e[:, 0]])
-        np.add.at(around[1 if kind == 0 else kind + 1], e[:, 0], goal[e[:, 1]])
-    x = np.concatenate([np.asarray(graph.x), *around], 1).astype(np.float32)
-    goal = goal.astype(np.float32)
+    nodes, at = sum(len(part[1]) for part in parts), 0
+    x, goal = np.zeros((nodes, _WIDTH + 4 * labels), np.float32), np.zeros((nodes, labels), np.float32)
+    for features, label, bound, edges in parts:
+        own = x[at : at + len(label)]
+        own[:, :_WIDTH] = features
+        goal[at : at + len(label)] = mine = np.eye(labels, dtype=np.float32)[label]
+        # what the neighbours' labels add is linear in the potentials, so they are inputs: label counts before, behind, of the same, of those alike
+        around = [own[:, _WIDTH + k * labels : _WIDTH + (k + 1) * labels] for k in range(4)]
+        around[0][:, 0], around[1][:, 0] = bound[:, 0], bound[:, 1]
+        for kind in range(3):
+            e = edges[edges[:, 2] == kind]
+            np.add.at(around[0 if kind == 0 else kind + 1], e[:, 1], mine[e[:, 0]])
+            np.add.at(around[1 if kind == 0 else kind + 1], e[:, 0], mine[e[:, 1]])
+        at += len(label)
+    del parts
     param = [np.zeros((_WIDTH, labels)), np.zeros((3, labels, labels))]
     mean, square = [np.zeros_like(p) for p in param], [np.zeros_like(p) for p in param]
     for t in range(1, steps + 1):

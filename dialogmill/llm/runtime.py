@@ -77,9 +77,9 @@ class Scratch:
         Scratch._open.pop()
         for path, spark in self.tables.items():
             self._delete(path, spark)
-            # broadcasts of plans that are done stay in the executors' memory until the driver's JVM collects what refers to them
+            # broadcasts of plans that are done stay in the memory of driver and executors until the driver's JVM collects what refers to them
             last = spark
-        if self.tables and not Scratch._open:
+        if self.tables:
             gc.collect()
             last._jvm.System.gc()
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -765,3 +766,20 @@ def test_pipeline_odd_rows(spark, odd):
         assert stage(spark, df.limit(0), "/root/testdata/sf0.01").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, df, SF).filter("doc_id is null").count() == 1
     assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), SF).count() == 0
+
+
+def test_field_fit_is_small_in_the_driver():
+    """The fit holds a few hundred bytes a node, not Python objects and double-precision copies of all nodes at once."""
+    texts = [f"mail a{i}.b@site{i % 7}.org or +1 212 555 {1000 + i} from 10.0.{i % 200}.7 in {1900 + i % 99}, order {i * 7919}" for i in range(600)]
+    nodes = 0
+    for text in texts:
+        graph = pii.Graph()
+        graph.add(0, text)
+        nodes += 6 * len(graph.doc)  # each text has finds, so it is learnt with five copies
+    tracemalloc.start()
+    try:
+        assert pii.fit(texts, steps=1) is not None
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 800 * nodes
