@@ -69,13 +69,21 @@ arrived as (select *, {_SLICE} + case when id % 7 = 0 then 3 else 0 end as batch
 marks as (select b.batch, (select max(ts) from arrived a where a.batch <= b.batch - 2) - interval {LATE} as mark, (select max(ts) from arrived) - interval {LATE} as closed from (select distinct batch from arrived) b)"""
 
 
-def _arriving(spark, rows):
-    """``rows`` (id, ts, ...) in the batches above."""
-    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+def _ends(rows):
+    return rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+
+
+def _arriving(spark, rows, ends=None, beat=None):
+    """``rows`` (id, ts, ...) in the batches above; with ``beat``: and then, in a batch of its own, a row of nothing but a time, that long after the last one."""
+    ends = ends or _ends(rows)
     sec = lambda c: F.unix_micros(c) / 1e6
     lo, hi = (F.lit(ends[i]).cast("timestamp") for i in (0, 1))
     batch = F.least(F.floor((sec(F.col("ts")) - sec(lo)) * SLICES / (sec(hi) - sec(lo))), F.lit(SLICES - 1)) + F.when(F.col("id") % 7 == 0, 3).otherwise(0)
-    return _sliced(spark, rows.withColumn("slice", batch.cast("int")), SLICES + 2)
+    sliced, last = rows.withColumn("slice", batch.cast("int")), SLICES + 2
+    if beat:
+        last += 1
+        sliced = sliced.unionByName(rows.agg((F.max("ts") + F.expr(f"interval {beat}")).alias("ts"), F.lit(last).alias("slice")), allowMissingColumns=True)
+    return _sliced(spark, sliced, last)
 
 
 @query(
@@ -87,11 +95,14 @@ g as (select user_id, min(ts) as started_at, max(ts) + interval 1 hour as ends_a
 select * from g where ends_at <= (select max(closed) from marks)"""
 )
 def session_activity(spark, sf_dir):
-    """Closed sessions, without the rows that came too late."""
+    """Closed sessions, without the rows that came too late. A session waits one gap longer than its end, for rows that may still join it, so the
+    source's last sign of life comes one gap (and the millisecond that watermarks are cut to) after the last row."""
     rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    stream, at = _arriving(spark, rows)
+    ends = _ends(rows)
+    stream, at = _arriving(spark, rows, ends, "1 hour 1 millisecond")
     Z.run_to_end(Z.session_activity(stream, late=LATE), f"{at}/out", f"{at}/cp")
-    return spark.read.parquet(f"{at}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ends_at")})
+    found = spark.read.parquet(f"{at}/out").filter(F.col("ends_at") <= F.lit(ends.hi).cast("timestamp") - F.expr(f"interval {LATE}"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ends_at")})
 
 
 def _windows(spark, sf_dir, slide):

@@ -26,8 +26,11 @@ def net_scores(votes: DataFrame) -> DataFrame:
 
 
 def session_activity(events: DataFrame, gap: str = "1 hour", late: str = "1 day", by: str = "user_id") -> DataFrame:
-    """by, started_at, ends_at, n_events of sessions that end after ``gap`` without an event."""
-    out = events.withWatermark("ts", late).groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"))
+    """by, started_at, ends_at, n_events of sessions that end after ``gap`` without an event. An event is late when it lies ``gap`` and ``late`` or more behind
+    the newest (by the watermark, in whole milliseconds). Until then it may join a session that has ended, so a session is given out, once and whole, when
+    its end lies that far behind. Counts by (key, time) come first: they drop late events by their own times and hand on the others in order of time."""
+    counts = events.filter("ts is not null").withWatermark("ts", f"{late} {gap}").groupBy(by, "ts").agg(F.count("*").alias("n"))
+    out = counts.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.sum("n").alias("n_events"))
     return out.select(by, F.col("w.start").alias("started_at"), F.col("w.end").alias("ends_at"), "n_events")
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from dialogmill import registry
 from dialogmill.operators import corpus, feedback, memory
 from dialogmill.streaming import keyed, streams
 
@@ -105,3 +107,28 @@ def test_ingest_by_document(spark, tmp_path):
     changed = docs.limit(1).withColumn("text", F.lit("A new text of a known document, long enough to be a chunk."))
     apply(changed, 4)
     assert spark.read.parquet(f"{tmp_path}/kb/chunks/batch=4").count() == 1
+
+
+def test_late_events_join_sessions_that_ended(spark, tmp_path):
+    at = lambda user, minute: (user, 1_700_000_000 + 60 * minute)
+    # after minute 80 the mark stands at 70: the event of minute 30 isn't late and joins the session that ended at 60; that of minute 5 is late
+    files = [[at(1, 0)], [at(2, 80), (4, None)], [at(1, 30), at(3, 5)], [at(2, 300)]]
+    frames = [spark.createDataFrame(f, "user_id long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s") for f in files]
+    fed(spark, tmp_path, frames, lambda s: streams.run_to_end(streams.session_activity(s, late="10 minutes"), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    rows = spark.read.parquet(f"{tmp_path}/out").select("user_id", *(((F.unix_seconds(c) - 1_700_000_000) / 60).cast("int") for c in ("started_at", "ends_at")), "n_events").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 90, 2), (2, 80, 140, 1)]
+
+
+def test_session_query_where_late_events_are_kept(spark, tmp_path):
+    rng = random.Random(3)
+    hour = 3_600_000_000
+    events = [(rng.choice([1, 2, 3, None]), rng.randrange(90 * hour)) for _ in range(300)]
+    events += [(rng.randrange(10, 60), rng.randrange(86 * hour, 90 * hour)) for _ in range(200)]  # late events of the last two hours still count
+    events = [(i, user, 1_700_000_000_000_000 + us) for i, (user, us) in enumerate(events)] + [(500, 1, None)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, us long").selectExpr("event_id", "user_id", "cast(timestamp_micros(us) as timestamp_ntz) as ts")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["session_activity"](spark, str(tmp_path)).select("user_id", "started_at", "ends_at", "n_events").collect()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select user_id, started_at, ends_at, n_events from ({registry.ORACLES['session_activity']}) z").fetchall()
+    assert len(want) > 100 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
