@@ -25,9 +25,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def l2_normalize(df: DataFrame, col: str, to: str) -> DataFrame:
-    n = norm(F.col(col))
-    return df.withColumn(to, F.transform(col, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n)))
+def l2_normalize(df: DataFrame, col: str, to: str, zero: float = 0.0) -> DataFrame:
+    """Missing components don't count and stay missing; those of a vector whose norm is 0 become ``zero``."""
+    held, n = f"_norm_{to}", F.col(f"_norm_{to}")  # in a column, or it would be computed for every component
+    unit = F.transform(col, lambda x: F.when(x.isNotNull() & (n == 0), F.lit(zero)).otherwise(x.cast("double") / n))
+    return df.withColumn(held, norm(F.filter(col, lambda x: x.isNotNull()))).withColumn(to, unit).drop(held)
 
 
 def embed_text(df: DataFrame, col: str = "text", to: str = "bag", model: Column | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ import json
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from dialogmill import registry
 from dialogmill.functions import text as X, udfs
 from dialogmill.operators import corpus, feedback, memory, responses, scoring, vectors
 from dialogmill.operators.blocks import build_cells
@@ -282,3 +284,18 @@ def test_text_expressions(spark):
         X.snippet(F.lit("abc"), 2).alias("d"), X.count_of(F.lit("aXXbXX"), "XX").alias("e"),
     ).first()
     assert tuple(row) == ("a\nb c\n\n\nd", "H\nx\ny", "", "ab…", 2)
+
+
+def test_l2_normalize_query_bit_by_bit(spark, tmp_path):
+    """Zero vectors, missing and non-finite components, signs of zeros, and values that two ways of rounding part."""
+    nan, inf = float("nan"), float("inf")
+    odd = [[0.0, 0.0], [0.0, None], [None, 3.0, 4.0], [-1e-10, 1.0], [-0.0, 1.0], [nan, 1.0], [-inf, None], [inf, 1.0], [], None, [None], [1e-30, 0.0], [3e38, 3e38]]
+    odd += [[0.9676226377487183, 0.44599148631095886, -0.6343274116516113, 0.7024849057197571], [-0.24492043256759644, -0.14473073184490204, -1.6801040172576904, 1.384685754776001]]
+    spark.createDataFrame(list(enumerate(odd)), "vec_id long, embedding array<float>").selectExpr("*", "0 as label").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["l2_normalize"](spark, str(tmp_path)).select("id", "v").collect()
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"select id, v from ({registry.ORACLES['l2_normalize']}) z").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) == len(odd)
+    kept = vectors.l2_normalize(spark.createDataFrame([([0.0, 0.0],), ([None, 3.0, 4.0],)], "v array<float>"), "v", "u").collect()
+    assert [list(r.u) for r in kept] == [[0.0, 0.0], [None, 0.6, 0.8]]
